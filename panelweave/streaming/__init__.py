@@ -1,0 +1,5 @@
+"""The operator inventory holds no streaming operator, so this package is empty on purpose.
+
+Request status and error logs (``panelweave.sources.requests``) are append-only tables and can be driven from
+``foreachBatch`` without change.
+"""
