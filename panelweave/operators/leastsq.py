@@ -7,11 +7,13 @@ small vectorised solve turns each group's moment matrix into coefficients. No gr
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import lgamma, pi
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelweave.spec import q
 
@@ -66,7 +68,7 @@ def _finite(values: object) -> bool:
     return values is not None and np.isfinite(np.asarray(values, dtype=float)).all()
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def solve_coefficients(mean: pd.Series, cross: pd.Series) -> pd.Series:
     """[intercept, slopes...] of the last variable on the others; minimum-norm when the fit is not unique."""
     out = []
@@ -123,7 +125,15 @@ def coefficient_table(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[s
     )
 
 
-@F.pandas_udf("array<struct<term:int,coef:double,std_error:double,t_value:double,p_value:double>>")
+TERM_STATS = T.ArrayType(
+    T.StructType(
+        [T.StructField("term", T.IntegerType())]
+        + [T.StructField(c, T.DoubleType()) for c in ("coef", "std_error", "t_value", "p_value")]
+    )
+)
+
+
+@F.pandas_udf(TERM_STATS)
 def _term_stats(n: pd.Series, mean: pd.Series, cross: pd.Series) -> pd.Series:
     out = []
     for size, m, c in zip(n, mean, cross):
@@ -155,8 +165,6 @@ def student_p(t: float, df: float) -> float:
     if not np.isfinite(t):
         return 0.0 if np.isinf(t) else float("nan")
     # P(|T| > t) = integral over theta from atan(t / sqrt(df)) to pi/2 of cos^(df-1), normalised.
-    from math import lgamma, pi
-
     start = np.arctan(abs(t) / np.sqrt(df))
     nodes, weights = np.polynomial.legendre.leggauss(64)
     width = min(pi / 2 - start, 40.0 / np.sqrt(max(df, 1.0)))
