@@ -102,8 +102,8 @@ need AS (SELECT span.* FROM span JOIN own ON span.comp = own.comp WHERE own.n =
 grp AS (SELECT need.comp, regr_slope(e.purchase, e.click) AS b, regr_intercept(e.purchase, e.click) AS a, avg(CASE WHEN e.click IS NOT NULL THEN e.purchase END) AS m
         FROM need JOIN panel_event e ON e.industry = need.industry AND e.period BETWEEN need.lo AND need.hi GROUP BY 1)
 SELECT e.comp, e.period,
-       round(coalesce(e.purchase, CASE WHEN own.n > 0 THEN CASE WHEN own.b IS NULL AND e.click IS NOT NULL THEN own.m ELSE own.a + own.b * e.click END
-                                 ELSE CASE WHEN grp.b IS NULL AND e.click IS NOT NULL THEN grp.m ELSE grp.a + grp.b * e.click END END), 3) AS purchase
+       round(coalesce(e.purchase, CASE WHEN own.n > 0 THEN CASE WHEN own.a IS NULL AND e.click IS NOT NULL THEN own.m ELSE own.a + own.b * e.click END
+                                 ELSE CASE WHEN grp.a IS NULL AND e.click IS NOT NULL THEN grp.m ELSE grp.a + grp.b * e.click END END), 3) AS purchase
 FROM panel_event e JOIN own ON e.comp = own.comp LEFT JOIN grp ON e.comp = grp.comp""",
     ),
 )
