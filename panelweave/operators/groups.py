@@ -108,20 +108,28 @@ def group_blend(df: DataFrame, spec: PanelSpec, cols: Sequence[str]) -> DataFram
     score = min(1, n/10 * n/N) / 3 + (1 - logistic(r - 1)) * 2/3, and the fill is
     mean_group * score + mean_period * (1 - score), falling back to mean_group, then mean_period.
     """
-    def aggs(level: str) -> list[Column]:
-        return [
-            f(q(c)).alias(f"{n}_{level}_{c}")
-            for c in cols
-            for n, f in (("m", F.avg), ("s", F.stddev_samp), ("n", F.count))
-        ]
-
-    # The period level is a second, small aggregate of the same scan; both have one row per group at most.
-    inner = df.groupBy(spec.industry, spec.period).agg(F.count(F.lit(1)).alias("__rows"), *aggs("g"))
-    outer = df.groupBy(spec.period).agg(*aggs("p"))
-    both = inner.join(outer, spec.period)
+    inner = df.groupBy(spec.industry, spec.period).agg(
+        F.count(F.lit(1)).alias("__rows"),
+        *[f(q(c)).alias(f"{n}_{c}") for c in cols for n, f in (("m", F.avg), ("v", F.var_pop), ("n", F.count))],
+    )
+    # The period level is pooled from the group level: a period holds one row per group, and the panel is read once.
+    period = Window.partitionBy(spec.period)
+
+    def pooled(c: str) -> list[Column]:
+        n, m = q(f"n_{c}"), q(f"m_{c}")
+        return [F.sum(n).over(period).alias(f"np_{c}"), F.try_divide(F.sum(n * m).over(period), F.sum(n).over(period)).alias(f"mp_{c}")]
+
+    def squares(c: str) -> Column:
+        n, gap = q(f"n_{c}"), q(f"m_{c}") - q(f"mp_{c}")
+        total = F.sum(n * q(f"v_{c}") + n * gap * gap).over(period)
+        return F.sqrt(F.try_divide(total, q(f"np_{c}") - 1)).alias(f"sp_{c}")
+
+    both = inner.select("*", *[e for c in cols for e in pooled(c)])
+    both = both.select("*", *[squares(c) for c in cols])
 
     def blend(c: str) -> Column:
-        mg, sg, ng, mp, sp = (q(f"{k}_{c}") for k in ("m_g", "s_g", "n_g", "m_p", "s_p"))
+        mg, ng, mp, sp = (q(f"{k}_{c}") for k in ("m", "n", "mp", "sp"))
+        sg = F.sqrt(F.try_divide(q(f"v_{c}") * ng, ng - 1))
         fullness = F.least(F.lit(1.0), (ng / 10) * F.try_divide(ng, F.col("__rows")))
         r = F.try_divide(F.try_divide(sg, mg), F.try_divide(sp, mp))
         score = fullness / 3 + (1 - logistic(r - 1)) * 2 / 3

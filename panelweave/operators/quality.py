@@ -46,13 +46,15 @@ def filter_row_pct(df: DataFrame, cols: Sequence[str], threshold: float) -> Data
     return row_fill_rate(df, cols, "__rate").filter(F.col("__rate") >= threshold).drop("__rate")
 
 
-def fill_rate_quantile(df: DataFrame, cols: Sequence[str], quantile: float) -> Column:
-    """q-quantile of the row fill rate as a scalar.
+def fill_histogram(df: DataFrame, cols: Sequence[str], *flags: Column) -> DataFrame:
+    """Rows per number of filled ``cols`` (and per flag): at most ``len(cols) + 1`` rows per flag value."""
+    return df.groupBy(filled_count(*[q(c) for c in cols]).alias("filled"), *flags).agg(F.count(F.lit(1)).alias("n"))
 
-    The rate has at most ``len(cols) + 1`` distinct values, so the exact ``percentile`` holds a tiny histogram.
-    """
-    rated = row_fill_rate(df, cols, "__rate")
-    return rated.agg(F.percentile("__rate", F.lit(quantile))).scalar()
+
+def fill_rate_quantile(df: DataFrame, cols: Sequence[str], quantile: float) -> Column:
+    """q-quantile of the row fill rate as a scalar, exact, from the small fill histogram of one pass."""
+    histogram = fill_histogram(df, cols)
+    return histogram.agg(F.try_divide(F.percentile("filled", F.lit(quantile), F.col("n")), F.max("filled"))).scalar()
 
 
 def filter_row_quantile(df: DataFrame, cols: Sequence[str], quantile: float) -> DataFrame:
@@ -82,19 +84,27 @@ def quality_report(
     df: DataFrame, cols: Sequence[str], required: Sequence[str], row_pct: float, row_quantile: float
 ) -> DataFrame:
     """One row: input rows, rows lost per reason (in the order the filters run), rows kept and their share."""
-    rated = row_fill_rate(df, cols, "__rate")
     complete = F.lit(True)
     for c in required:
         complete = complete & q(c).isNotNull()
-    limit = F.greatest(F.lit(float(row_pct)), fill_rate_quantile(df, cols, row_quantile))
-    flags = rated.select(complete.alias("ok"), (F.col("__rate") >= limit).alias("full"))
-    n = F.count(F.lit(1))
-    return flags.agg(
+    # Everything below works on the histogram of (filled, complete): a few dozen rows after one pass.
+    histogram = fill_histogram(df, cols, complete.alias("ok"))
+    tiny = Window.partitionBy(F.lit(0))
+    top = F.max("filled").over(tiny)
+    cut = F.try_divide(F.percentile("filled", F.lit(row_quantile), F.col("n")).over(tiny), top)
+    rated = histogram.select("ok", "n", (F.try_divide(F.col("filled"), top) >= F.greatest(F.lit(float(row_pct)), cut)).alias("full"))
+    n = F.sum("n")
+
+    def rows(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0).cast("bigint"))
+
+    ok, full = F.col("ok"), F.col("full")
+    return rated.agg(
         n.alias("n_input"),
-        F.count_if(~F.col("ok")).alias("dropped_required"),
-        F.count_if(F.col("ok") & ~F.col("full")).alias("dropped_fill_rate"),
-        F.count_if(F.col("ok") & F.col("full")).alias("n_kept"),
-        F.try_divide(F.count_if(F.col("ok") & F.col("full")), n).alias("share_kept"),
+        rows(~ok).alias("dropped_required"),
+        rows(ok & ~full).alias("dropped_fill_rate"),
+        rows(ok & full).alias("n_kept"),
+        F.try_divide(rows(ok & full), n).alias("share_kept"),
     )
 
 

@@ -1 +1,179 @@
-"""To be filled."""
+"""Queries for the model-side jobs, on the supplier panel: earnings change next quarter from this quarter's signals."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelweave.functions.metrics import error_table
+from panelweave.operators import models as m
+from panelweave.operators.leastsq import coefficient_table, fit_least_squares, predict
+from panelweave.operators.ordered import pct_change
+from panelweave.plans.panel_sql import SUPPLIER, with_panels
+from panelweave.plans.prepare import SamplePlan
+from panelweave.plans.queries_ordered import KEYS
+from panelweave.plans.queries_windows import COMPLETE_SQL
+from panelweave.plans.registry import query
+from panelweave.plans.views import SPEC, panel_supplier
+from panelweave.spec import q
+
+SIGNALS = ["p_sales", "p_inventory", "grossmargin", "p_eps"]
+
+
+def signal_samples(spark, sf_dir):
+    """Last input step of every sample, with the next change of earnings as ``target_p_eps``."""
+    p = pct_change(panel_supplier(spark, sf_dir), SPEC, ["sales", "inventory", "eps"])
+    plan = SamplePlan(p.select(*KEYS, *SIGNALS), SPEC, SIGNALS, ["p_eps"]).window(4, 1).block_rolling_split(10)
+    return plan.compute().last_step()
+
+
+SIGNAL_SQL = (
+    COMPLETE_SQL
+    + """, ch AS (SELECT comp, idx, grossmargin, coalesce(eps / nullif(lag(eps) OVER w, 0) - 1, 0) AS p_eps FROM pi WINDOW w AS (PARTITION BY comp ORDER BY period)),
+ld AS (SELECT comp, idx, lead(grossmargin, 3) OVER w AS x1, lead(p_eps, 3) OVER w AS x2, lead(p_eps, 4) OVER w AS y FROM ch WINDOW w AS (PARTITION BY comp ORDER BY idx)),
+sg AS MATERIALIZED (SELECT s.block, s.split, s.comp, ld.x1, ld.x2, ld.y FROM smp s JOIN ld ON ld.comp = s.comp AND ld.idx = s.start)"""
+)
+
+
+@query(
+    "q_ols_single",
+    with_panels(
+        SUPPLIER,
+        body=SIGNAL_SQL
+        + " SELECT block, count(*) AS n, round(regr_intercept(y, x2), 6) AS intercept, round(regr_slope(y, x2), 6) AS slope, round(regr_r2(y, x2), 6) AS r2 FROM sg WHERE split = 'train' GROUP BY 1",
+    ),
+)
+def q_ols_single(spark, sf_dir):
+    train = signal_samples(spark, sf_dir).filter("split = 'train'")
+    fit = fit_least_squares(train, ["block"], "target_p_eps", ["p_eps"])
+    r2 = m.regression_summary(train, ["block"], "target_p_eps", ["p_eps"]).select("block", F.round("r2", 6).alias("r2"))
+    return fit.join(r2, "block").select("block", "n", F.round(F.col("coef")[0], 6).alias("intercept"), F.round(F.col("coef")[1], 6).alias("slope"), "r2")
+
+
+@query(
+    "q_ols_pair",
+    with_panels(
+        SUPPLIER,
+        body=SIGNAL_SQL
+        + """, mo AS (SELECT block, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, covar_pop(x1, x2) AS c12, var_pop(x1) AS v1, var_pop(x2) AS v2,
+                  avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM sg WHERE split = 'train' GROUP BY 1),
+b AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM mo)
+SELECT block, round(my - b1 * m1 - b2 * m2, 6) AS intercept, round(b1, 6) AS b1, round(b2, 6) AS b2 FROM b""",
+    ),
+)
+def q_ols_pair(spark, sf_dir):
+    """Two regressors, against the closed-form normal equations."""
+    train = signal_samples(spark, sf_dir).filter("split = 'train'")
+    fit = fit_least_squares(train, ["block"], "target_p_eps", ["grossmargin", "p_eps"])
+    return fit.select("block", *[F.round(F.col("coef")[i], 6).alias(n) for i, n in enumerate(("intercept", "b1", "b2"))])
+
+
+@query("q_ols_fit")
+def q_ols_fit(spark, sf_dir):
+    """Coefficients, standard errors, t and p values of all signals per block."""
+    return coefficient_table(signal_samples(spark, sf_dir).filter("split = 'train'"), ["block"], "target_p_eps", SIGNALS)
+
+
+@query("q_regression_summary")
+def q_regression_summary(spark, sf_dir):
+    return m.regression_summary(signal_samples(spark, sf_dir).filter("split = 'train'"), ["block"], "target_p_eps", SIGNALS)
+
+
+@query(
+    "q_walk_forward",
+    with_panels(
+        SUPPLIER,
+        body=SIGNAL_SQL
+        + """, f AS (SELECT block, regr_intercept(y, x2) AS a, regr_slope(y, x2) AS b FROM sg WHERE split = 'train' GROUP BY 1)
+SELECT sg.block, sg.split, round(avg(abs(a + b * x2 - y)), 6) AS mae, round(avg(power(a + b * x2 - y, 2)), 6) AS mse FROM sg JOIN f ON sg.block = f.block GROUP BY 1, 2""",
+    ),
+)
+def q_walk_forward(spark, sf_dir):
+    """Fit per block on train, error table on every split - all blocks in one job."""
+    s = signal_samples(spark, sf_dir)
+    fits = fit_least_squares(s.filter("split = 'train'"), ["block"], "target_p_eps", ["p_eps"]).select("block", "coef")
+    preds = s.join(fits, "block").select("block", "split", q("target_p_eps").alias("y_true"), predict(F.col("coef"), ["p_eps"]).alias("y_pred"))
+    return preds.groupBy("block", "split").agg(*error_table(F.col("y_true"), F.col("y_pred"), ("mae", "mse"), 6))
+
+
+@query("q_regularised")
+def q_regularised(spark, sf_dir):
+    """Ridge on all train windows of the panel."""
+    return m.regularised(signal_samples(spark, sf_dir).filter("split = 'train'"), "target_p_eps", SIGNALS, 0.1, 0.0)
+
+
+@query("q_grid_search")
+def q_grid_search(spark, sf_dir):
+    return m.grid_search(signal_samples(spark, sf_dir).filter("split = 'train'"), "target_p_eps", SIGNALS, [0.0, 0.1], [0.0, 1.0], folds=2)
+
+
+@query("q_eliminate_features")
+def q_eliminate_features(spark, sf_dir):
+    train = signal_samples(spark, sf_dir).filter("split = 'train'")
+    kept = m.eliminate_features(train, "target_p_eps", SIGNALS, 2)
+    return coefficient_table(train, ["block"], "target_p_eps", kept)
+
+
+@query("q_gbt_fit")
+def q_gbt_fit(spark, sf_dir):
+    """Boosted trees chosen on val, error table on the three splits."""
+    s = signal_samples(spark, sf_dir).select("block", "split", "comp", "start", *SIGNALS, "target_p_eps")
+    grid = {"maxDepth": [2, 3], "stepSize": [0.1], "maxIter": [5]}
+    scored, _ = m.boosted_trees(s.filter("split = 'train'"), s.filter("split = 'val'"), s, "target_p_eps", SIGNALS, trials=1, grid=grid)
+    return scored.groupBy("split").agg(*error_table(q("target_p_eps"), q("y_pred"), ("mae", "mda", "huber", "pos")))
+
+
+ORDERS = [(0, 1), (1, 0), (1, 1), (2, 0)]
+
+
+def _until(spark, sf_dir):
+    from panelweave.operators.windows import distinct_periods
+
+    periods = distinct_periods(panel_supplier(spark, sf_dir), SPEC)
+    return {"val": (periods[-3], periods[-2]), "test": (periods[-2], periods[-1])}
+
+
+@query("q_ar_fit")
+def q_ar_fit(spark, sf_dir):
+    """Order search: mean errors of one-step forecasts per order and split, best order by val."""
+    p = panel_supplier(spark, sf_dir).select(*KEYS, "eps")
+    return m.order_search(p, SPEC, "eps", ORDERS, _until(spark, sf_dir))
+
+
+@query(
+    "q_ar_predictions",
+    with_panels(
+        SUPPLIER,
+        body="""
+, per AS (SELECT period, row_number() OVER (ORDER BY period DESC) AS r FROM (SELECT DISTINCT period FROM panel_supplier)),
+z AS (SELECT comp, period, eps AS y, lag(eps) OVER w AS y1, eps - lag(eps) OVER w AS z1 FROM panel_supplier WINDOW w AS (PARTITION BY comp ORDER BY period)),
+l AS (SELECT *, lag(y) OVER w AS ly, lag(z1) OVER w AS lz FROM z WINDOW w AS (PARTITION BY comp ORDER BY period)),
+s(split, last_r, at_r) AS (VALUES ('val', 3, 2), ('test', 2, 1)),
+sp AS (SELECT split, a.period AS last_p, b.period AS at_p FROM s JOIN per a ON a.r = last_r JOIN per b ON b.r = at_r),
+f AS (SELECT split, comp, regr_intercept(y, ly) AS a0, regr_slope(y, ly) AS b0, regr_intercept(z1, lz) AS a1, regr_slope(z1, lz) AS b1 FROM l, sp WHERE l.period <= last_p GROUP BY 1, 2)
+SELECT '(1,0)' AS "order", f.split, l.comp, round(l.y, 4) AS y_true, round(a0 + b0 * ly, 4) AS y_pred FROM l JOIN sp ON l.period = at_p JOIN f ON f.comp = l.comp AND f.split = sp.split
+UNION ALL
+SELECT '(1,1)', f.split, l.comp, round(l.y, 4), round(y1 + a1 + b1 * lz, 4) FROM l JOIN sp ON l.period = at_p JOIN f ON f.comp = l.comp AND f.split = sp.split""",
+    ),
+)
+def q_ar_predictions(spark, sf_dir):
+    p = panel_supplier(spark, sf_dir).select(*KEYS, "eps")
+    out = m.order_predictions(p, SPEC, "eps", [(1, 0), (1, 1)], _until(spark, sf_dir))
+    return out.select("order", "split", "comp", F.round("y_true", 4).alias("y_true"), F.round("y_pred", 4).alias("y_pred"))
+
+
+@query("q_perm_importance")
+def q_perm_importance(spark, sf_dir):
+    """Rise of the absolute error when a signal is permuted over all val rows."""
+    s = signal_samples(spark, sf_dir)
+    fits = fit_least_squares(s.filter("split = 'train'"), ["block"], "target_p_eps", SIGNALS).select("block", "coef")
+    val = s.filter("split = 'val'").join(fits, "block").withColumn("row_id", F.xxhash64("block", "comp", "start"))
+    return m.permutation_importance(val, "row_id", "target_p_eps", SIGNALS, lambda d: d.withColumn("y_pred", predict(F.col("coef"), SIGNALS)))
+
+
+@query("q_residual_quartiles")
+def q_residual_quartiles(spark, sf_dir):
+    s = signal_samples(spark, sf_dir)
+    fits = fit_least_squares(s.filter("split = 'train'"), ["block"], "target_p_eps", SIGNALS).select("block", "coef")
+    e = s.filter("split = 'train'").join(fits, "block").select((q("target_p_eps") - predict(F.col("coef"), SIGNALS)).alias("e"))
+    got = m.residual_quartiles(e, "e")
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in got.items()])
