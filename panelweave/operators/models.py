@@ -19,6 +19,7 @@ from panelweave.operators.leastsq import coefficient_table, fit_least_squares, g
 from panelweave.operators.quantiles import exact_quantiles
 from panelweave.operators.select import with_position
 from panelweave.operators.windows import small_table
+from panelweave.session import cut_lineage
 from panelweave.spec import PanelSpec, q
 
 
@@ -85,7 +86,7 @@ def grid_search(df: DataFrame, y: str, xs: Sequence[str], regs: Sequence[float],
     lr = LinearRegression(labelCol=y, featuresCol="features")
     grid = ParamGridBuilder().addGrid(lr.regParam, list(regs)).addGrid(lr.elasticNetParam, list(elastics)).build()
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=y, metricName="mae"), numFolds=folds, seed=seed, parallelism=4)
-    model = cv.fit(assemble(df, xs))
+    model = cv.fit(assemble(cut_lineage(df.select(y, *[x for x in xs if x != y])), xs))
     schema = pa.schema([("reg", pa.float64()), ("elastic", pa.float64()), ("mae", pa.float64())])
     cols = {
         "reg": [g[lr.regParam] for g in grid],
@@ -142,17 +143,19 @@ def permuted(df: DataFrame, key: str, col: str, seed: int) -> DataFrame:
 
     Both orders are positions by a seeded hash, numbered in buckets, so no task sees the whole table.
     """
-    by_row = with_position(df.withColumn("__h", F.xxhash64(q(key), F.lit(seed))), "__h", "__pos", [key]).drop("__h")
+    by_row = with_position(df.withColumn("__h", F.xxhash64(q(key), F.lit(seed))), "__h", "__pos", [key], uniform_hash=True).drop("__h")
     source = df.select(q(key), q(col).alias("__other"), F.xxhash64(q(key), F.lit(seed + 1)).alias("__h"))
-    values = with_position(source, "__h", "__pos", [key]).select("__pos", "__other")
+    values = with_position(source, "__h", "__pos", [key], uniform_hash=True).select("__pos", "__other")
     return by_row.join(values, "__pos").withColumn(col, F.col("__other")).drop("__pos", "__other")
 
 
 def permutation_importance(df: DataFrame, key: str, y: str, xs: Sequence[str], score, repeats: int = 1, seed: int = 7) -> DataFrame:
     """(feature, importance, spread): rise of the mean absolute error when a column is permuted.
 
-    ``score(df)`` adds ``y_pred``. ``key`` identifies a row.
+    ``score(df)`` adds ``y_pred``. ``key`` identifies a row. The table is read several times per feature, so it
+    is written to the checkpoint folder first.
     """
+    df = cut_lineage(df)
     base = score(df).agg(F.avg(F.abs(F.col("y_pred") - q(y))).alias("loss")).first()["loss"]
     parts = None
     for i, x in enumerate(xs):

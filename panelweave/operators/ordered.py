@@ -71,7 +71,7 @@ def lag_backfill(df: DataFrame, spec: PanelSpec, cols: Sequence[str], k: int = 1
     lagged = df.select("*", *[F.lag(q(c), k).over(w).alias(f"__l_{c}") for c in cols])
     return lagged.select(
         *[q(c) for c in df.columns],
-        *[F.first(q(f"__l_{c}"), ignorenulls=True).over(spec.from_here()).alias(c + suffix) for c in cols],
+        *[F.last(q(f"__l_{c}"), ignorenulls=True).over(spec.from_here()).alias(c + suffix) for c in cols],
     )
 
 
@@ -128,8 +128,8 @@ def fill_linear(df: DataFrame, spec: PanelSpec, cols: Sequence[str], order: str
         return [
             F.last(q(c), ignorenulls=True).over(spec.so_far()).alias(f"__a_{c}"),
             F.last(seen, ignorenulls=True).over(spec.so_far()).alias(f"__ia_{c}"),
-            F.first(q(c), ignorenulls=True).over(spec.from_here()).alias(f"__b_{c}"),
-            F.first(seen, ignorenulls=True).over(spec.from_here()).alias(f"__ib_{c}"),
+            F.last(q(c), ignorenulls=True).over(spec.from_here()).alias(f"__b_{c}"),
+            F.last(seen, ignorenulls=True).over(spec.from_here()).alias(f"__ib_{c}"),
         ]
 
     near = pos.select("*", *[e for c in cols for e in around(c)])
@@ -229,17 +229,20 @@ def fill_annual(df: DataFrame, spec: PanelSpec, col: str, only_where: str | None
     without it, or whose group heads have no gap, get the plain ``fill_linear``.
     """
     grouped = annual_groups(df, spec, col, "__g")
-    in_group = Window.partitionBy(spec.comp, "__g").orderBy(spec.period)
-    head = grouped.select("*", F.row_number().over(in_group).alias("__k"), F.first(q(col)).over(in_group).alias("__own"))
+    # Groups are runs of rows in period order, so heads are found without sorting by group.
+    is_head = F.coalesce(F.col("__g") != F.lag("__g").over(spec.ordered()), F.lit(True))
+    flagged = grouped.select("*", is_head.alias("__head"))
+    boxed = F.when(F.col("__head"), F.struct(q(col).alias("v")))
+    head = flagged.select("*", F.last(boxed, ignorenulls=True).over(spec.so_far())["v"].alias("__own"))
     # Only group heads carry the collapsed series; the group number is their position.
-    value = F.when(F.col("__k") == 1, q(col))
+    value = F.when(F.col("__head"), q(col))
     seen = F.when(value.isNotNull(), F.col("__g"))
     near = head.select(
         "*",
         F.last(value, ignorenulls=True).over(spec.so_far()).alias("__ya"),
         F.last(seen, ignorenulls=True).over(spec.so_far()).alias("__yga"),
-        F.first(value, ignorenulls=True).over(spec.from_here()).alias("__yb"),
-        F.first(seen, ignorenulls=True).over(spec.from_here()).alias("__ygb"),
+        F.last(value, ignorenulls=True).over(spec.from_here()).alias("__yb"),
+        F.last(seen, ignorenulls=True).over(spec.from_here()).alias("__ygb"),
         F.max(F.col("__own").isNull()).over(spec.whole()).alias("__ygap"),
         q(col).alias("__line"),
     )

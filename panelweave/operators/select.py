@@ -65,26 +65,31 @@ def between_periods(df: DataFrame, period: str, low: int, high: int, comp: str |
     return out.filter(q(comp) == F.lit(value)) if comp else out
 
 
-def with_position(df: DataFrame, key: str, alias: str, then: Sequence[str] = (), bucket_rows: int = POSITION_BUCKET_ROWS) -> DataFrame:
+def with_position(
+    df: DataFrame, key: str, alias: str, then: Sequence[str] = (), bucket_rows: int = POSITION_BUCKET_ROWS, uniform_hash: bool = False
+) -> DataFrame:
     """Append the 0-based global position in the order of a numeric, (nearly) unique ``key``; ties go by ``then``.
 
-    A plain window over the whole table would run in one task. Instead, boundaries from a rank sketch cut the
-    key range into buckets of about ``bucket_rows`` rows; bucket counts are one small aggregate, and rows are
-    numbered inside their bucket. Boundaries are literals, so recomputed tasks see the same buckets.
+    A plain window over the whole table would run in one task. Instead, boundaries cut the key range into buckets
+    of about ``bucket_rows`` rows; bucket counts are one small aggregate, and rows are numbered inside their
+    bucket. Boundaries are literals, so recomputed tasks see the same buckets. They come from a rank sketch, or
+    from plain arithmetic when the key is a 64-bit hash (``uniform_hash``).
     """
     n = df.count()
     parts = min(-(-n // bucket_rows), MAX_POSITION_BUCKETS)
     cuts: list[float] = []
-    if parts > 1:
+    if parts > 1 and uniform_hash:
+        cuts = [-(2.0**63) + 2.0**64 * i / parts for i in range(1, parts)]
+    elif parts > 1:
         shares = [i / parts for i in range(1, parts)]
         cuts = sorted(set(df.agg(F.percentile_approx(q(key).cast("double"), shares, 100_000).alias("c")).first()["c"]))
-    if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        numeric = df.withColumn("__key", q(key).cast("double"))
-        marked = Bucketizer(splits=splits, inputCol="__key", outputCol="__bucket").transform(numeric).drop("__key")
-        marked = marked.withColumn("__bucket", F.col("__bucket").cast("bigint"))
-    else:
-        marked = df.withColumn("__bucket", F.lit(0).cast("bigint"))
+    if not cuts:
+        one = Window.partitionBy(F.lit(0)).orderBy(q(key), *then)
+        return df.withColumn(alias, (F.row_number().over(one) - 1).cast("bigint"))
+    splits = [float("-inf"), *cuts, float("inf")]
+    numeric = df.withColumn("__key", q(key).cast("double"))
+    marked = Bucketizer(splits=splits, inputCol="__key", outputCol="__bucket").transform(numeric).drop("__key")
+    marked = marked.withColumn("__bucket", F.col("__bucket").cast("bigint"))
     counts = sorted((r[0], r[1]) for r in marked.groupBy("__bucket").count().collect())
     starts = [0, *accumulate(c for _, c in counts)][:-1]
     schema = pa.schema([("__bucket", pa.int64()), ("__start", pa.int64())])

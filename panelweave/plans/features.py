@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.scalars import negative_flag, ratio, zero_if_missing
 from panelweave.operators.groups import attach_group_mean, compare_to_group, group_mean, join_group, reduce_to_yearly
 from panelweave.operators.ordered import lag_backfill, lag_set, pct_change, season
+from panelweave.session import cut_lineage
 from panelweave.spec import PanelSpec, q
 
 # Measures that the named sets read.
@@ -183,12 +184,18 @@ def build_features(
     yearly: bool = False,
     with_lags: bool = False,
     target_range: tuple[float, float] | None = (-3.0, 3.0),
+    materialise: bool = False,
 ) -> DataFrame:
     """The whole feature frame: seasonality, optional yearly reduction, changes, sets, targets, clean-up, outlier cut.
 
     Sets are columns of one frame, not frames to be merged: only the group comparison (an aggregate) is joined
     back. Missing and infinite features become 0; rows whose ``y_eps pct`` lies outside ``target_range`` go.
+
+    The panel is read for its rows and for its group means. Where it is derived from raw rows, ``materialise``
+    writes it to the checkpoint folder first, so that the raw table is scanned once.
     """
+    if materialise:
+        df = cut_lineage(df)
     base = season(df, quarter) if quarter else df
     extra = [c for c in ("t_qrt_sin", "t_qrt_cos") if quarter]
     if yearly:

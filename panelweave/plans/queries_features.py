@@ -141,7 +141,7 @@ SEASON_SQL = "CAST(round(sin((data_qrt - 1) * pi() / 2)) AS BIGINT) AS t_qrt_sin
 )
 def q_features_full(spark, sf_dir):
     """All sets and targets as one frame."""
-    out = fe.build_features(panel_supplier_ratios(spark, sf_dir), SECTOR_SPEC, quarter="data_qrt")
+    out = fe.build_features(panel_supplier_ratios(spark, sf_dir), SECTOR_SPEC, quarter="data_qrt", materialise=True)
     return _rounded(out, list(FULL))
 
 

@@ -12,6 +12,7 @@ from panelweave.plans.panel_sql import CUSTOMER, EVENT, SUPPLIER, with_panels
 from panelweave.plans.queries_ordered import EMPTY_SERIES_SQL, FILL_LINEAR_SQL
 from panelweave.plans.queries_quality import FILLED
 from panelweave.plans.registry import query
+from panelweave.session import cut_lineage
 from panelweave.plans.views import EVENT_MEASURES, SPEC, panel_customer, panel_event, panel_supplier
 
 KEYS = ["comp", "period"]
@@ -108,13 +109,28 @@ FROM panel_event e JOIN own ON e.comp = own.comp LEFT JOIN grp ON e.comp = grp.c
     ),
 )
 def q_fill_approx(spark, sf_dir):
-    out = f.fill_approx(panel_event(spark, sf_dir), SPEC, "purchase", ["click"])
+    panel = cut_lineage(panel_event(spark, sf_dir).select(*KEYS, "industry", "purchase", "click"))
+    out = f.fill_approx(panel, SPEC, "purchase", ["click"])
     return out.select(*KEYS, F.round("purchase", 3).alias("purchase"))
 
 
-@query("q_fill_approx_multi")
+@query(
+    "q_fill_approx_multi",
+    with_panels(
+        SUPPLIER,
+        body="""
+, c AS (SELECT * FROM panel_supplier WHERE orderbacklog IS NOT NULL),
+mo AS (SELECT comp, count(*) AS n, covar_pop(inventory, orderbacklog) AS c1, covar_pop(grossmargin, orderbacklog) AS c2, covar_pop(inventory, grossmargin) AS c12,
+              var_pop(inventory) AS v1, var_pop(grossmargin) AS v2, avg(inventory) AS m1, avg(grossmargin) AS m2, avg(orderbacklog) AS my FROM c GROUP BY 1),
+b AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM mo WHERE n > 2)
+SELECT p.comp, p.period, round(coalesce(p.orderbacklog, my + b1 * (p.inventory - m1) + b2 * (p.grossmargin - m2)), 4) AS orderbacklog
+FROM panel_supplier p JOIN b ON p.comp = b.comp""",
+    ),
+)
 def q_fill_approx_multi(spark, sf_dir):
-    out = f.fill_approx(panel_supplier(spark, sf_dir), SPEC, "orderbacklog", ["inventory", "employeenum"])
+    """Two regressors; every supplier has rows enough for a unique fit."""
+    panel = cut_lineage(panel_supplier(spark, sf_dir).select(*KEYS, "industry", "orderbacklog", "inventory", "grossmargin"))
+    out = f.fill_approx(panel, SPEC, "orderbacklog", ["inventory", "grossmargin"])
     return out.select(*KEYS, F.round("orderbacklog", 4).alias("orderbacklog"))
 
 

@@ -14,6 +14,7 @@ from panelweave.plans.queries_ordered import KEYS
 from panelweave.plans.queries_windows import COMPLETE_SQL
 from panelweave.plans.registry import query
 from panelweave.plans.views import SPEC, panel_supplier
+from panelweave.session import cut_lineage
 from panelweave.spec import q
 
 SIGNALS = ["p_sales", "p_inventory", "grossmargin", "p_eps"]
@@ -122,7 +123,7 @@ def q_gbt_fit(spark, sf_dir):
     return scored.groupBy("split").agg(*error_table(q("target_p_eps"), q("y_pred"), ("mae", "mda", "huber", "pos")))
 
 
-ORDERS = [(0, 1), (1, 0), (1, 1), (2, 0)]
+ORDERS = [(0, 0), (0, 1), (1, 0), (1, 1)]
 
 
 def _until(spark, sf_dir):
@@ -132,27 +133,44 @@ def _until(spark, sf_dir):
     return {"val": (periods[-3], periods[-2]), "test": (periods[-2], periods[-1])}
 
 
-@query("q_ar_fit")
+AR_SQL = """
+, per AS (SELECT period, row_number() OVER (ORDER BY period DESC) AS r FROM (SELECT DISTINCT period FROM panel_supplier)),
+z AS (SELECT comp, period, eps AS y, lag(eps) OVER w AS y1, eps - lag(eps) OVER w AS z1 FROM panel_supplier WINDOW w AS (PARTITION BY comp ORDER BY period)),
+l AS (SELECT *, lag(y) OVER w AS ly, lag(z1) OVER w AS lz FROM z WINDOW w AS (PARTITION BY comp ORDER BY period)),
+s(split, last_r, at_r) AS (VALUES ('val', 3, 2), ('test', 2, 1)),
+sp AS (SELECT split, a.period AS last_p, b.period AS at_p FROM s JOIN per a ON a.r = last_r JOIN per b ON b.r = at_r),
+f AS (SELECT split, comp, avg(y) AS m0, avg(z1) AS m1, regr_intercept(y, ly) AS a0, regr_slope(y, ly) AS b0, regr_intercept(z1, lz) AS a1, regr_slope(z1, lz) AS b1
+      FROM l, sp WHERE l.period <= last_p GROUP BY 1, 2),
+j AS (SELECT f.*, l.y, l.y1, l.ly, l.lz FROM l JOIN sp ON l.period = at_p JOIN f ON f.comp = l.comp AND f.split = sp.split),
+pred AS (SELECT '(0,0)' AS "order", split, comp, y AS t, m0 AS p FROM j UNION ALL SELECT '(0,1)', split, comp, y, y1 + m1 FROM j
+         UNION ALL SELECT '(1,0)', split, comp, y, a0 + b0 * ly FROM j UNION ALL SELECT '(1,1)', split, comp, y, y1 + a1 + b1 * lz FROM j)
+"""
+
+
+@query(
+    "q_ar_fit",
+    with_panels(
+        SUPPLIER,
+        body=AR_SQL
+        + """, er AS (SELECT "order", split, round(avg(abs(p - t)), 2) AS mae, round(avg((p - t) * (p - t)), 0) AS mse,
+       round(avg(CASE WHEN sign(t) = sign(p) OR sign(round_even(t * 10000, 0)) = sign(round_even(p * 10000, 0)) THEN 1.0 ELSE 0.0 END), 6) AS mda,
+       round(avg(sign(round_even(t * 1000000, 0))), 6) AS pos FROM pred WHERE p IS NOT NULL AND t IS NOT NULL GROUP BY 1, 2)
+SELECT *, "order" = (SELECT arg_min("order", (mae, "order")) FROM er WHERE split = 'val') AS is_best FROM er""",
+    ),
+)
 def q_ar_fit(spark, sf_dir):
     """Order search: mean errors of one-step forecasts per order and split, best order by val."""
-    p = panel_supplier(spark, sf_dir).select(*KEYS, "eps")
-    return m.order_search(p, SPEC, "eps", ORDERS, _until(spark, sf_dir))
+    p = cut_lineage(panel_supplier(spark, sf_dir).select(*KEYS, "eps"))
+    out = m.order_search(p, SPEC, "eps", ORDERS, _until(spark, sf_dir))
+    return out.select("order", "split", F.round("mae", 2).alias("mae"), F.round("mse", 0).alias("mse"), F.round("mda", 6).alias("mda"), F.round("pos", 6).alias("pos"), "is_best")
 
 
 @query(
     "q_ar_predictions",
     with_panels(
         SUPPLIER,
-        body="""
-, per AS (SELECT period, row_number() OVER (ORDER BY period DESC) AS r FROM (SELECT DISTINCT period FROM panel_supplier)),
-z AS (SELECT comp, period, eps AS y, lag(eps) OVER w AS y1, eps - lag(eps) OVER w AS z1 FROM panel_supplier WINDOW w AS (PARTITION BY comp ORDER BY period)),
-l AS (SELECT *, lag(y) OVER w AS ly, lag(z1) OVER w AS lz FROM z WINDOW w AS (PARTITION BY comp ORDER BY period)),
-s(split, last_r, at_r) AS (VALUES ('val', 3, 2), ('test', 2, 1)),
-sp AS (SELECT split, a.period AS last_p, b.period AS at_p FROM s JOIN per a ON a.r = last_r JOIN per b ON b.r = at_r),
-f AS (SELECT split, comp, regr_intercept(y, ly) AS a0, regr_slope(y, ly) AS b0, regr_intercept(z1, lz) AS a1, regr_slope(z1, lz) AS b1 FROM l, sp WHERE l.period <= last_p GROUP BY 1, 2)
-SELECT '(1,0)' AS "order", f.split, l.comp, round(l.y, 4) AS y_true, round(a0 + b0 * ly, 4) AS y_pred FROM l JOIN sp ON l.period = at_p JOIN f ON f.comp = l.comp AND f.split = sp.split
-UNION ALL
-SELECT '(1,1)', f.split, l.comp, round(l.y, 4), round(y1 + a1 + b1 * lz, 4) FROM l JOIN sp ON l.period = at_p JOIN f ON f.comp = l.comp AND f.split = sp.split""",
+        body=AR_SQL
+        + """SELECT "order", split, comp, round(t, 4) AS y_true, round(p, 4) AS y_pred FROM pred WHERE "order" IN ('(1,0)', '(1,1)') AND t IS NOT NULL AND p IS NOT NULL""",
     ),
 )
 def q_ar_predictions(spark, sf_dir):
@@ -170,10 +188,19 @@ def q_perm_importance(spark, sf_dir):
     return m.permutation_importance(val, "row_id", "target_p_eps", SIGNALS, lambda d: d.withColumn("y_pred", predict(F.col("coef"), SIGNALS)))
 
 
-@query("q_residual_quartiles")
+@query(
+    "q_residual_quartiles",
+    with_panels(
+        SUPPLIER,
+        body=SIGNAL_SQL
+        + """, f AS (SELECT block, regr_intercept(y, x2) AS a, regr_slope(y, x2) AS b FROM sg WHERE split = 'train' GROUP BY 1),
+e AS (SELECT y - (a + b * x2) AS e FROM sg JOIN f ON sg.block = f.block WHERE split = 'train')
+SELECT round(min(e), 6) AS "min", round(quantile_cont(e, 0.25), 6) AS q1, round(quantile_cont(e, 0.5), 6) AS "median", round(quantile_cont(e, 0.75), 6) AS q3, round(max(e), 6) AS "max" FROM e""",
+    ),
+)
 def q_residual_quartiles(spark, sf_dir):
-    s = signal_samples(spark, sf_dir)
-    fits = fit_least_squares(s.filter("split = 'train'"), ["block"], "target_p_eps", SIGNALS).select("block", "coef")
-    e = s.filter("split = 'train'").join(fits, "block").select((q("target_p_eps") - predict(F.col("coef"), SIGNALS)).alias("e"))
+    train = cut_lineage(signal_samples(spark, sf_dir).filter("split = 'train'").select("block", "p_eps", "target_p_eps"))
+    fits = fit_least_squares(train, ["block"], "target_p_eps", ["p_eps"]).select("block", "coef")
+    e = train.join(fits, "block").select((q("target_p_eps") - predict(F.col("coef"), ["p_eps"])).alias("e"))
     got = m.residual_quartiles(e, "e")
-    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in got.items()])
+    return spark.range(1).select(*[F.round(F.lit(v), 6).alias(k) for k, v in got.items()])

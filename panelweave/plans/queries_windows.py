@@ -341,12 +341,28 @@ def q_keep_last_steps(spark, sf_dir):
     return flat.select("block", "split", "comp", "lower", *[F.col("v")[i].alias(f"x_{i}") for i in range(4)])
 
 
-@query("q_target_axes")
+@query(
+    "q_target_axes",
+    with_panels(
+        SUPPLIER,
+        body=PERIODS_SQL.format(panel="panel_supplier")
+        + """, pi AS (SELECT p.comp, per.idx, p.sales, p.inventory FROM panel_supplier p JOIN per ON p.period = per.period),
+l AS (SELECT comp, idx AS start, lead(idx, 5) OVER w AS last_idx, lead(sales, 4) OVER w AS s1, lead(sales, 5) OVER w AS s2,
+             lead(inventory, 4) OVER w AS i1, lead(inventory, 5) OVER w AS i2 FROM pi WINDOW w AS (PARTITION BY comp ORDER BY idx)),
+blk AS (SELECT idx AS lo, idx + 16 AS hi FROM per, np WHERE idx + 16 < n),
+ws AS (SELECT lo, hi, 'train' AS split, lo + k AS start FROM blk, (SELECT unnest(generate_series(0, 7)) AS k)
+       UNION ALL SELECT lo, hi, 'val', hi - 7 FROM blk UNION ALL SELECT lo, hi, 'test', hi - 5 FROM blk)
+SELECT a.period || '_' || b.period AS block, ws.split, l.comp, c.period AS lower, s1 AS sales_1, s2 AS sales_2, i1 AS inventory_1, i2 AS inventory_2
+FROM ws JOIN l ON l.start = ws.start AND l.last_idx = l.start + 5 JOIN per a ON ws.lo = a.idx JOIN per b ON ws.hi = b.idx JOIN per c ON ws.start = c.idx""",
+    ),
+)
 def q_target_axes(spark, sf_dir):
     """[horizon][target] -> [target][horizon] for two targets and two horizons."""
     plan = SamplePlan(panel_supplier(spark, sf_dir), SPEC, ["sales"], ["sales", "inventory"]).window(4, 2).block_rolling_split(8)
-    done = plan.compute()
-    return done.samples.select("block", "split", "comp", "lower", win.swap_target_axes(F.col("y"), ["sales", "inventory"]).alias("y"))
+    y = win.swap_target_axes(F.col("y"), ["sales", "inventory"])
+    flat = plan.compute().samples.select("block", "split", "comp", "lower", y.alias("y"))
+    cells = [F.col("y")[t][h].alias(f"{n}_{h + 1}") for t, n in enumerate(("sales", "inventory")) for h in (0, 1)]
+    return flat.select("block", "split", "comp", "lower", *cells)
 
 
 @query("q_examples")

@@ -30,7 +30,13 @@ class PanelSpec:
         return self.ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def from_here(self) -> WindowSpec:
-        return self.ordered().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        """This row and all later ones, nearest last: ``last(..., ignorenulls)`` finds the next value.
+
+        Ordered backwards on purpose: a growing frame costs one step per row, whereas a frame that ends at
+        unbounded following is evaluated anew for every row.
+        """
+        back = Window.partitionBy(self.comp).orderBy(F.col(self.period).desc())
+        return back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def whole(self) -> WindowSpec:
         return Window.partitionBy(self.comp)
