@@ -157,10 +157,16 @@ def z_score_filter(df: DataFrame, cols: Sequence[str], limit: float = 3.0) -> Da
     return df
 
 
+def _pearson(a: Column, b: Column) -> Column:
+    """r over rows where both are present; NULL for a constant column (``corr`` raises there in ANSI mode)."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson r of every column pair (in column order) from one aggregate pass; undefined r counts as 0."""
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    r = df.agg(*[F.corr(q(cols[i]), q(cols[j])).alias(f"r_{i}_{j}") for i, j in pairs])
+    r = df.agg(*[_pearson(q(cols[i]).cast("double"), q(cols[j]).cast("double")).alias(f"r_{i}_{j}") for i, j in pairs])
     entry = F.explode(
         F.array(
             *[

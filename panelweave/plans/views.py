@@ -69,7 +69,7 @@ def panel_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sales",
         "netincome",
         (net / F.col("employeenum")).alias("eps"),
-        ((sales - net) / sales * 100).alias("grossmargin"),
+        (ratio(sales - net, sales) * 100).alias("grossmargin"),
         "sga",
         "inventory",
         "capitalexpenditures",
@@ -98,23 +98,23 @@ def panel_supplier_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
         (c("sales") / 100).alias("depreciation"),
         (c("eps") / 100).alias("dividendperstock"),
         (c("grossmargin") / 2).alias("dividendyield"),
-        (c("netincome") / c("sales")).alias("roe"),
-        (c("netincome") / assets).alias("roa"),
-        (c("netincome") / c("sales") * 100).alias("netprofitmargin"),
+        ratio(c("netincome"), c("sales")).alias("roe"),
+        ratio(c("netincome"), assets).alias("roa"),
+        (ratio(c("netincome"), c("sales")) * 100).alias("netprofitmargin"),
         ratio(c("sales"), c("sga")).alias("currentratio"),
         ratio(c("sales") - c("inventory"), c("sga")).alias("quickratio"),
         ratio(c("netincome"), c("inventory")).alias("inventoryturnover"),
-        (c("inventory") / assets).alias("inventorytoassets"),
-        (c("capitalexpenditures") / assets).alias("capextoassets"),
-        (c("randd") / c("sales")).alias("debttoequity"),
-        (c("sales") / assets).alias("salestoassets"),
-        (c("sales") / assets).alias("assetturnover"),
-        (c("sales") / c("employeenum")).alias("acctrcvblturnover"),
-        (ebit / c("sales")).alias("pretaxincometosales"),
+        ratio(c("inventory"), assets).alias("inventorytoassets"),
+        ratio(c("capitalexpenditures"), assets).alias("capextoassets"),
+        ratio(c("randd"), c("sales")).alias("debttoequity"),
+        ratio(c("sales"), assets).alias("salestoassets"),
+        ratio(c("sales"), assets).alias("assetturnover"),
+        ratio(c("sales"), c("employeenum")).alias("acctrcvblturnover"),
+        ratio(ebit, c("sales")).alias("pretaxincometosales"),
         ratio(c("sales"), c("orderbacklog")).alias("salestocash"),
         ratio(fcf, c("randd")).alias("fcftodebt"),
-        (wc / assets).alias("wctoassets"),
-        (ebit / assets).alias("opinctoassets"),
+        ratio(wc, assets).alias("wctoassets"),
+        ratio(ebit, assets).alias("opinctoassets"),
         ratio(c("sga"), c("randd")).alias("ltdebtrepaypct"),
         ratio(c("eps"), fcf).alias("divtofcf"),
     )

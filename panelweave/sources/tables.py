@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,11 +37,12 @@ def read_through(spark: SparkSession, path: str, load: Callable[[], DataFrame],
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """A finished write is one that left its _SUCCESS mark."""
+    """Is there a readable parquet table? Files of an unfinished job stay hidden and do not count."""
     try:
-        return spark.read.format("binaryFile").load(path.rstrip("/") + "/_SUCCESS").limit(1).count() == 1
-    except Exception:  # noqa: BLE001 - Spark reports a missing path as an analysis error
+        spark.read.parquet(path)
+    except AnalysisException:
         return False
+    return True
 
 
 def read_sql(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
