@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.scalars import name_similarity
+from panelweave.operators.groups import join_group
 from panelweave.operators.select import with_position
 from panelweave.spec import assert_unique, q
 
@@ -31,9 +32,10 @@ def lookup(df: DataFrame, key: str, table: Mapping, alias: str) -> DataFrame:
     return df.withColumn(alias, F.try_element_at(F.create_map(*pairs), q(key)))
 
 
-def chained_lookup(entities: DataFrame, links: DataFrame, records: DataFrame, link_key: str, record_key: str) -> DataFrame:
-    """entity -> link -> record by two left joins; sizes decide the join strategy at run time."""
-    return entities.join(links, link_key, "left").join(records, record_key, "left")
+def chained_lookup(entities: DataFrame, entity: str, links: DataFrame, records: DataFrame, link_key: str, record_key: str) -> DataFrame:
+    """entity -> link -> record by two left joins on unique keys. A link or record shared by many entities is spread."""
+    linked = join_group(entities, links, [link_key], spread_by=entity)
+    return join_group(linked, records, [record_key], spread_by=entity)
 
 
 def best_match(
@@ -42,18 +44,19 @@ def best_match(
     """Best record per entity by name similarity among the records its link key leads to.
 
     Candidates come from the link table only, so there are as many as there are links - never all pairs of a
-    group. Repeated candidates collapse before scoring. The best one is an aggregate (``max_by`` over score and
-    record key), which combines map-side: an entity with a third of all candidates is no single task's load.
-    Ties go to the highest record key. ``include_company`` is false for entities without any record.
+    group. Repeated links collapse before they meet the entities. Both joins are salted, so a link key or a record
+    with a third of all links is spread; the best candidate is an aggregate (``max_by`` over score and record key)
+    that combines map-side. Ties go to the highest record key. ``include_company`` is false for entities without
+    any record.
     """
-    pairs = entities.select(entity, entity_name, link_key).join(links.select(link_key, record_key).distinct(), link_key, "left").drop(link_key).distinct()
-    scored = pairs.join(records.select(record_key, record_name), record_key, "left")
+    known = entities.select(entity, entity_name, link_key).distinct()
+    pairs = join_group(links.select(link_key, record_key).distinct(), known, [link_key], spread_by=record_key, how="inner")
+    scored = join_group(pairs.drop(link_key), records.select(record_key, record_name), [record_key], spread_by=entity, how="inner")
     score = name_similarity(q(entity_name), q(record_name))
     rank = F.struct(score.alias("score"), q(record_key).alias("record"))
-    best = scored.groupBy(entity, entity_name).agg(
-        F.max_by(F.struct(q(record_key), q(record_name), score.alias("score")), F.when(score.isNotNull(), rank)).alias("m")
-    )
-    return best.select(entity, entity_name, "m.*", F.col(f"m.{record_key}").isNotNull().alias("include_company"))
+    best = scored.groupBy(entity).agg(F.max_by(F.struct(q(record_key), q(record_name), score.alias("score")), rank).alias("m"))
+    out = known.select(entity, entity_name).distinct().join(best, entity, "left")
+    return out.select(entity, entity_name, "m.*", F.col(f"m.{record_key}").isNotNull().alias("include_company"))
 
 
 def collapse_ties(scored: DataFrame, score: str) -> DataFrame:

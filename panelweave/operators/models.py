@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,19 +82,45 @@ def _terms(spark: SparkSession, terms: Sequence[str], values: Sequence[float]) -
     return small_table(spark, {"term": list(terms), "coef": [float(v) for v in values]}, schema)
 
 
-def grid_search(df: DataFrame, y: str, xs: Sequence[str], regs: Sequence[float], elastics: Sequence[float], folds: int = 3, seed: int = 7) -> DataFrame:
-    """Cross-validated mean absolute error per (reg, elastic)."""
-    lr = LinearRegression(labelCol=y, featuresCol="features")
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(regs)).addGrid(lr.elasticNetParam, list(elastics)).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=y, metricName="mae"), numFolds=folds, seed=seed, parallelism=4)
-    model = cv.fit(assemble(cut_lineage(df.select(y, *[x for x in xs if x != y])), xs))
-    schema = pa.schema([("reg", pa.float64()), ("elastic", pa.float64()), ("mae", pa.float64())])
-    cols = {
-        "reg": [g[lr.regParam] for g in grid],
-        "elastic": [g[lr.elasticNetParam] for g in grid],
-        "mae": [float(m) for m in model.avgMetrics],
-    }
-    return small_table(df.sparkSession, cols, schema)
+def grid_search(
+    df: DataFrame,
+    y: str,
+    xs: Sequence[str],
+    regs: Sequence[float],
+    elastics: Sequence[float],
+    scalers: Sequence[str] = ("none",),
+    keeps: Sequence[int] | None = None,
+    folds: int = 3,
+    seed: int = 7,
+) -> DataFrame:
+    """Cross-validated mean absolute error per scaler, number of selected features, reg and elastic.
+
+    ``scalers`` are none, standard or robust; ``keeps`` are feature counts for ``eliminate_features``.
+    """
+    df = cut_lineage(df.select(y, *[x for x in xs if x != y]))
+    rows = []
+    for keep in keeps or [len(xs)]:
+        chosen = eliminate_features(df, y, xs, keep) if keep < len(xs) else list(xs)
+        for scaler in scalers:
+            ready = assemble(df, chosen, "raw")
+            stages = {"none": [], "standard": [StandardScaler(withMean=True)], "robust": [RobustScaler(withCentering=True)]}[scaler]
+            for stage in stages:
+                stage.setInputCol("raw").setOutputCol("features")
+            lr = LinearRegression(labelCol=y, featuresCol="features" if stages else "raw")
+            grid = ParamGridBuilder().addGrid(lr.regParam, list(regs)).addGrid(lr.elasticNetParam, list(elastics)).build()
+            cv = CrossValidator(
+                estimator=Pipeline(stages=[*stages, lr]),
+                estimatorParamMaps=grid,
+                evaluator=RegressionEvaluator(labelCol=y, metricName="mae"),
+                numFolds=folds,
+                seed=seed,
+                parallelism=4,
+            )
+            errors = cv.fit(ready).avgMetrics
+            rows += [(scaler, keep, g[lr.regParam], g[lr.elasticNetParam], float(e)) for g, e in zip(grid, errors)]
+    names = ("scaler", "n_features", "reg", "elastic", "mae")
+    types = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+    return small_table(df.sparkSession, {n: [r[i] for r in rows] for i, n in enumerate(names)}, pa.schema(list(zip(names, types))))
 
 
 def eliminate_features(df: DataFrame, y: str, xs: Sequence[str], keep: int) -> list[str]:

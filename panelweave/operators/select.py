@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelweave.spec import q
 
 # Rows per counting bucket of ``with_position``.
 POSITION_BUCKET_ROWS = 1_000_000
 MAX_POSITION_BUCKETS = 10_000
+MAX_TEXT_BUCKETS = 500
+TEXT_SAMPLE = 20_000
 
 
 def build_query(
@@ -68,28 +71,39 @@ def between_periods(df: DataFrame, period: str, low: int, high: int, comp: str |
 def with_position(
     df: DataFrame, key: str, alias: str, then: Sequence[str] = (), bucket_rows: int = POSITION_BUCKET_ROWS, uniform_hash: bool = False
 ) -> DataFrame:
-    """Append the 0-based global position in the order of a numeric, (nearly) unique ``key``; ties go by ``then``.
+    """Append the 0-based global position in the order of a (nearly) unique ``key``; ties go by ``then``.
 
     A plain window over the whole table would run in one task. Instead, boundaries cut the key range into buckets
     of about ``bucket_rows`` rows; bucket counts are one small aggregate, and rows are numbered inside their
-    bucket. Boundaries are literals, so recomputed tasks see the same buckets. They come from a rank sketch, or
-    from plain arithmetic when the key is a 64-bit hash (``uniform_hash``).
+    bucket. Boundaries are literals, so recomputed tasks see the same buckets. They come from a rank sketch, from
+    plain arithmetic when the key is a 64-bit hash (``uniform_hash``), or, for text keys, from a sample of fixed
+    size picked by hash.
     """
     n = df.count()
     parts = min(-(-n // bucket_rows), MAX_POSITION_BUCKETS)
-    cuts: list[float] = []
+    text = isinstance(df.schema[key].dataType, T.StringType)
+    cuts: list = []
     if parts > 1 and uniform_hash:
         cuts = [-(2.0**63) + 2.0**64 * i / parts for i in range(1, parts)]
+    elif parts > 1 and text:
+        sample = sorted(r[0] for r in df.select(q(key)).dropna().orderBy(F.xxhash64(q(key))).limit(TEXT_SAMPLE).collect())
+        parts = min(parts, MAX_TEXT_BUCKETS, len(sample))
+        cuts = sorted({sample[len(sample) * i // parts] for i in range(1, parts)})
     elif parts > 1:
         shares = [i / parts for i in range(1, parts)]
         cuts = sorted(set(df.agg(F.percentile_approx(q(key).cast("double"), shares, 100_000).alias("c")).first()["c"]))
     if not cuts:
         one = Window.partitionBy(F.lit(0)).orderBy(q(key), *then)
         return df.withColumn(alias, (F.row_number().over(one) - 1).cast("bigint"))
-    splits = [float("-inf"), *cuts, float("inf")]
-    numeric = df.withColumn("__key", q(key).cast("double"))
-    marked = Bucketizer(splits=splits, inputCol="__key", outputCol="__bucket").transform(numeric).drop("__key")
-    marked = marked.withColumn("__bucket", F.col("__bucket").cast("bigint"))
+    if text:
+        bounds = F.array(*[F.lit(c) for c in cuts])
+        bucket = F.coalesce(F.size(F.filter(bounds, lambda b: b <= q(key))), F.lit(-1))
+        marked = df.withColumn("__bucket", F.when(q(key).isNull(), -1).otherwise(bucket).cast("bigint"))
+    else:
+        splits = [float("-inf"), *cuts, float("inf")]
+        numeric = df.withColumn("__key", q(key).cast("double"))
+        marked = Bucketizer(splits=splits, inputCol="__key", outputCol="__bucket").transform(numeric).drop("__key")
+        marked = marked.withColumn("__bucket", F.col("__bucket").cast("bigint"))
     counts = sorted((r[0], r[1]) for r in marked.groupBy("__bucket").count().collect())
     starts = [0, *accumulate(c for _, c in counts)][:-1]
     schema = pa.schema([("__bucket", pa.int64()), ("__start", pa.int64())])

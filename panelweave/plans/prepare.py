@@ -27,6 +27,8 @@ from panelweave.operators.windows import (
     windows_table,
     with_index,
 )
+from panelweave.session import cut_lineage
+from panelweave.sources.tables import fingerprint
 from panelweave.spec import PanelSpec
 
 METHODS = ("block", "time", "set", "no")
@@ -44,6 +46,7 @@ class Samples:
     rejects: DataFrame
     norm: DataFrame | None
     panel: DataFrame = field(repr=False)
+    settings: dict = field(default_factory=dict)
 
     def block(self, key: str) -> DataFrame:
         return self.samples.filter(F.col("block") == key)
@@ -69,6 +72,11 @@ class Samples:
     def statistics(self) -> DataFrame:
         return split_statistics(self.samples, self.spec, len(self.features))
 
+    def card(self) -> dict:
+        """Settings, column lookups and their fingerprint, next to ``statistics()``: see ``sources.tables.write_side_file``."""
+        columns = {"x": dict(enumerate(self.features)), "y": dict(enumerate(self.targets))}
+        return {"settings": self.settings, "columns": columns, "fingerprint": fingerprint(settings=self.settings, columns=columns)}
+
     def series(self, block: str, target: str) -> DataFrame:
         return series_split(self.panel, self.spec, target, self.windows, block)
 
@@ -86,6 +94,7 @@ class SamplePlan:
         self._single = False
         self._method = "no"
         self._keep_raw: list[str] = []
+        self._inputs_only = False
         self._comps: tuple[list | None, list | None] = (None, None)
 
     def window(self, input_width: int, pred_width: int = 1, shift: int = 1) -> SamplePlan:
@@ -103,12 +112,13 @@ class SamplePlan:
         self._split, self._single = (1, val_steps, test_steps), True
         return self
 
-    def normalize(self, method: str, keep_raw: Sequence[str] = ()) -> SamplePlan:
+    def normalize(self, method: str, keep_raw: Sequence[str] = (), exclude_target_periods: bool = False) -> SamplePlan:
+        """``exclude_target_periods`` takes window parameters from the input periods alone (methods time and set)."""
         if method not in METHODS:
             raise ValueError(f"method must be one of {METHODS}")
         if method == "block" and self._single:
             raise ValueError("block normalisation needs more than one train window; use 'time' or 'set'")
-        self._method, self._keep_raw = method, list(keep_raw)
+        self._method, self._keep_raw, self._inputs_only = method, list(keep_raw), exclude_target_periods
         return self
 
     def filter_features(self, just_include: Sequence[str] | None = None, exclude: Sequence[str] | None = None) -> SamplePlan:
@@ -135,15 +145,20 @@ class SamplePlan:
             raise ValueError("call window(...) first")
         return self._size
 
-    def compute(self) -> Samples:
+    def compute(self, materialise: bool = False) -> Samples:
+        """Lazy tables for all blocks. The panel is read for its calendar, samples, parameters and rejects; where it is
+        derived from raw rows, ``materialise`` writes it to the checkpoint folder first."""
         size = self._need_size()
         if self._split is None:
             raise ValueError("call block_rolling_split(...) or single_time_rolling(...) first")
         spec = self.spec
         cols = list(dict.fromkeys([*self.features, *self.targets]))
-        periods = distinct_periods(self.panel, spec)
-        windows = windows_table(self.panel.sparkSession, periods, size, *self._split)
-        indexed = with_index(self.panel.select(spec.comp, spec.period, *[c for c in cols if c not in spec.keys]), spec, periods)
+        panel = self.panel.select(spec.comp, spec.period, *[c for c in cols if c not in spec.keys])
+        if materialise:
+            panel = cut_lineage(panel)
+        periods = distinct_periods(panel, spec)
+        windows = windows_table(panel.sparkSession, periods, size, *self._split)
+        indexed = with_index(panel, spec, periods)
         samples = complete_samples(indexed, spec, size, self.features, self.targets)
         include, exclude = self._comps
         if include is not None:
@@ -153,12 +168,13 @@ class SamplePlan:
 
         scale_cols = [c for c in cols if c not in self._keep_raw]
         norm: DataFrame | None = None
+        norm_size = WindowSize(size.input_width, 0, size.shift) if self._inputs_only else size
         if self._method == "time":
-            norm = norm_by_window(indexed, size, scale_cols)
+            norm = norm_by_window(indexed, norm_size, scale_cols)
             # Parameters depend on the window only, so samples are scaled once, before blocks multiply them.
             samples = label_samples(scale_samples(samples, norm, ["start"], scale_cols), windows)
         elif self._method == "set":
-            norm = norm_by_window_and_entity(indexed, spec, size, scale_cols)
+            norm = norm_by_window_and_entity(indexed, spec, norm_size, scale_cols)
             samples = label_samples(scale_samples(samples, norm, ["start", spec.comp], scale_cols), windows)
         elif self._method == "block":
             norm = norm_by_block(indexed, windows, scale_cols)
@@ -166,4 +182,17 @@ class SamplePlan:
         else:
             samples = label_samples(samples, windows)
         rejects = sample_rejects(indexed, spec, size, windows)
-        return Samples(spec, self.features, self.targets, windows, samples, rejects, norm, self.panel)
+        return Samples(spec, self.features, self.targets, windows, samples, rejects, norm, panel, self._settings())
+
+    def _settings(self) -> dict:
+        size = self._need_size()
+        return {
+            "input_width": size.input_width,
+            "pred_width": size.pred_width,
+            "shift": size.shift,
+            "split": dict(zip(("train", "val", "test"), self._split or ())),
+            "normalize": self._method,
+            "keep_raw": self._keep_raw,
+            "exclude_target_periods": self._inputs_only,
+            "companies": dict(zip(("just_include", "exclude"), self._comps)),
+        }

@@ -37,7 +37,7 @@ def q_fuzzy_match(spark, sf_dir):
 def q_chained_lookup(spark, sf_dir):
     c = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
     n = load(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("r_regionkey"))
-    return ln.chained_lookup(c, n, load(spark, sf_dir, "region"), "n_nationkey", "r_regionkey").select("c_custkey", "n_name", "r_name")
+    return ln.chained_lookup(c, "c_custkey", n, load(spark, sf_dir, "region"), "n_nationkey", "r_regionkey").select("c_custkey", "n_name", "r_name")
 
 
 @query(

@@ -104,7 +104,7 @@ def q_regularised(spark, sf_dir):
 
 @query("q_grid_search")
 def q_grid_search(spark, sf_dir):
-    return m.grid_search(signal_samples(spark, sf_dir).filter("split = 'train'"), "target_p_eps", SIGNALS, [0.0, 0.1], [0.0, 1.0], folds=2)
+    return m.grid_search(signal_samples(spark, sf_dir).filter("split = 'train'"), "target_p_eps", SIGNALS, [0.0, 0.1], [0.0], ["none", "standard"], folds=2)
 
 
 @query("q_eliminate_features")

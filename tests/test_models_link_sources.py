@@ -80,6 +80,8 @@ def test_elimination_ridge_and_grid(data):
     assert abs(ridge["a"]) < 1.0
     grid = m.grid_search(df, "y", ["a", "b", "c"], [0.0, 10.0], [0.0], folds=2).orderBy("mae").first()
     assert grid.reg == 0.0
+    more = m.grid_search(df, "y", ["a", "b", "c"], [0.0], [0.0], ["standard", "robust"], [2, 3], folds=2).collect()
+    assert {(r.scaler, r.n_features) for r in more} == {(s, k) for s in ("standard", "robust") for k in (2, 3)}
 
 
 def test_boosted_trees(data):
@@ -153,6 +155,21 @@ def test_best_match(spark):
     assert got == {1: (10, True), 2: (12, True), 3: (None, False)}
 
 
+def test_best_match_with_a_hot_link(spark):
+    """One link key leads to most records; the result is that of brute force."""
+    from panelweave.functions.scalars import name_similarity
+
+    ent = spark.createDataFrame([(i, f"NAME {i * 37 % 11}", "HOT" if i % 3 == 0 else f"T{i % 5}") for i in range(30)], "id long, name string, tic string")
+    links = spark.createDataFrame([("HOT" if k % 2 else f"T{k % 5}", k) for k in range(60)], "tic string, key long")
+    recs = spark.createDataFrame([(k, f"NAM {k % 13}") for k in range(60)], "key long, conm string")
+    got = {r.id: (r.key, round(r.score, 9)) for r in ln.best_match(ent, links, recs, "id", "name", "tic", "key", "conm").collect()}
+    rows = ent.join(links, "tic").join(recs, "key").select("id", "key", name_similarity(F.col("name"), F.col("conm")).alias("s")).collect()
+    want = {}
+    for r in rows:
+        want[r.id] = max(want.get(r.id, (-1, -1)), (r.s, r.key))
+    assert got == {i: (k, round(s, 9)) for i, (s, k) in want.items()}
+
+
 def test_many_to_one_join_insists_on_unique_keys(spark):
     left = spark.createDataFrame([(1, 5.0)], "k long, v double")
     right = spark.createDataFrame([(1, 6.0), (1, 7.0)], "k long, v double")

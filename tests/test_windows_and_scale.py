@@ -150,6 +150,24 @@ def test_positions(spark, bucket):
     assert picked == {0, 1, 2, 10, 11, 198, 199}
 
 
+def test_positions_of_text_keys(spark):
+    keys = [f"k{i:04d}" for i in np.random.default_rng(2).permutation(300)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    for bucket in (20, 1000):
+        assert all(r.p == int(r.k[1:]) for r in with_position(df, "k", "p", bucket_rows=bucket).collect())
+
+
+def test_parameters_without_target_periods(spark):
+    df = panel(spark)
+    done = SamplePlan(df, SPEC, ["a"], ["b"]).window(3, 2).block_rolling_split(4).normalize("time", exclude_target_periods=True).compute(materialise=True)
+    pdf = df.toPandas()
+    for r in done.norm.filter("feature = 'a' AND start < 10").collect():
+        x = pdf[(pdf.period >= 2000 + r.start) & (pdf.period < 2003 + r.start)]["a"]
+        assert (r["mean"], r["std"]) == pytest.approx((x.mean(), x.std(ddof=1)))
+    card = done.card()
+    assert card["settings"]["input_width"] == 3 and card["columns"]["x"] == {0: "a"}
+
+
 def test_robust_scaling(spark):
     df = panel(spark)
     params = sc.robust_params(df, ["a"], 0.25, 0.75)
