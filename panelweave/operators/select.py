@@ -101,9 +101,11 @@ def with_position(
         marked = df.withColumn("__bucket", F.when(q(key).isNull(), -1).otherwise(bucket).cast("bigint"))
     else:
         splits = [float("-inf"), *cuts, float("inf")]
-        numeric = df.withColumn("__key", q(key).cast("double"))
-        marked = Bucketizer(splits=splits, inputCol="__key", outputCol="__bucket").transform(numeric).drop("__key")
-        marked = marked.withColumn("__bucket", F.col("__bucket").cast("bigint"))
+        numeric = df.withColumn("__key", F.coalesce(q(key).cast("double"), F.lit(float("-inf"))))
+        # NULL sorts first and NaN last, as in an ascending order.
+        cutter = Bucketizer(splits=splits, inputCol="__key", outputCol="__bucket", handleInvalid="keep")
+        marked = cutter.transform(numeric).drop("__key")
+        marked = marked.withColumn("__bucket", F.when(q(key).isNull(), -1).otherwise(F.col("__bucket")).cast("bigint"))
     counts = sorted((r[0], r[1]) for r in marked.groupBy("__bucket").count().collect())
     starts = [0, *accumulate(c for _, c in counts)][:-1]
     schema = pa.schema([("__bucket", pa.int64()), ("__start", pa.int64())])

@@ -24,7 +24,7 @@ def signal_samples(spark, sf_dir):
     """Last input step of every sample, with the next change of earnings as ``target_p_eps``."""
     p = pct_change(panel_supplier(spark, sf_dir), SPEC, ["sales", "inventory", "eps"])
     plan = SamplePlan(p.select(*KEYS, *SIGNALS), SPEC, SIGNALS, ["p_eps"]).window(4, 1).block_rolling_split(10)
-    return plan.compute().last_step()
+    return plan.compute(materialise=True).last_step()
 
 
 SIGNAL_SQL = (

@@ -69,7 +69,7 @@ FROM ws JOIN per a ON lo = a.idx JOIN per b ON hi = b.idx JOIN per c ON start =
 )
 def q_windows_single_step(spark, sf_dir):
     plan = SamplePlan(panel_supplier(spark, sf_dir), SPEC, ["sales"], ["sales"]).window(4, 1).single_time_rolling()
-    return plan.compute().windows.select("block", "split", "lower", "upper")
+    return plan.compute(materialise=True).windows.select("block", "split", "lower", "upper")
 
 
 @query(
@@ -120,7 +120,7 @@ FROM smp s JOIN pi p ON p.comp = s.comp AND p.idx BETWEEN s.start AND s.start +
     ),
 )
 def q_sample_long(spark, sf_dir):
-    long = supplier_plan(spark, sf_dir).compute().long()
+    long = supplier_plan(spark, sf_dir).compute(materialise=True).long()
     return long.select("block", "split", "lower", "upper", "comp", "step", *FEATURES)
 
 
@@ -141,7 +141,7 @@ FROM k WHERE n <> 5""",
 )
 def q_sample_rejects(spark, sf_dir):
     plan = SamplePlan(panel_event(spark, sf_dir), SPEC, EVENT_MEASURES, ["purchase"]).window(4, 1).block_rolling_split(10)
-    return plan.compute().rejects
+    return plan.compute(materialise=True).rejects
 
 
 NORM_AGG = """avg({c}) AS mean, CASE WHEN count(*) > 1 THEN sqrt(var_pop({c}) * count({c}) / (count(*) - 1)) END AS std"""
@@ -166,7 +166,7 @@ GROUP BY s.block, s.split, s.lower, s.comp, p.idx, s.start, {", ".join("p." + c
 
 
 def _scaled(spark, sf_dir, method):
-    long = supplier_plan(spark, sf_dir).normalize(method).compute().long()
+    long = supplier_plan(spark, sf_dir).normalize(method).compute(materialise=True).long()
     return long.select("block", "split", "lower", "comp", "step", *[F.round(c, 6).alias(c) for c in FEATURES])
 
 
@@ -196,7 +196,7 @@ def q_norm_block(spark, sf_dir):
     with_panels(SUPPLIER, body=INDEXED_SQL + f", norm AS ({_norm_sql('start', IN_WINDOW)}) SELECT start, feature, round(mean, 3) AS mean, round(std, 3) AS std FROM norm"),
 )
 def q_norm_params(spark, sf_dir):
-    norm = supplier_plan(spark, sf_dir).normalize("time").compute().norm
+    norm = supplier_plan(spark, sf_dir).normalize("time").compute(materialise=True).norm
     # Windows that belong to some block only (the table holds every start with rows).
     return norm.filter(F.col("start") <= 23).select("start", "feature", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
 
@@ -210,7 +210,7 @@ def q_norm_params(spark, sf_dir):
 )
 def q_unscale(spark, sf_dir):
     """Normalise, then go back: the original values return."""
-    done = supplier_plan(spark, sf_dir, ["inventory"], ["inventory"]).normalize("time").compute()
+    done = supplier_plan(spark, sf_dir, ["inventory"], ["inventory"]).normalize("time").compute(materialise=True)
     wide = sc.widen_norm(done.norm, ["start"], ["inventory"])
     long = done.long().join(wide, "start")
     raw = sc.unscaled(q("inventory"), q("__mean_inventory"), q("__std_inventory"))
@@ -277,7 +277,7 @@ FROM panel_supplier p, b WHERE p.period BETWEEN lo AND hi AND p.comp IN (SELECT
     ),
 )
 def q_complete_series(spark, sf_dir):
-    done = supplier_plan(spark, sf_dir, ["orderbacklog"], ["orderbacklog"]).compute()
+    done = supplier_plan(spark, sf_dir, ["orderbacklog"], ["orderbacklog"]).compute(materialise=True)
     return done.series(done.blocks()[0], "orderbacklog")
 
 
@@ -286,12 +286,12 @@ STATS_SQL = " SELECT block, split, count(*) AS samples, count(DISTINCT comp) AS
 
 @query("q_split_stats", with_panels(SUPPLIER, body=COMPLETE_SQL + STATS_SQL.format(where="")))
 def q_split_stats(spark, sf_dir):
-    return supplier_plan(spark, sf_dir).compute().statistics()
+    return supplier_plan(spark, sf_dir).compute(materialise=True).statistics()
 
 
 @query("q_block_access", with_panels(SUPPLIER, body=COMPLETE_SQL + STATS_SQL.format(where="WHERE block = (SELECT max(block) FROM windows)")))
 def q_block_access(spark, sf_dir):
-    done = supplier_plan(spark, sf_dir).compute()
+    done = supplier_plan(spark, sf_dir).compute(materialise=True)
     return ev.split_statistics(done[len(done) - 1], SPEC, len(FEATURES))
 
 
@@ -307,7 +307,7 @@ WHERE s.comp NOT IN (3, 4, 5)""",
 )
 def q_sample_filters(spark, sf_dir):
     plan = supplier_plan(spark, sf_dir).filter_features(exclude=["sales", "orderbacklog"]).filter_companies(exclude=[3, 4, 5])
-    return plan.compute().long().select("block", "split", "comp", "lower", "step", "inventory")
+    return plan.compute(materialise=True).long().select("block", "split", "comp", "lower", "step", "inventory")
 
 
 @query(
@@ -321,7 +321,7 @@ JOIN pi x ON x.comp = s.comp AND x.idx = s.start + 3 JOIN pi y ON y.comp = s.com
     ),
 )
 def q_last_step(spark, sf_dir):
-    return supplier_plan(spark, sf_dir, ["inventory"], ["sales"]).compute().last_step().select("block", "split", "comp", "lower", "inventory", "target_sales")
+    return supplier_plan(spark, sf_dir, ["inventory"], ["sales"]).compute(materialise=True).last_step().select("block", "split", "comp", "lower", "inventory", "target_sales")
 
 
 @query(
@@ -336,7 +336,7 @@ JOIN pi a ON a.comp = s.comp AND a.idx = s.start + 2 JOIN pi b ON b.comp = s.com
 )
 def q_keep_last_steps(spark, sf_dir):
     """The last two steps of each sample as one flat vector."""
-    done = supplier_plan(spark, sf_dir, ["sales", "inventory"], ["sales"]).compute()
+    done = supplier_plan(spark, sf_dir, ["sales", "inventory"], ["sales"]).compute(materialise=True)
     flat = done.samples.select("block", "split", "comp", "lower", win.flatten_steps(keep_last_steps(F.col("x"), 2), ["sales", "inventory"]).alias("v"))
     return flat.select("block", "split", "comp", "lower", *[F.col("v")[i].alias(f"x_{i}") for i in range(4)])
 
@@ -360,7 +360,7 @@ def q_target_axes(spark, sf_dir):
     """[horizon][target] -> [target][horizon] for two targets and two horizons."""
     plan = SamplePlan(panel_supplier(spark, sf_dir), SPEC, ["sales"], ["sales", "inventory"]).window(4, 2).block_rolling_split(8)
     y = win.swap_target_axes(F.col("y"), ["sales", "inventory"])
-    flat = plan.compute().samples.select("block", "split", "comp", "lower", y.alias("y"))
+    flat = plan.compute(materialise=True).samples.select("block", "split", "comp", "lower", y.alias("y"))
     cells = [F.col("y")[t][h].alias(f"{n}_{h + 1}") for t, n in enumerate(("sales", "inventory")) for h in (0, 1)]
     return flat.select("block", "split", "comp", "lower", *cells)
 
@@ -368,7 +368,7 @@ def q_target_axes(spark, sf_dir):
 @query("q_examples")
 def q_examples(spark, sf_dir):
     """Five test samples drawn by a seeded hash, with history and truth."""
-    done = supplier_plan(spark, sf_dir).compute()
+    done = supplier_plan(spark, sf_dir).compute(materialise=True)
     return random_examples(done.samples.filter("split = 'test'"), ["block", "comp", "start"], 5, seed=11)
 
 
@@ -399,7 +399,7 @@ METRICS = list(ERROR_METRICS)
 
 def eps_samples(spark, sf_dir):
     changed = pct_change(panel_supplier(spark, sf_dir), SPEC, ["eps"])
-    return supplier_plan(spark, sf_dir, ["p_eps"], ["p_eps"], changed.select(*KEYS, "p_eps")).compute().samples
+    return supplier_plan(spark, sf_dir, ["p_eps"], ["p_eps"], changed.select(*KEYS, "p_eps")).compute(materialise=True).samples
 
 
 def rounded_errors(preds, keys):

@@ -150,6 +150,14 @@ def test_positions(spark, bucket):
     assert picked == {0, 1, 2, 10, 11, 198, 199}
 
 
+def test_positions_keep_null_and_nan_keys(spark):
+    keys = [None, float("nan"), *[float(k) for k in range(40)]]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i long, k double")
+    for bucket in (9, 1000):
+        got = {r.i: r.p for r in with_position(df, "k", "p", bucket_rows=bucket).collect()}
+        assert got == {0: 0, 1: 41, **{i + 2: i + 1 for i in range(40)}}
+
+
 def test_positions_of_text_keys(spark):
     keys = [f"k{i:04d}" for i in np.random.default_rng(2).permutation(300)]
     df = spark.createDataFrame([(k,) for k in keys], "k string")
