@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelweave.llm.decontam import benchmark_hits
 from panelweave.llm.jaccard_join import similar_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op6_ngram_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_texts(table(spark, sf_dir, "documents"), size=5, percent=80)
+
+
+@query("op9_benchmark_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("items")
