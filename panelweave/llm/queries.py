@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.llm.decontam import benchmark_hits
 from panelweave.llm.jaccard_join import similar_texts
+from panelweave.llm.line_cuckoo import dedup_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,3 +36,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_benchmark_decontamination")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("items")
+
+
+@query("op8_line_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), min_docs=3, min_chars=20).drop("text")
