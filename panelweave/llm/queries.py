@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from panelweave.llm.decontam import benchmark_hits
 from panelweave.llm.jaccard_join import similar_texts
 from panelweave.llm.line_cuckoo import dedup_lines
+from panelweave.llm.token_planes import tokens_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary files are; never copied into the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_token_planes")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+
+
 @query("op6_ngram_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_texts(table(spark, sf_dir, "documents"), size=5, percent=80)
