@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.llm.decontam import benchmark_hits
 from panelweave.llm.jaccard_join import similar_texts
+from panelweave.llm.langmix import held_out_languages
 from panelweave.llm.line_cuckoo import dedup_lines
 from panelweave.llm.token_planes import tokens_round_trip
 
@@ -54,3 +55,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_line_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), min_docs=3, min_chars=20).drop("text")
+
+
+@query("op10_language_mixture")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_languages(table(spark, sf_dir, "documents"), fold=2)
