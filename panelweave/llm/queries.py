@@ -11,6 +11,7 @@ from panelweave.llm.jaccard_join import similar_texts
 from panelweave.llm.langmix import held_out_languages
 from panelweave.llm.line_cuckoo import dedup_lines
 from panelweave.llm.token_planes import tokens_round_trip
+from panelweave.llm.url_cascade import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,3 +61,27 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_mixture")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_languages(table(spark, sf_dir, "documents"), fold=2)
+
+
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+_OP3_SQL = """
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+parts AS (
+  SELECT row_number() OVER () AS k, page_id,
+         coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM cut),
+rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fit AS (
+  SELECT k, h || p AS rule, v, row_number() OVER (PARTITION BY k ORDER BY length(h || p) DESC) AS place
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM fit WHERE place = 1) AS best USING (k)
+"""
+
+
+@query("op3_url_cascade", _OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
