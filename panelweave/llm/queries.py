@@ -10,6 +10,7 @@ from panelweave.llm.decontam import benchmark_hits
 from panelweave.llm.jaccard_join import similar_texts
 from panelweave.llm.langmix import held_out_languages
 from panelweave.llm.line_cuckoo import dedup_lines
+from panelweave.llm.mih import nearest_vectors
 from panelweave.llm.token_planes import tokens_round_trip
 from panelweave.llm.url_cascade import judge_urls
 
@@ -85,3 +86,8 @@ FROM parts LEFT JOIN (SELECT * FROM fit WHERE place = 1) AS best USING (k)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op5_multi_index_hashing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), k=20, every=20)
