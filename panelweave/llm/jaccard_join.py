@@ -14,8 +14,8 @@ all later work is between classes, so copies are never expanded into pairs.
    left is verified once, on whole sets.
 
 A group of thousands of near copies shares whole prefixes, so joining everything at once would emit its square. The
-join therefore runs in rounds: each class meets its neighbour and the first of each prefix list only, links contract
-classes to components, and only classes of different components meet again. The last round joins every pair that is
+join therefore runs in rounds: a class meets a few others of each prefix list only, links contract classes to components,
+and only classes of different components meet again. The last round joins every pair that is
 still in different components, so no link between different texts is lost.
 """
 
@@ -38,9 +38,11 @@ from panelweave.llm.wordhash import Words, mix64, shingle_hashes, words_of
 BLOCK_TOKENS = 2_000_000
 #: Parts of the suffix filter.
 PARTS = 16
-#: Contracting rounds go on while prefix lists hold more than this many unsettled pairs per class.
+#: Contracting rounds go on while prefix lists hold more unsettled pairs per class, and links are still found.
 PAIRS_PER_CLASS = 4
 MAX_ROUNDS = 6
+#: Rows of a prefix list's largest component that the other rows of the list meet in a round.
+REPRESENTATIVES = 2
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,6 +239,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(own["cls"]), pa.array(own["n"]), pa.array(own["shared"]), pa.array(place.astype(np.int64)), pa.array([hist[i] for i in each], pa.list_(pa.int32()))], ["token", "cls", "n", "shared", "pos", "hist"])
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of each class's prefix."""
+    for batch in batches:
+        tokens = [np.frombuffer(t, dtype="<u8")[:k].view(np.int64) for t, k in zip(batch.column("tokens").to_pylist(), batch.column("prefix").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(tokens, pa.list_(pa.int64()))], ["cls", "head"])
+
+
 def _may_link(x: str, y: str, percent: int) -> Column:
     """Length, positional and suffix filter on two prefix rows that hold the same token."""
     c = lambda side, name: F.col(f"{side}.{name}")
@@ -265,11 +274,23 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, percent: int, order: int) -> DataFrame:
-    """Each prefix row with the one before it and with the first of its list, when their components differ."""
+    """Pairs of different components for one round, a few for each prefix row, by an order that every round draws anew.
+
+    A row meets the row before it and the first of its list, and ``REPRESENTATIVES`` rows of the component that most of
+    the list's rows are in.
+    """
+    drawn = F.xxhash64("cls", "token", F.lit(order))
     place = Window.partitionBy("token").orderBy(F.floor(F.log(F.col("n").cast("double")) * 4), F.xxhash64("cls", F.lit(order)), "cls")
     row = F.struct("cls", "n", "shared", "pos", "hist", "root")
     met = rows.select("token", row.alias("x"), F.array(F.lag(row).over(place), F.first(row).over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("ys"))
-    met = met.select("x", F.explode("ys").alias("y")).filter("y.root <> x.root").filter(_may_link("x", "y", percent))
+    met = met.select("x", F.explode("ys").alias("y"))
+    if order:
+        sizes = rows.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots"))
+        most = sizes.filter("roots > 1 and top.k > 1").select("token", F.col("top.root").alias("main"))
+        split = rows.join(most, "token")
+        some = split.filter("root = main").withColumn("at", F.row_number().over(Window.partitionBy("token").orderBy(drawn, "cls"))).filter(F.col("at") <= REPRESENTATIVES)
+        met = met.unionByName(split.filter("root <> main").select("token", row.alias("x")).join(some.select("token", row.alias("y")), "token").select("x", "y"))
+    met = met.filter("y.root <> x.root").filter(_may_link("x", "y", percent))
     return met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
 
 
@@ -287,20 +308,21 @@ def _components(sets: DataFrame, percent: int) -> DataFrame:
     alone = rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     rows = stage(rows.join(alone, "token", "left_semi"), "prefixes")
     labels = sets.select("cls", F.col("cls").alias("root"))
-    most = PAIRS_PER_CLASS * sets.count()
+    classes = sets.count()
     for k in range(MAX_ROUNDS):
         links = stage(_verify(_pairs(rows.join(labels, "cls"), percent, k), sets, percent), "links")
         labels = _settle(labels, links)
         per_list = rows.join(labels, "cls").groupBy("token", "root").agg(F.count("*").cast("double").alias("k")).groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("ss"))
-        if (per_list.agg(F.sum((F.col("s") * F.col("s") - F.col("ss")) / 2)).first()[0] or 0) <= most:
+        if (per_list.agg(F.sum((F.col("s") * F.col("s") - F.col("ss")) / 2)).first()[0] or 0) <= PAIRS_PER_CLASS * classes or k and links.count() < classes / 100:
             break
     held = rows.join(labels, "cls")
-    # Lists whose classes are all in one component are settled.
+    # Lists whose classes are all in one component are settled. Of several lists that two classes share, the first pairs them.
     open_ = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-    held = stage(held.join(open_, "token", "left_semi"), "prefixes")
+    held = held.join(open_, "token", "left_semi").join(sets.mapInArrow(_heads, "cls long, head array<long>"), "cls")
+    held = stage(held.withColumn("before", F.slice("head", F.lit(1), F.col("pos").cast("int"))).drop("head"), "prefixes")
     x, y = held.alias("x"), held.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", percent))
-    links = stage(_verify(rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), sets, percent), "links")
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", percent) & ~F.arrays_overlap("x.before", "y.before"))
+    links = stage(_verify(rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")), sets, percent), "links")
     return _settle(labels, links)
 
 
