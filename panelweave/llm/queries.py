@@ -11,6 +11,7 @@ from panelweave.llm.jaccard_join import similar_texts
 from panelweave.llm.langmix import held_out_languages
 from panelweave.llm.line_cuckoo import dedup_lines
 from panelweave.llm.mih import nearest_vectors
+from panelweave.llm.mixing import mix
 from panelweave.llm.token_planes import tokens_round_trip
 from panelweave.llm.url_cascade import judge_urls
 
@@ -91,3 +92,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_multi_index_hashing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query("op4_source_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3).docs.drop("th")
