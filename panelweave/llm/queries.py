@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.llm.decontam import benchmark_hits
+from panelweave.llm.importance import resample
 from panelweave.llm.jaccard_join import similar_texts
 from panelweave.llm.langmix import held_out_languages
+from panelweave.llm.licenses import known_digests, scan_licenses, scan_sql
 from panelweave.llm.line_cuckoo import dedup_lines
 from panelweave.llm.mih import nearest_vectors
 from panelweave.llm.mixing import mix
@@ -97,3 +99,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_source_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3).docs.drop("th")
+
+
+@query("op2_license_digests", scan_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), known_digests(spark))
+
+
+@query("op7_importance_resampling")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
+    return resample(table(spark, sf_dir, "documents"), good, share=0.5)
