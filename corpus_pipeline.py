@@ -7,17 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.llm.common import new_path
+from panelweave.llm.decontam import drop_contaminated
 from panelweave.llm.jaccard_join import drop_similar
+from panelweave.llm.langmix import keep_languages
+from panelweave.llm.mixing import mixed_documents
+from panelweave.llm.queries import tokenizer_path
+from panelweave.llm.token_planes import tokens_round_trip
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no recognisable language go."""
+    return keep_languages(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return drop_similar(docs)
+    """One document of each group of near copies (five words, 0.8) stays."""
+    return drop_similar(docs, size=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten words in a row of a benchmark item go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mixture of the sources takes it."""
+    return mixed_documents(docs, weights=(1, 2, 3), most=3)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in the shared folder; a row for each document as it is read back from them."""
+    return tokens_round_trip(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("n-gram Jaccard join", near_duplicates)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mixture),
+    ("token-ID / binary output", token_files),
+]
 
-#: The last stages' results (tokens, checksums) have no SQL counterpart.
+#: Mixtures, shingle sets and token ids have no SQL counterpart; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

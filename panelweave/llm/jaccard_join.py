@@ -358,7 +358,7 @@ def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     All columns stay as they are. Blank texts link with nothing and all stay, repeated rows of them included.
     """
-    cls, n, root, place = free_names(docs, "cls_", "n_", "root_", "place_")
+    cls, n, key, place = free_names(docs, "cls_", "n_", "key_", "place_")
     schema = T.StructType([*docs.schema.fields, T.StructField(cls, T.LongType()), T.StructField(n, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,12 +367,14 @@ def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             (got,) = work(iter([pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(text_column))], ["text"])]))
             yield pa.RecordBatch.from_arrays([*batch.columns, *got.columns], [*batch.schema.names, cls, n])
 
-    labels = _labels(only(docs, text=text_column), size, percent)
-    members = stage(only(docs, doc_id=id_column, text=text_column).mapInArrow(_classes(size), f"doc_id {docs.schema[id_column].dataType.simpleString()}, cls long, n long"), "members").filter("n > 0")
+    texts = only(docs, doc_id=id_column, text=text_column)
+    labels = _labels(texts.select("text"), size, percent)
+    members = texts.mapInArrow(_classes(size), f"doc_id {docs.schema[id_column].dataType.simpleString()}, cls long, n long").filter("n > 0")
     held = members.join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
-    one = held.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "cls")).alias("x")).select(F.col("x.doc_id").alias(root), F.col("x.cls").alias(f"{root}c"))
-    marked = docs.mapInArrow(run, schema)
-    kept = marked.filter(F.col(n) > 0).join(one, (F.col(cls) == one[f"{root}c"]) & F.col(q(id_column)).eqNullSafe(one[root]), "left_semi")
-    # Rows of one id and one set of shingles: one stays.
-    kept = kept.withColumn(place, F.row_number().over(Window.partitionBy(cls, q(id_column)).orderBy(F.xxhash64(q(text_column))))).filter(F.col(place) == 1)
-    return kept.select(*docs.columns).unionByName(marked.filter(F.col(n) == 0).select(*docs.columns))
+    one = held.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "cls")).alias("x"))
+    one = stage(one.select(F.col("x.cls").alias(cls), F.xxhash64("x.doc_id").alias(key)), "kept")
+    has_words = F.coalesce(F.col(q(text_column)).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = docs.filter(has_words).mapInArrow(run, schema).withColumn(key, F.xxhash64(q(id_column)))
+    # Of the rows of one id and one set of shingles one stays; the join has dealt them out by the same columns.
+    kept = marked.join(one, [cls, key], "left_semi").withColumn(place, F.row_number().over(Window.partitionBy(cls, key).orderBy(F.xxhash64(q(text_column))))).filter(F.col(place) == 1)
+    return kept.select(*[q(c) for c in docs.columns]).unionByName(docs.filter(~has_words))
