@@ -133,7 +133,7 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     copies, th, id_, k = free_names(docs, "copies_", "th_", "id_", "k_")
     got = mix(docs, id_column, text_column, source_column, weights, most, seed=seed).docs
     # Equal rows share what they take, so that the join gives each row one partner.
-    share = got.groupBy(F.col("doc_id").alias(id_), F.col("th").alias(th)).agg((F.sum("taken") / F.sum("size")).alias(copies))
+    share = got.groupBy(F.col("doc_id").alias(id_), F.col("th").alias(th)).agg(F.try_divide(F.sum("taken"), F.sum("size")).alias(copies))
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(th)), F.lit(1_000_000)) / 1_000_000
     share = share.withColumn(copies, F.when(F.col(copies).isNull(), 1).otherwise(F.floor(F.col(copies)) + (F.col(copies) - F.floor(F.col(copies)) > drawn).cast("long")).cast("int")).filter(F.col(copies) > 0)
     keyed = docs.join(share, F.col(q(id_column)).eqNullSafe(F.col(id_)) & (F.xxhash64(q(id_column), q(text_column)) == F.col(th)))
