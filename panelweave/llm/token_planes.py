@@ -16,12 +16,12 @@ The planes need no neighbour to be read: ``read_documents`` takes the blocks in
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,83 +29,178 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from panelweave.llm.common import new_path, only, shuffle_partitions
-from panelweave.llm.wordhash import text_slices
+from panelweave.llm.wordhash import span_hashes, text_slices
 
 BLOCK_IDS = 1 << 16
-#: Pieces whose ids a worker keeps; beyond it starts anew.
-CACHE_PIECES = 400_000
-
-#: White space before a space, and white space or the end behind it: there a cut at the space could part one token.
-UNSAFE = r"[\s\x0B\x85\p{Z}\x1C-\x1F] ([\s\x0B\x85\p{Z}\x1C-\x1F]|$)"
+#: Pieces whose ids a worker keeps (beyond it starts anew), and slots of the table that finds them.
+CACHE_PIECES = 1_500_000
+CACHE_SLOTS = 1 << 22
+
+# Classes of bytes: other (from 0x80 up), letter, digit, punctuation and control, white space, the space itself.
+_OTHER, _LETTER, _DIGIT, _MARK, _SPACE, _BLANK = range(6)
+_CLASS = np.full(256, _OTHER, dtype=np.uint8)
+_CLASS[:128] = _MARK
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[9:14] = _SPACE
+_CLASS[32] = _BLANK
+
+
+def piece_starts(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Where texts (which begin at ``begin``) can be cut so that a byte-level BPE gives their parts the same ids.
+
+    Such a tokenizer first splits a text into runs of letters, of digits or of other marks, each with a space in front,
+    contractions, and white space. A cut is made only where that split has one whatever is around it: between ASCII
+    runs of different kind (not behind an apostrophe, which may start a contraction), before a space that a visible
+    ASCII character follows, before white space, and behind a single white space character. White space of several
+    characters stays with what follows, as its last one is split off only there; nothing is cut next to non-ASCII
+    characters, except before such a space.
+    """
+    c = _CLASS[raw]
+    n = len(c)
+    plain = (c >= _LETTER) & (c <= _MARK)
+    white = c >= _SPACE
+    start = np.zeros(n, dtype=bool)
+    fresh = np.zeros(n, dtype=bool)
+    fresh[begin[begin < n]] = True
+    if n > 1:
+        a, b = c[:-1], c[1:]
+        turn = plain[:-1] & (plain[1:] | (b == _SPACE)) & (a != b) & ~((raw[:-1] == 39) & (b == _LETTER))
+        blank = b == _BLANK
+        seen = np.zeros(n - 1, dtype=bool)
+        seen[:-1] = plain[2:] & ~fresh[2:]
+        turn |= blank & (seen | plain[:-1])
+        lone = np.ones(n - 1, dtype=bool)
+        lone[1:] = plain[:-2]
+        lone |= fresh[:-1]
+        turn |= (a == _SPACE) & plain[1:] & lone
+        start[1:] = turn
+    return np.flatnonzero(start | fresh)
 
 
 class Encoder:
     """Whole texts to ids through the tokenizers library, with the ids of text pieces remembered.
 
-    A byte-level BPE never joins anything across a space that ends a run of other characters or starts a word, so a
-    text is cut there, each distinct piece is encoded once, and the ids are strung together. Texts with other runs of
-    white space are encoded whole.
+    Texts are cut at ``piece_starts``, each distinct piece is encoded once, and the ids are strung together. That holds
+    for byte-level BPE with its own split and no normaliser; texts of other tokenizers, and texts that spell an added
+    token, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        split = made.get("pre_tokenizer") or {}
+        self.by_piece = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not made.get("normalizer") and made["model"]["type"] == "BPE"
+        self.added = [x["content"].encode() for x in made.get("added_tokens") or []]
+        self.newline = self.whole(["\n"])[0]
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.keys = np.zeros(CACHE_SLOTS, dtype=np.uint64)
+        self.codes = np.zeros(CACHE_SLOTS, dtype=np.int32)
+        self.count = 0
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.ends = np.zeros(1 << 12, dtype=np.int64)
+        self.ends = np.zeros(1 << 16, dtype=np.int64)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _codes(self, pieces: pa.Array) -> np.ndarray:
+    def _fresh(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids end to end, number of each piece, which pieces in that order). Most are encoded as the lines of one text.
+
+        A piece can be a line when it holds no line break and neither ends nor (behind a space) begins with white space.
+        """
+        data, c = raw.tobytes(), _CLASS[raw]
+        pieces = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        spaces = np.r_[0, np.cumsum(c == _SPACE)]
+        head = np.minimum(starts + (c[starts] == _BLANK), ends - 1)
+        line = (spaces[starts] == spaces[ends]) & (c[head] != _BLANK) & (c[ends - 1] != _BLANK)
+        for i in np.flatnonzero(line & ((c[head] == _OTHER) | (c[ends - 1] == _OTHER))):
+            text = pieces[i].decode()
+            line[i] = not (text[-1].isspace() or text[text[0] == " "].isspace())
+        order = np.flatnonzero(line)
+        ids, size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(order):
+            ids = np.array(self.whole([b"\n".join([pieces[i] for i in order]).decode()])[0], dtype=np.uint32)
+            at = np.flatnonzero(ids == self.newline[0])
+            if len(self.newline) == 1 and len(at) == len(order) - 1:
+                size = np.diff(np.r_[-1, at, len(ids)]) - 1
+                ids = np.delete(ids, at)
+            else:
+                order, ids, line = order[:0], ids[:0], np.zeros_like(line)
+        rest = np.flatnonzero(~line)
+        own = self.whole([pieces[i].decode() for i in rest]) if len(rest) else []
+        return np.concatenate([ids, np.array([i for x in own for i in x], dtype=np.uint32)]), np.concatenate([size, np.array([len(x) for x in own], dtype=np.int64)]), np.concatenate([order, rest])
+
+    def _remember(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Store new pieces; a piece whose two slots are taken is used now and encoded again next time."""
+        n, end = self.count, int(self.ends[self.count])
+        while end + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(keys) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[end : end + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(keys)] = end + np.cumsum(size)
+        codes = np.arange(n, n + len(keys), dtype=np.int32)
+        left = np.arange(len(keys))
+        for slot in self._slots(keys):
+            free = left[self.keys[slot[left]] == 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.codes[slot[put]] = keys[put], codes[put]
+            left = left[self.keys[slot[left]] != keys[left]]
+        self.count = n + len(keys)
+        return codes
+
+    @staticmethod
+    def _slots(keys: np.ndarray) -> list[np.ndarray]:
+        mask = np.uint64(CACHE_SLOTS - 1)
+        return [(keys & mask).astype(np.int64), ((keys >> np.uint64(32)) & mask).astype(np.int64)]
+
+    def _codes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Number of each piece in the memory, after encoding the new ones."""
-        coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [x for x in distinct if x not in self.place]
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            got = self.whole(part)
-            flat = np.fromiter((i for x in got for i in x), dtype=np.uint32)
-            n = len(self.place)
-            end = self.ends[n - 1] if n else 0
-            while end + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while n + len(part) > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.ids[end : end + len(flat)] = flat
-            self.ends[n : n + len(part)] = end + np.cumsum([len(x) for x in got])
-            self.place.update(zip(part, range(n, n + len(part)), strict=True))
-        return np.array([self.place[x] for x in distinct], dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids end to end, number of each text); a null text has none."""
-        if len(self.place) > CACHE_PIECES:
+        keys = span_hashes(raw, starts, ends) + (ends - starts).astype(np.uint64)
+        keys[keys == 0] = 1
+        code = np.full(len(keys), -1, dtype=np.int32)
+        open_ = np.arange(len(keys))
+        for slot in self._slots(keys):
+            same = self.keys[slot[open_]] == keys[open_]
+            hit = open_[same]
+            code[hit] = self.codes[slot[hit]]
+            open_ = open_[~same]
+        if len(open_):
+            new, first, which = np.unique(keys[open_], return_index=True, return_inverse=True)
+            where = open_[first]
+            ids, size, order = self._fresh(raw, starts[where], ends[where])
+            own = np.empty(len(new), dtype=np.int32)
+            own[order] = self._remember(new[order], ids, size)
+            code[open_] = own[which]
+        return code
+
+    def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of each text) of the texts between the offsets."""
+        data = None
+        apart = np.zeros(len(off) - 1, dtype=bool)
+        if not self.by_piece or any(x in raw.tobytes() for x in self.added):
+            data = raw.tobytes()
+            apart = np.array([not self.by_piece or any(x in data[a:b] for x in self.added) for a, b in zip(off[:-1], off[1:], strict=True)], dtype=bool)
+        if self.count > CACHE_PIECES:
             self.clear()
-        texts = texts.cast(pa.large_string()).fill_null("")
-        unsafe = np.flatnonzero(pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False))
-        lists = pc.split_pattern(texts, " ")
-        starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
-        flat = lists.flatten()
-        # A piece that follows a space has it in front; a text's first piece has not.
-        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), flat, pa.scalar(" ", pa.large_string()))
-        first = np.zeros(len(flat), dtype=bool)
-        first[starts] = True
-        pieces = pc.if_else(pa.array(first), flat, spaced)
-        code = self._codes(pieces)
-        begin = np.where(code > 0, self.ends[code - 1], 0)
-        size = self.ends[code] - begin
+        starts = piece_starts(raw, off[:-1][np.diff(off) > 0]) if self.by_piece and len(raw) else np.zeros(0, np.int64)
+        code = self._codes(raw, starts, np.r_[starts[1:], len(raw)]) if len(starts) else np.zeros(0, np.int64)
+        begin = self.ends[code]
+        size = self.ends[code + 1] - begin
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        per_text = np.add.reduceat(size, starts) if len(starts) else np.zeros(0, np.int64)
-        if not len(unsafe):
-            return ids, per_text
-        edges = np.r_[0, np.cumsum(per_text)]
+        edges = np.r_[0, ends][np.searchsorted(starts, off)]
+        if not apart.any():
+            return ids, np.diff(edges)
         parts = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        for k, own in zip(unsafe, self.whole([texts[int(k)].as_py() for k in unsafe]), strict=True):
+        rows = np.flatnonzero(apart)
+        for k, own in zip(rows, self.whole([data[off[k] : off[k + 1]].decode() for k in rows]), strict=True):
             parts[k] = np.array(own, dtype=np.uint32)
         return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
 
@@ -172,8 +267,8 @@ def _writer(tokenizer: str, end_id: int, block_ids: int, mode: str):
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             names = batch.column("doc_id").to_pylist()
-            for rows, _, _ in text_slices(batch.column("text")):
-                ids, sizes = encode.encode(batch.column("text").slice(rows.start, rows.stop - rows.start))
+            for rows, raw, off in text_slices(batch.column("text")):
+                ids, sizes = encode.encode(raw, off)
                 ends = np.cumsum(sizes)
                 # The end id goes behind each document.
                 ids = np.insert(ids, ends, np.uint32(end_id))

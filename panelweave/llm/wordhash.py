@@ -116,13 +116,18 @@ def words_of(column: pa.Array, letters: np.ndarray = NOT_SPACE) -> Iterator[Word
         if len(both):
             at = np.sort(np.concatenate([at, np.repeat(np.unique(both), 2)]))
         starts, ends = at[0::2], at[1::2]
-        up, down = _POWERS.of(len(low) + 1)
-        total = np.zeros(len(low) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[low] * up[:-1], out=total[1:])
-        hashes = mix64((total[ends] - total[starts]) * down[starts])
+        hashes = span_hashes(low, starts, ends)
         yield Words(rows, low, starts, ends, hashes, np.searchsorted(starts, off))
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span."""
+    up, down = _POWERS.of(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[raw] * up[:-1], out=total[1:])
+    return mix64((total[ends] - total[starts]) * down[starts])
+
+
 def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` neighbouring words (len - size + 1 of them, also across documents)."""
     n = len(hashes) - size + 1
