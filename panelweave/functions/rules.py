@@ -72,6 +72,31 @@ def formula_terms(formula: str) -> list[tuple[str, str]]:
     return terms
 
 
+def operands(rule: Rule) -> list[str]:
+    """Names (lower case) of the columns that a rule reads besides its own."""
+    if rule.kind == "formula":
+        return [name for _, name in formula_terms(rule.body) if not name.isdigit()]
+    return rule.others if rule.kind == "method" else []
+
+
+def usable_rules(rules: Mapping[str, Sequence[Rule]], columns: Sequence[str]) -> tuple[dict[str, list[Rule]], list[str]]:
+    """(rules by column as the frame spells it, texts about rules that can't apply).
+
+    Names are matched without regard to case. A rule for a column that is not there, or that reads one, is left out.
+    """
+    known = {c.lower(): c for c in columns}
+    kept: dict[str, list[Rule]] = {}
+    left_out = []
+    for name, own in rules.items():
+        for rule in own:
+            absent = [x for x in (name.lower(), *operands(rule)) if x not in known]
+            if absent:
+                left_out.append(f"{name}: {rule.kind}:{rule.body} needs {', '.join(dict.fromkeys(absent))}")
+            else:
+                kept.setdefault(known[name.lower()], []).append(rule)
+    return kept, left_out
+
+
 def compile_formula(formula: str, columns: Sequence[str]) -> Column:
     """Left-to-right expression; dividing by zero gives NULL. Unknown names raise here, before any job runs."""
     known = {c.lower(): c for c in columns}

@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Stands around inserted words for a moment; not a character of text.
+MARK = "\x01"
+
 # Texts that stand for "no value" in vendor files.
 BLANK_TEXTS = ("NaN", "nan", "Infinity", "-Infinity", "inf", "-inf")
 
@@ -95,14 +98,27 @@ def before(c: Column, mark: str) -> Column:
     return F.substring_index(c, mark, 1)
 
 
+#: A whole quoted string, as group 1.
+QUOTED = r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')"""
+
+
+def _as_json(c: Column) -> Column:
+    """Python's None, True and False as JSON words; those inside quotes stay. The reader takes single quotes as they are."""
+    for word, json in (("None", "null"), ("True", "true"), ("False", "false")):
+        # Skip over whole quoted strings; replace the bare word between them.
+        c = F.regexp_replace(c, QUOTED + rf"|\b{word}\b", f"$1{MARK}{json}{MARK}")
+        c = F.regexp_replace(F.regexp_replace(c, f"""(["']){MARK}{json}{MARK}""", "$1"), MARK, "")
+    return c
+
+
 def literal_to_array(c: Column, element: str = "string") -> Column:
-    """A list written as text with single or double quotes -> ARRAY."""
-    return F.from_json(F.replace(c, F.lit("'"), F.lit('"')), f"array<{element}>")
+    """A list written as text with single or double quotes -> ARRAY; bare None, True and False are read."""
+    return F.from_json(_as_json(c), f"array<{element}>")
 
 
 def literal_to_map(c: Column, value: str = "string") -> Column:
-    """A dict written as text with single or double quotes -> MAP."""
-    return F.from_json(F.replace(c, F.lit("'"), F.lit('"')), f"map<string,{value}>")
+    """A dict written as text with single or double quotes -> MAP; bare None, True and False are read."""
+    return F.from_json(_as_json(c), f"map<string,{value}>")
 
 
 def filled_count(*cols: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.functions.rules import LINEAR_METHODS, Rule, compile_formula
+from panelweave.functions.rules import LINEAR_METHODS, Rule, compile_formula, usable_rules
 from panelweave.operators.groups import group_blend, join_group
 from panelweave.operators.leastsq import (
     fit_least_squares,
@@ -85,8 +86,9 @@ def fill_approx(df: DataFrame, spec: PanelSpec, col: str, others: Sequence[str],
         .filter(F.col("n") > 0)
         .select(spec.industry, "__lo", "__hi", coef.alias("__group"))
     )
-    borrowed = needy.join(span_fit, [spec.industry, "__lo", "__hi"]).select(spec.comp, "__group")
-    joined = df.join(own, spec.comp, "left").join(borrowed, spec.comp, "left")
+    # An entity that changes its group has a span in each; a row takes the one of its own group.
+    borrowed = needy.join(span_fit, [spec.industry, "__lo", "__hi"]).select(spec.comp, spec.industry, "__group")
+    joined = df.join(own, spec.comp, "left").join(borrowed, [spec.comp, spec.industry], "left")
     value = F.coalesce(q(col), predict(F.coalesce(F.col("__own"), F.col("__group")), others))
     return joined.select(*[value.alias(c) if c == col else q(c) for c in df.columns])
 
@@ -117,7 +119,8 @@ def apply_rule(df: DataFrame, spec: PanelSpec, col: str, rule: Rule, annual_awar
             return fill_linear_or(df, spec, col, blend_col=f"__blend_{col}", annual_aware=annual_aware)
         return fill_linear_or(df, spec, col, empty=default, annual_aware=annual_aware)
     if rule.body == "approx":
-        return fill_approx(df, spec, col, rule.others, snapshot)
+        known = {c.lower(): c for c in df.columns}
+        return fill_approx(df, spec, col, [known[x] for x in rule.others], snapshot)
     raise ValueError(f"unknown fill method {rule.body!r}")
 
 
@@ -133,9 +136,12 @@ def apply_rules(
     """Fill a panel: formula rules ``formula_passes`` times in catalogue order, then all rules ``full_passes`` times.
 
     Every rule sees what earlier rules filled. Blended means and regressions are taken from the unfilled input.
+    Column names match without regard to case; rules about columns that are not there are left out with a warning.
     The plan is cut by a reliable checkpoint after each pass over all rules.
     """
-    rules = {c: list(rs) for c, rs in rules.items() if c in df.columns}
+    rules, left_out = usable_rules(rules, df.columns)
+    for text in left_out:
+        warnings.warn(f"fill rule left out, {text}", stacklevel=2)
     blended = [c for c, rs in rules.items() if any(needs_blend(r) for r in rs)]
     out = attach_blend(df, spec, blended) if blended else df
     formulas = [(c, r) for c, rs in rules.items() for r in rs if r.kind == "formula"]

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.functions.scalars import zero_if_missing
 from panelweave.operators.quantiles import exact_quantiles
 from panelweave.operators.windows import WindowSize, explode_to_windows
 from panelweave.spec import PanelSpec, q
@@ -53,34 +54,33 @@ def _merge(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pooled.select(*by, (F.col("ref") + shift).alias("mean"), F.sqrt(F.try_divide(ss, F.col("rows") - 1)).alias("std"))
 
 
-def norm_by_window(df: DataFrame, size: WindowSize, cols: Sequence[str]) -> DataFrame:
-    """norm(start, feature, mean, std) over all entities. Needs ``idx``.
+def norm_by_window(df: DataFrame, size: WindowSize, cols: Sequence[str], windows: DataFrame) -> DataFrame:
+    """norm(start, feature, mean, std) over all entities, for the starts of ``windows``. Needs ``idx``.
 
     Rows are reduced to one row per period before any window is formed: the panel is read once and windows only
     add up ``length`` small rows each.
     """
     by_period = _period_stats(df, ["idx"], cols)
-    return _merge(explode_to_windows(by_period, size), ["start"])
+    return _merge(explode_to_windows(by_period, size).join(windows.select("start"), "start", "left_semi"), ["start"])
 
 
-def norm_by_window_and_entity(df: DataFrame, spec: PanelSpec, size: WindowSize, cols: Sequence[str]) -> DataFrame:
-    """norm(start, comp, feature, mean, std): the same per entity (at most ``length`` rows per group)."""
-    exploded = explode_to_windows(df.select(spec.comp, "idx", *[q(c) for c in cols]), size)
-    wide = exploded.groupBy("start", spec.comp).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.struct(F.avg(q(c)).alias("mean"), (F.var_pop(q(c)) * F.count(q(c))).alias("ss")).alias(c) for c in cols],
-    )
-    entry = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("feature"), q(c)["mean"].alias("mean"), F.sqrt(F.try_divide(q(c)["ss"], F.col("rows") - 1)).alias("std")
-                )
-                for c in cols
-            ]
+def norm_by_window_and_entity(df: DataFrame, spec: PanelSpec, size: WindowSize, cols: Sequence[str], windows: DataFrame) -> DataFrame:
+    """norm(start, comp, feature, mean, std): the same per entity, for the windows that begin with a row of it.
+
+    Moments are taken over a range frame of the entity's rows, by the shuffle that the samples need anyway.
+    """
+    frame = Window.partitionBy(spec.comp).orderBy("idx").rangeBetween(0, size.length - 1)
+    entries = [
+        F.struct(
+            F.lit(c).alias("feature"),
+            F.avg(q(c)).over(frame).alias("mean"),
+            (F.var_pop(q(c)).over(frame) * F.count(q(c)).over(frame)).alias("ss"),
         )
-    )
-    return wide.select("start", spec.comp, entry.alias("e")).select("start", spec.comp, "e.*")
+        for c in cols
+    ]
+    wide = df.select(F.col("idx").alias("start"), spec.comp, F.count(F.lit(1)).over(frame).alias("rows"), F.array(*entries).alias("e"))
+    long = wide.join(windows.select("start"), "start", "left_semi").select("start", spec.comp, "rows", F.explode("e").alias("e"))
+    return long.select("start", spec.comp, "e.feature", "e.mean", F.sqrt(F.try_divide("e.ss", F.col("rows") - 1)).alias("std"))
 
 
 def norm_by_block(df: DataFrame, windows: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -106,8 +106,8 @@ def widen_norm(norm: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Dat
 
 
 def scaled(x: Column, mean: Column, std: Column) -> Column:
-    """(x - mean) / std; anything undefined is 0."""
-    return F.coalesce(F.try_divide(x - F.coalesce(mean, F.lit(0.0)), F.coalesce(std, F.lit(1.0))), F.lit(0.0))
+    """(x - mean) / std; anything undefined or not finite is 0."""
+    return zero_if_missing(F.try_divide(x - F.coalesce(mean, F.lit(0.0)), F.coalesce(std, F.lit(1.0))))
 
 
 def unscaled(x: Column, mean: Column, std: Column) -> Column:
@@ -131,7 +131,7 @@ def _scale_steps(samples: DataFrame, name: str, scale_cols: Sequence[str]) -> Co
             if c in scale_cols:
                 parts.append(scaled(s[c], q(f"__mean_{c}"), q(f"__std_{c}")).alias(c))
             else:
-                parts.append(F.coalesce(s[c], F.lit(0.0)).alias(c))
+                parts.append(zero_if_missing(s[c].cast("double")).alias(c))
         return F.struct(*parts)
 
     return F.transform(F.col(name), one)

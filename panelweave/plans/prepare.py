@@ -10,14 +10,17 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from panelweave.functions.scalars import finite
 from panelweave.operators.evaluate import split_statistics
+from panelweave.operators.quality import dedupe_last
 from panelweave.operators.scale import norm_by_block, norm_by_window, norm_by_window_and_entity, scale_samples
-from panelweave.operators.select import include_exclude
+from panelweave.operators.select import include_exclude, keep_members
 from panelweave.operators.windows import (
     WindowSize,
+    calendar,
     complete_samples,
-    distinct_periods,
     label_samples,
     last_step,
     sample_rejects,
@@ -29,7 +32,7 @@ from panelweave.operators.windows import (
 )
 from panelweave.session import cut_lineage
 from panelweave.sources.tables import fingerprint
-from panelweave.spec import PanelSpec
+from panelweave.spec import PanelSpec, q
 
 METHODS = ("block", "time", "set", "no")
 
@@ -86,7 +89,9 @@ class Samples:
 
 
 class SamplePlan:
-    def __init__(self, panel: DataFrame, spec: PanelSpec, features: Sequence[str], targets: Sequence[str]):
+    def __init__(self, panel: DataFrame, spec: PanelSpec, features: Sequence[str], targets: Sequence[str], latest_by: Sequence[str] = ()):
+        """``latest_by``: of rows that share entity and period the last in this order (then in that of the measures) counts."""
+        self._latest_by = list(latest_by)
         self.panel, self.spec = panel, spec
         self.features, self.targets = list(features), list(targets)
         self._size: WindowSize | None = None
@@ -95,7 +100,7 @@ class SamplePlan:
         self._method = "no"
         self._keep_raw: list[str] = []
         self._inputs_only = False
-        self._comps: tuple[list | None, list | None] = (None, None)
+        self._comps: tuple[DataFrame | None, DataFrame | None] = (None, None)
 
     def window(self, input_width: int, pred_width: int = 1, shift: int = 1) -> SamplePlan:
         if input_width < 1 or pred_width < 1 or shift < 1:
@@ -118,6 +123,8 @@ class SamplePlan:
             raise ValueError(f"method must be one of {METHODS}")
         if method == "block" and self._single:
             raise ValueError("block normalisation needs more than one train window; use 'time' or 'set'")
+        if method == "block" and exclude_target_periods:
+            raise ValueError("block parameters cover whole train spans; exclude_target_periods needs 'time' or 'set'")
         self._method, self._keep_raw, self._inputs_only = method, list(keep_raw), exclude_target_periods
         return self
 
@@ -131,11 +138,19 @@ class SamplePlan:
         self.targets = include_exclude(self.targets, just_include, exclude)
         return self
 
-    def filter_companies(self, just_include: Sequence | None = None, exclude: Sequence | None = None) -> SamplePlan:
-        """Filters samples only: parameters stay those of the whole panel."""
-        self._comps = (list(just_include) if just_include is not None else None, list(exclude) if exclude is not None else None)
+    def filter_companies(self, just_include: Sequence | DataFrame | None = None, exclude: Sequence | DataFrame | None = None) -> SamplePlan:
+        """Filters samples only: parameters stay those of the whole panel. Long lists come as a one-column frame."""
+        self._comps = (self._members(just_include), self._members(exclude))
         return self
 
+    def _members(self, comps: Sequence | DataFrame | None) -> DataFrame | None:
+        if comps is None:
+            return None
+        if isinstance(comps, DataFrame):
+            return comps.toDF(self.spec.comp)
+        kind = self.panel.schema[self.spec.comp].dataType
+        return self.panel.sparkSession.createDataFrame([(c,) for c in comps], T.StructType([T.StructField(self.spec.comp, kind)]))
+
     def static_split(self, val_time: float, test_time: float, val_comp: float = 0.0, test_comp: float = 0.0) -> DataFrame:
         """Rows labelled by one fixed split instead of rolling blocks."""
         return static_split(self.panel, self.spec, self._need_size(), val_time, test_time, val_comp, test_comp)
@@ -153,35 +168,40 @@ class SamplePlan:
             raise ValueError("call block_rolling_split(...) or single_time_rolling(...) first")
         spec = self.spec
         cols = list(dict.fromkeys([*self.features, *self.targets]))
-        panel = self.panel.select(spec.comp, spec.period, *[c for c in cols if c not in spec.keys])
+        order = [c for c in self._latest_by if c not in (*cols, *spec.keys)]
+        panel = self.panel.select(spec.comp, spec.period, *[q(c) for c in (*cols, *order) if c not in spec.keys])
         if materialise:
             panel = cut_lineage(panel)
-        periods = distinct_periods(panel, spec)
-        windows = windows_table(panel.sparkSession, periods, size, *self._split)
-        indexed = with_index(panel, spec, periods)
+        cal = calendar(panel, spec)
+        windows = windows_table(cal, spec, size, *self._split)
+        raw = with_index(panel, spec, cal)
+        # Dealt out by entity first: de-duplication, samples and parameters per entity share that shuffle.
+        last = [q(c) for c in dict.fromkeys([*self._latest_by, *cols])]
+        indexed = dedupe_last(raw.repartition(q(spec.comp)), [spec.comp, "idx"], last).drop(*order)
+        indexed = indexed.withColumns({c: finite(q(c)) for c, t in indexed.dtypes if c in cols and t in ("double", "float")})
         samples = complete_samples(indexed, spec, size, self.features, self.targets)
         include, exclude = self._comps
         if include is not None:
-            samples = samples.filter(F.col(spec.comp).isin(include))
+            samples = keep_members(samples, include, spec.comp)
         if exclude is not None:
-            samples = samples.filter(~F.col(spec.comp).isin(exclude))
+            samples = keep_members(samples, exclude, spec.comp, exclude=True)
 
         scale_cols = [c for c in cols if c not in self._keep_raw]
         norm: DataFrame | None = None
         norm_size = WindowSize(size.input_width, 0, size.shift) if self._inputs_only else size
         if self._method == "time":
-            norm = norm_by_window(indexed, norm_size, scale_cols)
+            norm = norm_by_window(indexed, norm_size, scale_cols, windows)
             # Parameters depend on the window only, so samples are scaled once, before blocks multiply them.
             samples = label_samples(scale_samples(samples, norm, ["start"], scale_cols), windows)
         elif self._method == "set":
-            norm = norm_by_window_and_entity(indexed, spec, norm_size, scale_cols)
+            norm = norm_by_window_and_entity(indexed, spec, norm_size, scale_cols, windows)
             samples = label_samples(scale_samples(samples, norm, ["start", spec.comp], scale_cols), windows)
         elif self._method == "block":
             norm = norm_by_block(indexed, windows, scale_cols)
             samples = scale_samples(label_samples(samples, windows), norm, ["block"], scale_cols)
         else:
             samples = label_samples(samples, windows)
-        rejects = sample_rejects(indexed, spec, size, windows)
+        rejects = sample_rejects(raw, spec, size, windows)
         return Samples(spec, self.features, self.targets, windows, samples, rejects, norm, panel, self._settings())
 
     def _settings(self) -> dict:
@@ -194,5 +214,5 @@ class SamplePlan:
             "normalize": self._method,
             "keep_raw": self._keep_raw,
             "exclude_target_periods": self._inputs_only,
-            "companies": dict(zip(("just_include", "exclude"), self._comps)),
+            "companies": [n for n, c in zip(("just_include", "exclude"), self._comps) if c is not None],
         }

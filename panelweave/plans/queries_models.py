@@ -126,11 +126,11 @@ def q_gbt_fit(spark, sf_dir):
 ORDERS = [(0, 0), (0, 1), (1, 0), (1, 1)]
 
 
-def _until(spark, sf_dir):
-    from panelweave.operators.windows import distinct_periods
+def _until(p):
+    from panelweave.operators.windows import calendar
 
-    periods = distinct_periods(panel_supplier(spark, sf_dir), SPEC)
-    return {"val": (periods[-3], periods[-2]), "test": (periods[-2], periods[-1])}
+    last = [r[0] for r in calendar(p, SPEC).orderBy(F.desc("idx")).select(SPEC.period).limit(3).collect()]
+    return {"val": (last[2], last[1]), "test": (last[1], last[0])}
 
 
 AR_SQL = """
@@ -161,7 +161,7 @@ SELECT *, "order" = (SELECT arg_min("order", (mae, "order")) FROM er WHERE split
 def q_ar_fit(spark, sf_dir):
     """Order search: mean errors of one-step forecasts per order and split, best order by val."""
     p = cut_lineage(panel_supplier(spark, sf_dir).select(*KEYS, "eps"))
-    out = m.order_search(p, SPEC, "eps", ORDERS, _until(spark, sf_dir))
+    out = m.order_search(p, SPEC, "eps", ORDERS, _until(p))
     return out.select("order", "split", F.round("mae", 2).alias("mae"), F.round("mse", 0).alias("mse"), F.round("mda", 6).alias("mda"), F.round("pos", 6).alias("pos"), "is_best")
 
 
@@ -175,7 +175,7 @@ def q_ar_fit(spark, sf_dir):
 )
 def q_ar_predictions(spark, sf_dir):
     p = panel_supplier(spark, sf_dir).select(*KEYS, "eps")
-    out = m.order_predictions(p, SPEC, "eps", [(1, 0), (1, 1)], _until(spark, sf_dir))
+    out = m.order_predictions(p, SPEC, "eps", [(1, 0), (1, 1)], _until(p))
     return out.select("order", "split", "comp", F.round("y_true", 4).alias("y_true"), F.round("y_pred", 4).alias("y_pred"))
 
 

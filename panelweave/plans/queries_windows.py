@@ -53,7 +53,7 @@ def supplier_plan(spark, sf_dir, features=FEATURES, targets=("sales",), panel=No
 @query("q_windows_block_rolling", with_panels(SUPPLIER, body=WINDOWS_SQL + ' SELECT block, split, start, "end", lower, upper FROM windows'))
 def q_windows_block_rolling(spark, sf_dir):
     p = panel_supplier(spark, sf_dir)
-    return win.windows_table(spark, win.distinct_periods(p, SPEC), win.WindowSize(4), 10)
+    return win.windows_table(win.calendar(p, SPEC), SPEC, win.WindowSize(4), 10)
 
 
 @query(
@@ -103,9 +103,9 @@ def q_windows_static_split(spark, sf_dir):
 )
 def q_rows_in_windows(spark, sf_dir):
     p = panel_supplier(spark, sf_dir).select(*KEYS, "inventory")
-    periods = win.distinct_periods(p, SPEC)
+    cal = win.calendar(p, SPEC)
     size = win.WindowSize(4)
-    rows = win.rows_in_windows(win.with_index(p, SPEC, periods), win.windows_table(spark, periods, size, 10), size)
+    rows = win.rows_in_windows(win.with_index(p, SPEC, cal), win.windows_table(cal, SPEC, size, 10), size)
     return rows.groupBy("block", "split", "lower").agg(F.count(F.lit(1)).alias("n"), F.sum("inventory").alias("inventory"))
 
 
@@ -124,6 +124,42 @@ def q_sample_long(spark, sf_dir):
     return long.select("block", "split", "lower", "upper", "comp", "step", *FEATURES)
 
 
+@query(
+    "q_sample_duplicates",
+    with_panels(
+        SUPPLIER,
+        body=COMPLETE_SQL
+        + """
+SELECT s.block, s.split, s.lower, s.comp, p.idx - s.start AS step, p.sales + CASE WHEN p.comp % 3 = 0 AND p.period % 2 = 1 THEN p.comp ELSE 0 END AS sales
+FROM smp s JOIN pi p ON p.comp = s.comp AND p.idx BETWEEN s.start AND s.start + 3""",
+    ),
+)
+def q_sample_duplicates(spark, sf_dir):
+    """A panel with several versions of a row: the last version of each (entity, period) counts, every sample is whole."""
+    p = panel_supplier(spark, sf_dir).select(*KEYS, "sales", F.lit(0).alias("version"))
+    again = p.filter("comp % 3 = 0 AND period % 2 = 1")
+    later = again.select(*KEYS, (F.col("sales") + F.col("comp")).alias("sales"), F.lit(2).alias("version"))
+    between = again.select(*KEYS, F.lit(-1.0).alias("sales"), F.lit(1).alias("version"))
+    plan = SamplePlan(later.unionByName(p).unionByName(between), SPEC, ["sales"], ["sales"], latest_by=["version"]).window(4, 1).block_rolling_split(10)
+    return plan.compute(materialise=True).long().select("block", "split", "lower", "comp", "step", "sales")
+
+
+@query(
+    "q_target_filter",
+    with_panels(
+        SUPPLIER,
+        body=COMPLETE_SQL
+        + """
+SELECT s.block, s.split, s.comp, s.lower, x.sales AS sales, y.inventory AS target_inventory FROM smp s
+JOIN pi x ON x.comp = s.comp AND x.idx = s.start + 3 JOIN pi y ON y.comp = s.comp AND y.idx = s.start + 4""",
+    ),
+)
+def q_target_filter(spark, sf_dir):
+    """Targets chosen by name after the plan is set up."""
+    plan = supplier_plan(spark, sf_dir, ["sales"], ["sales", "inventory", "orderbacklog"]).filter_y(just_include=["inventory"])
+    return plan.compute(materialise=True).last_step().select("block", "split", "comp", "lower", "sales", "target_inventory")
+
+
 @query(
     "q_sample_rejects",
     with_panels(
@@ -197,8 +233,7 @@ def q_norm_block(spark, sf_dir):
 )
 def q_norm_params(spark, sf_dir):
     norm = supplier_plan(spark, sf_dir).normalize("time").compute(materialise=True).norm
-    # Windows that belong to some block only (the table holds every start with rows).
-    return norm.filter(F.col("start") <= 23).select("start", "feature", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
+    return norm.select("start", "feature", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
 
 
 @query(
@@ -479,6 +514,7 @@ def q_results_wide(spark, sf_dir):
     return ev.results_wide(ev.errors_by(preds, ["block", "split"], ["mae", "mse", "mda"], digits=6).drop("n"), ["mae", "mse", "mda"])
 
 
+# The edges of the error histogram.
 EDGES = [-2, -1.5, -1, -0.5, -0.25, -0.15, -0.1, -0.05, -0.025, -0.01, 0, 0.01, 0.025, 0.05, 0.1, 0.15, 0.25, 0.5, 1, 1.5, 2]
 EDGE_ROWS = ", ".join(f"({i}, CAST({e} AS DOUBLE))" for i, e in enumerate(EDGES))
 

@@ -47,7 +47,7 @@ class Field:
     rules: tuple[Rule, ...]
 
 
-def read_catalogue(spark: SparkSession, path: str, name_col: str = "Clear Name", code_col: str = "Reuters Code") -> list[Field]:
+def read_catalogue(spark: SparkSession, path: str, name_col: str, code_col: str) -> list[Field]:
     """Read a field catalogue CSV: one row per field, rules in the ``fillnan_*`` columns in their sorted order.
 
     The catalogue describes columns, so it is as small as a schema and becomes driver-side objects.

@@ -133,3 +133,27 @@ def test_custom_spec_names(spark):
     spec = PanelSpec(comp="ric", period="t", industry="sector")
     df = series(spark, 1, 2, 3).toDF("ric", "t", "sector", "v")
     assert g.attach_group_mean(df, spec, ["v"]).count() == 3
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("['a', 'b']", ["a", "b"]),
+        ("""["it's", 'say "x"']""", ["it's", 'say "x"']),
+        ("['None', None, 'True, False']", ["None", None, "True, False"]),
+        (r"['a\'None', None]", ["a'None", None]),
+        ("[]", []),
+        (None, None),
+    ],
+)
+def test_list_literals(spark, text, want):
+    from panelweave.functions.scalars import literal_to_array
+
+    assert spark.createDataFrame([(text,)], "t string").select(literal_to_array(F.col("t"))).first()[0] == want
+
+
+def test_map_literals(spark):
+    from panelweave.functions.scalars import literal_to_map
+
+    df = spark.createDataFrame([("{'a': True, 'b': False, 'c': None}",)], "t string")
+    assert df.select(literal_to_map(F.col("t"), "boolean")).first()[0] == {"a": True, "b": False, "c": None}

@@ -192,12 +192,12 @@ def test_fiscal_quarter(spark):
 def test_catalogue(spark, tmp_path):
     path = tmp_path / "fields.csv"
     path.write_text(
-        "Category,Name,Reuters Code,Clear Name,Data Type,Variable Type,fillnan_1,fillnan_2\n"
+        "Category,Name,Code,Label,Data Type,Variable Type,fillnan_1,fillnan_2\n"
         "P,Beta,B,Beta,time series,ratio,value:1,\n"
         "P,Cost,C,Cost,time series,flow,formula:Sales-Beta,method:approx(other=Sales)\n"
         "G,Country,X,Country,property,category,,\n"
     )
-    fields = cat.read_catalogue(spark, str(path))
+    fields = cat.read_catalogue(spark, str(path), name_col="Label", code_col="Code")
     assert [f.name for f in fields] == ["beta", "cost", "country"]
     assert cat.formula_pairs(fields) == [("cost", "Sales-Beta")]
     assert list(cat.fill_rules(fields)) == ["beta", "cost"] and fields[1].rules[1].others == ["sales"]

@@ -8,6 +8,7 @@ from conftest import column, series
 from panelweave.operators import ordered as o
 from panelweave.plans.views import SPEC
 
+# A series with a gap at each end and one inside.
 GAPPY = [None, None, 2, 3, None, None, None, 4, 5, 6, None]
 
 
@@ -30,6 +31,7 @@ def test_linear_fill(spark):
 
 
 def test_annual_fill(spark):
+    # Fixed values.
     values = [None] * 5 + [49] * 4 + [45] * 4 + [None] * 4 + [108] * 2
     df = series(spark, *values)
     assert o.annual_flag(df, SPEC, "v").first()["annual"]
@@ -41,38 +43,29 @@ def test_annual_flag_rejects_plain_series(spark):
     assert not o.annual_flag(series(spark, *range(1, 20)), SPEC, "v").first()["annual"]
 
 
-def brute_annual(x):
-    """The two-counter rule, step by step."""
-    prev = ahead = None
-    same = step = 0
-    for i in range(len(x) - 4):
-        value, far = x[i], x[i + 4]
-        close = lambda a, b: a is not None and b is not None and abs(a - b) < 0.001
-        same = same + 1 if i > 0 and close(prev, value) else 0
-        moved = ahead is not None and value is not None and abs(ahead - value) > 0.001
-        step = step + 1 if i > 0 and close(ahead, far) and moved else 0
-        prev, ahead = value, far
-        if (step == 3 and same > 1) or (step > 1 and same == 3) or same + step >= 4:
-            return True
-    return False
-
-
-def test_annual_flag_matches_brute_force(spark):
-    rng = random.Random(5)
-    rows, want = [], {}
-    for comp in range(60):
-        n = rng.randint(5, 24)
-        level, x = 1.0, []
-        for i in range(n):
-            if i % rng.choice([1, 2, 4, 4, 4]) == 0:
-                level = float(rng.randint(1, 4))
-            x.append(None if rng.random() < 0.15 else level)
-        want[comp] = brute_annual(x)
-        rows += [(comp, i, "g", v) for i, v in enumerate(x)]
-    df = spark.createDataFrame(rows, "comp long, period long, industry string, v double")
-    got = {r.comp: bool(r.annual) for r in o.annual_flag(df, SPEC, "v").collect()}
-    assert got == want
-    assert 0 < sum(want.values()) < 60
+def yearly(years, shift=0, gaps=()):
+    """Quarters of values that hold for a year, beginning ``shift`` quarters into the first one."""
+    values = [v for v in years for _ in range(4)][shift:]
+    return [None if i in gaps else v for i, v in enumerate(values)]
+
+
+@pytest.mark.parametrize(
+    ("values", "annual"),
+    [
+        (yearly([1, 2, 3, 4, 5]), True),
+        (yearly([5, 1, 4, 2]), True),
+        (yearly([1, 2, 3, 4, 5], shift=1), True),
+        (yearly([1, 2, 3, 4, 5], shift=3), True),
+        (yearly([1, 2, 3, 4, 5, 6], gaps=(2, 9)), True),
+        ([1, 2, 3, 4] * 5, False),
+        ([1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6], False),
+        ([None] * 12, False),
+        ([7, None, 3, None, 9, None, 1, None], False),
+        (yearly([1, 2])[:5], False),
+    ],
+)
+def test_annual_flag_by_construction(spark, values, annual):
+    assert bool(o.annual_flag(series(spark, *values), SPEC, "v").first()["annual"]) == annual
 
 
 def test_pct_change(spark):

@@ -3,7 +3,7 @@ import pytest
 from conftest import column, series
 from pyspark.sql import functions as F
 
-from panelweave.functions.rules import compile_formula, compile_rule, formula_terms, parse_rule, parse_rules
+from panelweave.functions.rules import compile_formula, compile_rule, formula_terms, parse_rule, parse_rules, usable_rules
 from panelweave.operators import fill as f
 from panelweave.plans.clean import clean_panel
 from panelweave.plans.views import SPEC
@@ -112,3 +112,55 @@ def test_clean_panel_reports_what_it_drops(spark):
     r = report.first()
     assert (r.n_input, r.dropped_required, r.dropped_fill_rate, r.n_kept) == (5, 1, 2, 2)
     assert sorted((x.comp, x.period) for x in out.collect()) == [(1, 1), (3, 1)]
+
+
+def test_an_entity_that_changes_its_group_keeps_its_rows(spark):
+    rows = [(1, p, "g" if p < 4 else "h", float(p), None) for p in range(6)]
+    rows += [(c, p, g, float(p), 2.0 * p + k) for c, g, k in ((2, "g", 0), (3, "h", 1)) for p in range(6)]
+    df = spark.createDataFrame(rows, "comp long, period long, industry string, x double, y double")
+    out = f.fill_approx(df, SPEC, "y", ["x"])
+    assert out.count() == len(rows)
+    got = {r.period: r.y for r in out.filter("comp = 1").collect()}
+    assert got == pytest.approx({p: 2.0 * p + (p >= 4) for p in range(6)})
+
+
+def test_rules_match_names_in_any_case_and_report_the_rest(spark):
+    df = spark.createDataFrame([(1, 1, "g", None, 2.0)], "comp long, period long, industry string, Sales double, Cost double")
+    rules = {"sales": parse_rules(["formula:cost*3"]), "absent": parse_rules(["value:1"]), "COST": parse_rules(["formula:absent+1"])}
+    with pytest.warns(UserWarning, match="absent"):
+        out = f.apply_rules(df, SPEC, rules, checkpoint=False)
+    assert out.first()["Sales"] == 6.0 and out.columns == df.columns
+    kept, left_out = usable_rules(rules, df.columns)
+    assert set(kept) == {"Sales"} and len(left_out) == 2
+
+
+def test_column_cut_and_rules_work_together(spark):
+    rows = [(1, p, "g", float(p) if p % 2 else None, None if p < 9 else 1.0, float(p)) for p in range(10)]
+    df = spark.createDataFrame(rows, "comp long, period long, industry string, a double, sparse double, b double")
+    rules = {"a": parse_rules(["formula:b-sparse", "method:linear(or=0)"]), "sparse": parse_rules(["value:0"])}
+    out, report = clean_panel(df, SPEC, rules, col_pct=0.4, required_after=["a"], checkpoint=False)
+    seen = report.first()
+    assert seen.dropped_columns == ["sparse"] and len(seen.skipped_rules) == 2 and seen.dropped_after == 0
+    assert "sparse" not in out.columns and out.filter("a IS NULL").count() == 0
+
+
+def test_clean_panel_is_built_once_per_setting(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, "g", None)], "comp long, period long, industry string, a double")
+    clean = lambda value, frame=df: clean_panel(frame, SPEC, {"a": parse_rules([f"value:{value}"])}, cache_root=str(tmp_path), cache_key={"input": "t1"}, checkpoint=False)[0].first()["a"]
+    assert clean(1) == 1.0 and clean(2) == 2.0
+    other = df.withColumn("a", F.lit(9.0))
+    assert clean(1, other) == 1.0  # read back: the key names the same input
+    with pytest.raises(ValueError):
+        clean_panel(df, SPEC, {}, cache_root=str(tmp_path))
+
+
+def test_a_full_catalogue_of_rules(spark):
+    """Ninety rules over two hundred columns run through the cleaning."""
+    names = [f"m{i}" for i in range(200)]
+    rows = [(c, p, "g", *[float(i + p) if (i + p + c) % 7 else None for i in range(200)]) for c in range(2) for p in range(6)]
+    df = spark.createDataFrame(rows, "comp long, period long, industry string, " + ", ".join(f"{n} double" for n in names))
+    kinds = ("value:0", "formula:m0+m1", "formula:m2-m3")
+    rules = {n: parse_rules([kinds[i % 3]]) for i, n in enumerate(names[:90])}
+    out, report = clean_panel(df, SPEC, rules, checkpoint=False)
+    got = out.select([F.sum(F.col(n).isNull().cast("int")).alias(n) for n in names[0:90:3]]).first()
+    assert set(got) == {0} and out.count() == 12 and report.first().skipped_rules == []

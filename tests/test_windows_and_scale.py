@@ -1,7 +1,5 @@
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from panelweave.operators import scale as sc
 from panelweave.operators import windows as win
@@ -17,30 +15,42 @@ def panel(spark, comps=4, periods=20, skip=()):
     return spark.createDataFrame(rows, "comp long, period long, a double, b double")
 
 
-def test_one_block_over_sixteen_years():
-    rows = win.block_rolling_windows(16, win.WindowSize(4, 1), 10, 1, 1)
-    years = range(2000, 2016)
-    assert {(r[0], r[1]) for r in rows} == {(0, 15)}
-    starts = {s: [(years[r[3]], years[r[4]]) for r in rows if r[2] == s] for s in ("train", "val", "test")}
-    assert starts["train"] == [(y, y + 4) for y in range(2000, 2010)]
-    assert starts["val"] == [(2010, 2014)] and starts["test"] == [(2011, 2015)]
+def windows_of(spark, n, size, train, val=1, test=1):
+    cal = win.calendar(spark.range(n).selectExpr("id AS comp", "id + 2000 AS period"), SPEC)
+    return win.windows_table(cal, SPEC, size, train, val, test).collect()
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.integers(1, 6), st.integers(1, 4), st.integers(1, 12), st.integers(1, 3), st.integers(1, 3), st.integers(0, 10))
-def test_predicted_periods_of_the_splits_never_meet(i, p, t, v, s, extra):
+def test_one_block_over_sixteen_years(spark):
+    rows = windows_of(spark, 16, win.WindowSize(4, 1), 10)
+    assert {r.block for r in rows} == {"2000_2015"}
+    spans = {s: sorted((r.lower, r.upper) for r in rows if r.split == s) for s in ("train", "val", "test")}
+    assert spans["train"] == [(y, y + 4) for y in range(2000, 2010)]
+    assert spans["val"] == [(2010, 2014)] and spans["test"] == [(2011, 2015)]
+    assert windows_of(spark, 15, win.WindowSize(4, 1), 10) == []
+
+
+@pytest.mark.parametrize(("i", "p", "t", "v", "s", "extra"), [(1, 1, 1, 1, 1, 0), (3, 2, 4, 1, 2, 3), (2, 4, 1, 3, 3, 2), (6, 1, 12, 2, 1, 1), (1, 3, 5, 3, 2, 4)])
+def test_predicted_periods_of_the_splits_never_meet(spark, i, p, t, v, s, extra):
     size = win.WindowSize(i, p)
     n = (i + t - 1) + 3 * p + v + s - 2 + extra
-    rows = win.block_rolling_windows(n, size, t, v, s)
-    assert len({(a, b) for a, b, *_ in rows}) == extra + 1
-    for block in {(a, b) for a, b, *_ in rows}:
-        mine = [r for r in rows if r[:2] == block]
-        count = {k: sum(r[2] == k for r in mine) for k in ("train", "val", "test")}
+    rows = windows_of(spark, n, size, t, v, s)
+    assert len({r.block for r in rows}) == extra + 1
+    for block in {r.block for r in rows}:
+        mine = [r for r in rows if r.block == block]
+        low, high = map(int, block.split("_"))
+        count = {k: sum(r.split == k for r in mine) for k in ("train", "val", "test")}
         assert count == {"train": t, "val": v, "test": s}
-        assert all(block[0] <= r[3] and r[4] <= block[1] for r in mine)
-        targets = {k: {x for r in mine if r[2] == k for x in range(r[4] - p + 1, r[4] + 1)} for k in count}
+        assert all(low <= r.lower and r.upper <= high and r.end - r.start == i + p - 1 and r.lower == 2000 + r.start for r in mine)
+        targets = {k: {x for r in mine if r.split == k for x in range(r.upper - p + 1, r.upper + 1)} for k in count}
         assert not targets["train"] & targets["val"] and not targets["val"] & targets["test"] and not targets["train"] & targets["test"]
-        assert max(r[4] for r in mine if r[2] == "test") == block[1]
+        assert max(r.upper for r in mine if r.split == "test") == high
+
+
+def test_shifted_blocks_and_windows(spark):
+    rows = windows_of(spark, 16, win.WindowSize(2, 1, 3), 4, 4, 1)
+    assert {r.block for r in rows} == {f"{2000 + b}_{2000 + b + 10}" for b in (0, 3)}
+    first = sorted((r.split, r.start) for r in rows if r.block == "2000_2010")
+    assert first == [("test", 8), ("train", 0), ("train", 3), ("val", 4), ("val", 7)]
 
 
 def test_samples_and_rejects(spark):
@@ -64,18 +74,52 @@ def test_duplicate_rows_are_reported(spark):
     df = panel(spark, comps=2, periods=12)
     twice = df.unionByName(df.filter("comp = 1 AND period = 2003"))
     size = win.WindowSize(3, 1)
-    periods = win.distinct_periods(twice, SPEC)
-    idx = win.with_index(twice, SPEC, periods)
-    windows = win.windows_table(spark, periods, size, 4)
+    cal = win.calendar(twice, SPEC)
+    idx = win.with_index(twice, SPEC, cal)
+    windows = win.windows_table(cal, SPEC, size, 4)
     got = win.sample_rejects(idx, SPEC, size, windows).collect()
     assert got and all(r.comp == 1 and "duplicates" in r.message for r in got)
+    # Without de-duplication such windows give no sample at all.
+    starts = {r.start for r in win.complete_samples(idx, SPEC, size, ["a"], ["b"]).filter("comp = 1").collect()}
+    assert starts == {k for k in range(9) if not k <= 3 <= k + 3}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_samples_of_a_panel_with_duplicates(spark, seed):
+    """Every sample holds exactly the consecutive periods of its window, with the last version of each."""
+    rng = np.random.default_rng(seed)
+    rows, last = [], {}
+    for c in range(4):
+        for p in range(14):
+            for version in range(int(rng.choice([0, 1, 1, 1, 2, 3]))):
+                value = float(rng.normal())
+                rows.append((c, 2000 + p, version, value, float("nan") if rng.random() < 0.1 else value))
+                last[c, 2000 + p] = value
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(a), int(b), int(v), float(x), float(y)) for a, b, v, x, y in rows], "comp long, period long, version int, a double, b double")
+    done = SamplePlan(df, SPEC, ["a", "b"], ["b"], latest_by=["version"]).window(2, 1).block_rolling_split(3).compute()
+    got = done.samples.collect()
+    windows = {(w.start, w.lower, w.upper) for w in done.windows.collect()}
+    periods = sorted({p for _, p in last})
+    at = {p: i for i, p in enumerate(periods)}
+    want = {(c, lo) for c in range(4) for _, lo, up in windows if all((c, q) in last for q in periods[at[lo] : at[up] + 1])}
+    assert {(r.comp, r.lower) for r in got} == want
+    for r in got:
+        steps = [(s.period, s.a) for s in r.x]
+        assert steps == [(q, last[r.comp, q]) for q in periods[at[r.lower] : at[r.lower] + 2]] and [s.period for s in r.y] == [r.upper]
+    bad = {(r.comp, r.lower) for r in done.rejects.filter("message NOT LIKE '%duplicates%'").collect()}
+    assert bad == {(c, lo) for c in range(4) for _, lo, _ in windows} - want
+    raw = {s.b for r in done.samples.collect() for s in r.x}
+    scaled = SamplePlan(df, SPEC, ["a", "b"], ["b"], latest_by=["version"]).window(2, 1).block_rolling_split(3).normalize("time").compute()
+    assert all(np.isfinite(s.b) for r in scaled.samples.collect() for s in r.x) and not any(x is not None and np.isnan(x) for x in raw)
 
 
 def test_window_parameters_match_numpy(spark):
     df = panel(spark).selectExpr("comp", "period", "CASE WHEN (comp + period) % 5 = 0 THEN NULL ELSE a END AS a", "b")
     size = win.WindowSize(3, 1)
-    periods = win.distinct_periods(df, SPEC)
-    idx = win.with_index(df, SPEC, periods)
+    cal = win.calendar(df, SPEC)
+    idx = win.with_index(df, SPEC, cal)
+    windows = win.windows_table(cal, SPEC, size, 5)
     pdf = idx.toPandas()
 
     def want(rows):
@@ -83,12 +127,12 @@ def test_window_parameters_match_numpy(spark):
         x = x.fillna(x.mean())
         return x.mean(), x.std(ddof=1)
 
-    for r in sc.norm_by_window(idx, size, ["a"]).filter("start <= 16").collect():
+    for r in sc.norm_by_window(idx, size, ["a"], windows).collect():
         assert (r["mean"], r["std"]) == pytest.approx(want(pdf[(pdf.idx >= r.start) & (pdf.idx < r.start + 4)]))
-    for r in sc.norm_by_window_and_entity(idx, SPEC, size, ["a"]).filter("start <= 16").collect():
+    for r in sc.norm_by_window_and_entity(idx, SPEC, size, ["a"], windows).collect():
         m, s = want(pdf[(pdf.idx >= r.start) & (pdf.idx < r.start + 4) & (pdf.comp == r.comp)])
         assert (r["mean"], r["std"]) == pytest.approx((m, s))
-    windows = win.windows_table(spark, periods, size, 5)
+    assert {r.start for r in sc.norm_by_window(idx, size, ["a"], windows).collect()} == {r.start for r in windows.collect()}
     spans = {}
     for w in windows.filter("split = 'train'").collect():
         lo, hi = spans.get(w.block, (10**9, -1))
@@ -112,6 +156,8 @@ def test_builder_refuses_bad_settings(spark):
         SamplePlan(df, SPEC, ["a"], ["b"]).filter_features(["nothere"])
     with pytest.raises(ValueError):
         SamplePlan(df, SPEC, ["a"], ["b"]).window(0)
+    with pytest.raises(ValueError):
+        SamplePlan(df, SPEC, ["a"], ["b"]).window(3).normalize("block", exclude_target_periods=True)
 
 
 def test_block_of_constant_column_scales_to_zero(spark):
