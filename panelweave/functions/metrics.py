@@ -37,12 +37,6 @@ def directional_accuracy(t: Column, p: Column, rounding: int = 10) -> Column:
     return F.avg(F.when(same, 1.0).otherwise(0.0))
 
 
-def directional_accuracy_fine(t: Column, p: Column) -> Column:
-    """The per-entity variant: equal sign, or equal sign after rounding to 4 decimals."""
-    same = (F.signum(t) == F.signum(p)) | (F.signum(F.rint(t * 10000)) == F.signum(F.rint(p * 10000)))
-    return F.avg(F.when(same, 1.0).otherwise(0.0))
-
-
 def direction_share(t: Column, direction: int) -> Column:
     """Share of truths that are positive (1), zero (0) or negative (-1) after rounding to 6 decimals."""
     return F.avg(F.when(F.signum(F.rint(t * 1000000)) == direction, 1.0).otherwise(0.0))
@@ -54,10 +48,6 @@ def one_minus_error_ratio(t: Column, p: Column, kind: str = "mse") -> Column:
     return F.lit(1.0) - F.try_divide(upper, F.avg(F.abs(t)))
 
 
-def r_squared(t: Column, p: Column) -> Column:
-    return F.lit(1.0) - F.try_divide(mse(t, p), F.var_pop(t))
-
-
 ERROR_METRICS = {
     "mae": mae,
     "mse": mse,

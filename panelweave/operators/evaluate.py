@@ -49,13 +49,6 @@ def best_candidate(errors: DataFrame, keys: Sequence[str], candidate: str, loss:
     return errors.groupBy(*keys).agg(F.min_by(q(candidate), order).alias(candidate), F.min(q(loss)).alias(loss))
 
 
-def chosen_baseline(preds: DataFrame, loss: str = "mae", digits: int | None = None) -> DataFrame:
-    """Walk-forward table: per block the candidate that is best on val, and its metrics on every split."""
-    errors = errors_by(preds, ["block", "split", "model", "candidate"], digits=digits)
-    best = best_candidate(errors.filter(F.col("split") == "val"), ["block", "model"], "candidate", loss).select("block", "model", "candidate")
-    return errors.join(best, ["block", "model", "candidate"])
-
-
 def error_histogram(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Percent of errors per fixed bucket; values on an edge count half to either side.
 
@@ -123,5 +116,3 @@ def mean_forecast_errors(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("mda"),
         F.avg(F.signum(F.rint(t * 1000000))).alias("pos"),
     )
-
-

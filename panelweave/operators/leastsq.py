@@ -30,10 +30,64 @@ def moments(y: str, xs: Sequence[str]) -> list[Column]:
     return [n.alias("n"), F.array(*[F.avg(c) for c in v]).alias("mean"), F.array(*cross).alias("cross")]
 
 
+#: Up to so many variables moments are plain aggregates; their number grows with the square, beyond what plans carry.
+PLAIN_VARIABLES = 16
+
+
 def group_moments(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
+    """(keys, n, mean, cross) of complete rows. Frames of many variables sum a matrix per task instead of an expression per pair."""
+    if len(xs) + 1 > PLAIN_VARIABLES:
+        return _gram_moments(df, list(keys), [*xs, y])
     return df.groupBy(*keys).agg(*moments(y, xs)) if keys else df.agg(*moments(y, xs))
 
 
+def _joined_moments(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Counts, means and centred squares of several parts as those of the whole."""
+    n = sum(p[0] for p in parts)
+    mean = sum(p[0] * p[1] for p in parts) / n
+    return n, mean, sum(p[2] + p[0] * np.outer(p[1] - mean, p[1] - mean) for p in parts)
+
+
+def _gram_moments(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Moments by matrix products: one matrix per task and group, joined in two steps, so no group gathers a row per task."""
+    integral = [isinstance(df.schema[c].dataType, T.IntegralType) for c in keys]
+    k, upper = len(names), np.triu_indices(len(names))
+    schema = T.StructType([*[df.schema[c] for c in keys], T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("cross", T.ArrayType(T.DoubleType()))])
+
+    columns = [f.name for f in schema]
+
+    def rows(held: dict) -> pd.DataFrame:
+        # A missing key comes as NaN; whole numbers come as floats beside it.
+        plain = lambda key: [None if pd.isna(x) else int(x) if whole else x for x, whole in zip(key, integral, strict=True)]
+        out = [(*plain(key), part, n, mean.tolist(), cross[upper].tolist()) for (key, part), (n, mean, cross) in held.items()]
+        return pd.DataFrame(out, columns=columns).astype(dict.fromkeys(keys, object))
+
+    def per_task(batches):
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId() % 64, {}
+        for frame in batches:
+            for key, own in frame.dropna(subset=names).groupby(keys, dropna=False) if keys else [((), frame.dropna(subset=names))]:
+                x = own[names].to_numpy(dtype=float)
+                if len(x):
+                    d = x - x.mean(0)
+                    new = (len(x), x.mean(0), d.T @ d)
+                    held[key, part] = _joined_moments([held[key, part], new]) if (key, part) in held else new
+        yield rows(held)
+
+    def joined(final: bool):
+        def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            whole = _joined_moments([(n, np.asarray(m), _unpack(np.asarray(c), k)) for n, m, c in zip(frame["n"], frame["mean"], frame["cross"], strict=True)])
+            return rows({(tuple(key[: len(keys)]), 0 if final else key[-1]): whole})
+
+        return run
+
+    small = df.select(*[q(c) for c in keys], *[q(c).cast("double").alias(c) for c in names]).mapInPandas(per_task, schema)
+    small = small.groupBy(*keys, "part").applyInPandas(joined(False), schema)
+    last = small.groupBy(*keys) if keys else small.withColumn("part", F.lit(0)).groupBy("part")
+    return last.applyInPandas(joined(True), schema).drop("part")
+
+
 def merge_moments(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """Combine moment rows (``n``, ``mean``, ``cross`` over ``k`` variables) into one row per key.
 

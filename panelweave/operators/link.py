@@ -90,7 +90,3 @@ def align_results(frames: Mapping[str, DataFrame], key: str, value: str) -> Data
     if out is None:
         raise ValueError("no frames")
     return out
-
-
-def presence(c: Column) -> Column:
-    return c.isNotNull()

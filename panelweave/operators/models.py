@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from itertools import product
 
-import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.functions.metrics import error_table
 from panelweave.operators.evaluate import best_candidate, mean_forecast_errors
-from panelweave.operators.leastsq import coefficient_table, fit_least_squares, group_moments, predict, solve_coefficients
+from panelweave.operators.leastsq import fit_least_squares, group_moments, predict, solve_coefficients
 from panelweave.operators.quantiles import exact_quantiles
 from panelweave.operators.select import with_position
 from panelweave.operators.windows import small_table
@@ -24,6 +23,10 @@ from panelweave.session import cut_lineage
 from panelweave.spec import PanelSpec, q
 
 
+#: Rows of a hash bucket in which permutation importance orders rows.
+BUCKET_ROWS = 100_000
+
+
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip").transform(df)
 
@@ -59,110 +62,51 @@ def residual_quartiles(df: DataFrame, residual: str) -> dict[str, float | None]:
     return dict(zip(("min", "q1", "median", "q3", "max"), got))
 
 
-def linear_by_block(df: DataFrame, block: str, y: str, xs: Sequence[str]) -> DataFrame:
-    """Coefficient table (with standard errors and p values) per block, all blocks in one pass."""
-    return coefficient_table(df, [block], y, xs)
-
+def walk_forward(samples: DataFrame, block: str, split: str, y: str, fit_predict: Callable[[DataFrame, DataFrame], DataFrame], metrics: Sequence[str] = ("mae", "mse")) -> DataFrame:
+    """Error table per block and split of any model: ``fit_predict(train, rows)`` returns ``rows`` with ``y_pred``.
 
-def score_blocks(train: DataFrame, rows: DataFrame, block: str, y: str, xs: Sequence[str]) -> DataFrame:
-    """Fit every block on ``train``, predict ``rows``: (rows, y_true, y_pred)."""
-    fits = fit_least_squares(train, [block], y, xs).select(block, "coef")
-    return rows.join(fits, block).select(*rows.columns, q(y).alias("y_true"), predict(F.col("coef"), xs).alias("y_pred"))
+    The callable gets the train rows and all rows of *all* blocks, with their block column, and must fit each block on
+    its own train rows; a model that fits one table at a time can loop over ``block``.
+    """
+    scored = fit_predict(samples.filter(q(split) == "train"), samples)
+    return scored.groupBy(block, split).agg(*error_table(q(y), F.col("y_pred"), metrics))
 
 
-def regularised(df: DataFrame, y: str, xs: Sequence[str], reg: float, elastic: float) -> DataFrame:
-    """Ridge (elastic 0), lasso (1) or a mix: (term, coef)."""
-    model = LinearRegression(labelCol=y, featuresCol="features", regParam=reg, elasticNetParam=elastic).fit(assemble(df, xs))
-    terms = ["(intercept)", *xs]
-    return _terms(df.sparkSession, terms, [model.intercept, *model.coefficients])
+def linear_by_block(block: str, y: str, xs: Sequence[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Least squares per block as a model for ``walk_forward``: all blocks in one pass."""
 
+    def fit_predict(train: DataFrame, rows: DataFrame) -> DataFrame:
+        fits = fit_least_squares(train, [block], y, xs).select(block, "coef")
+        return rows.join(fits, block).withColumn("y_pred", predict(F.col("coef"), xs)).drop("coef")
 
-def _terms(spark: SparkSession, terms: Sequence[str], values: Sequence[float]) -> DataFrame:
-    schema = pa.schema([("term", pa.string()), ("coef", pa.float64())])
-    return small_table(spark, {"term": list(terms), "coef": [float(v) for v in values]}, schema)
+    return fit_predict
 
 
-def grid_search(
-    df: DataFrame,
-    y: str,
-    xs: Sequence[str],
-    regs: Sequence[float],
-    elastics: Sequence[float],
-    scalers: Sequence[str] = ("none",),
-    keeps: Sequence[int] | None = None,
-    folds: int = 3,
-    seed: int = 7,
-) -> DataFrame:
-    """Cross-validated mean absolute error per scaler, number of selected features, reg and elastic.
+def boosted_trees(
+    train: DataFrame, val: DataFrame, rows: DataFrame, y: str, xs: Sequence[str], grid: Mapping[str, Sequence], trials: int | None = None, seed: int = 7
+) -> tuple[DataFrame, DataFrame]:
+    """(rows + y_pred, trials): boosted trees fitted on ``train``, the setting chosen by mean absolute error on ``val``.
 
-    ``scalers`` are none, standard or robust; ``keeps`` are feature counts for ``eliminate_features``.
+    The frames hold one block; pooling blocks would put one's train rows among another's val rows. ``grid`` is searched whole, or
+    ``trials`` of its settings in a seeded order. ``trials`` lists every setting as JSON with its error.
     """
-    df = cut_lineage(df.select(y, *[x for x in xs if x != y]))
-    rows = []
-    for keep in keeps or [len(xs)]:
-        chosen = eliminate_features(df, y, xs, keep) if keep < len(xs) else list(xs)
-        for scaler in scalers:
-            ready = assemble(df, chosen, "raw")
-            stages = {"none": [], "standard": [StandardScaler(withMean=True)], "robust": [RobustScaler(withCentering=True)]}[scaler]
-            for stage in stages:
-                stage.setInputCol("raw").setOutputCol("features")
-            lr = LinearRegression(labelCol=y, featuresCol="features" if stages else "raw")
-            grid = ParamGridBuilder().addGrid(lr.regParam, list(regs)).addGrid(lr.elasticNetParam, list(elastics)).build()
-            cv = CrossValidator(
-                estimator=Pipeline(stages=[*stages, lr]),
-                estimatorParamMaps=grid,
-                evaluator=RegressionEvaluator(labelCol=y, metricName="mae"),
-                numFolds=folds,
-                seed=seed,
-                parallelism=4,
-            )
-            errors = cv.fit(ready).avgMetrics
-            rows += [(scaler, keep, g[lr.regParam], g[lr.elasticNetParam], float(e)) for g, e in zip(grid, errors)]
-    names = ("scaler", "n_features", "reg", "elastic", "mae")
-    types = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-    return small_table(df.sparkSession, {n: [r[i] for r in rows] for i, n in enumerate(names)}, pa.schema(list(zip(names, types))))
-
-
-def eliminate_features(df: DataFrame, y: str, xs: Sequence[str], keep: int) -> list[str]:
-    """Recursive elimination: refit on standardised features, drop the smallest absolute coefficient, repeat.
-
-    All refits use the moments of one pass; nothing is read again.
-    """
-    m = group_moments(df, [], y, xs).first()
-    k = len(xs) + 1
-    s = np.zeros((k, k))
-    s[np.triu_indices(k)] = m["cross"]
-    s = s + np.triu(s, 1).T
-    left = [i for i in range(k - 1) if s[i, i] > 0]
-    while len(left) > keep:
-        sub = s[np.ix_(left, left)]
-        b = np.linalg.pinv(sub, rcond=1e-12, hermitian=True) @ s[left, k - 1]
-        weight = np.abs(b) * np.sqrt(np.diag(sub))
-        left.pop(int(np.argmin(weight)))
-    return [xs[i] for i in left]
-
-
-def boosted_trees(
-    train: DataFrame, val: DataFrame, rows: DataFrame, y: str, xs: Sequence[str], trials: int = 3, seed: int = 7, grid: Mapping[str, Sequence] | None = None
-) -> tuple[DataFrame, dict]:
-    """Sampled search over boosted-tree settings, judged by mean absolute error on ``val``; returns (rows + y_pred, best settings)."""
-    space = dict(grid or {"maxDepth": [3, 4, 5, 6], "stepSize": [0.05, 0.1, 0.2, 0.3], "maxIter": [10, 20, 40], "subsamplingRate": [0.7, 0.85, 1.0], "minInstancesPerNode": [1, 5, 20]})
-    rng = random.Random(seed)
-    ready = assemble(train.withColumn("__val", F.lit(False)).unionByName(val.withColumn("__val", F.lit(True))), xs).persist()
-    try:
-        best, best_loss, best_set = None, float("inf"), {}
-        for _ in range(trials):
-            chosen = {k: rng.choice(list(v)) for k, v in space.items()}
-            gbt = GBTRegressor(labelCol=y, featuresCol="features", predictionCol="y_pred", validationIndicatorCol="__val", seed=seed, **chosen)
-            model = gbt.fit(ready)
-            loss = model.transform(ready.filter("__val")).agg(F.avg(F.abs(F.col("y_pred") - q(y)))).first()[0]
-            if loss is not None and loss < best_loss:
-                best, best_loss, best_set = model, loss, chosen
-    finally:
-        ready.unpersist()
-    if best is None:
-        raise ValueError("val holds no usable row")
-    return best.transform(assemble(rows, xs)).drop("features"), {**best_set, "val_mae": best_loss}
+    names = sorted(grid)
+    space = [dict(zip(names, values, strict=True)) for values in product(*[grid[n] for n in names])]
+    if trials is not None and trials < len(space):
+        space = random.Random(seed).sample(space, trials)
+    ready = cut_lineage(assemble(train.withColumn("__val", F.lit(False)).unionByName(val.withColumn("__val", F.lit(True))), xs).select("features", y, "__val"))
+    done = []
+    for chosen in space:
+        gbt = GBTRegressor(labelCol=y, featuresCol="features", predictionCol="y_pred", validationIndicatorCol="__val", seed=seed, **chosen)
+        model = gbt.fit(ready)
+        loss = model.transform(ready.filter("__val")).agg(F.avg(F.abs(F.col("y_pred") - q(y)))).first()[0]
+        if loss is None:
+            raise ValueError("val holds no usable row")
+        done.append((loss, json.dumps(chosen, sort_keys=True), model))
+    best = min(done, key=lambda x: x[:2])
+    schema = pa.schema([("setting", pa.string()), ("val_mae", pa.float64()), ("is_best", pa.bool_())])
+    table = small_table(train.sparkSession, {"setting": [x[1] for x in done], "val_mae": [x[0] for x in done], "is_best": [x is best for x in done]}, schema)
+    return best[2].transform(assemble(rows, xs)).drop("features"), table
 
 
 def permuted(df: DataFrame, key: str, col: str, seed: int) -> DataFrame:
@@ -176,24 +120,34 @@ def permuted(df: DataFrame, key: str, col: str, seed: int) -> DataFrame:
     return by_row.join(values, "__pos").withColumn(col, F.col("__other")).drop("__pos", "__other")
 
 
-def permutation_importance(df: DataFrame, key: str, y: str, xs: Sequence[str], score, repeats: int = 1, seed: int = 7) -> DataFrame:
-    """(feature, importance, spread): rise of the mean absolute error when a column is permuted.
+def permutation_importance(df: DataFrame, key: str, y: str, xs: Sequence[str], score, groups: Sequence[str] = (), repeats: int = 5, seed: int = 7) -> DataFrame:
+    """(groups, feature, importance, spread): rise of the mean absolute error when a column is permuted, over the repeats.
 
-    ``score(df)`` adds ``y_pred``. ``key`` identifies a row. The table is read several times per feature, so it
-    is written to the checkpoint folder first.
+    ``score(df)`` adds ``y_pred``; ``key`` identifies a row. Values change places within their group (a split, say). All
+    features and repeats are one plan: each row is copied features x repeats times next to the value that a seeded
+    order of its group gives it. Orders are md5 hashes of key, feature and repeat. Tables above ``BUCKET_ROWS`` are permuted
+    within hash buckets of about that many rows, so no task orders a whole table.
     """
     df = cut_lineage(df)
-    base = score(df).agg(F.avg(F.abs(F.col("y_pred") - q(y))).alias("loss")).first()["loss"]
-    parts = None
-    for i, x in enumerate(xs):
-        for r in range(repeats):
-            loss = (
-                score(permuted(df, key, x, seed + 100 * i + 2 * r))
-                .agg(F.avg(F.abs(F.col("y_pred") - q(y))).alias("loss"))
-                .select(F.lit(x).alias("feature"), (F.col("loss") - F.lit(base)).alias("rise"))
-            )
-            parts = loss if parts is None else parts.unionByName(loss)
-    return parts.groupBy("feature").agg(F.avg("rise").alias("importance"), F.coalesce(F.stddev_pop("rise"), F.lit(0.0)).alias("spread"))
+    buckets = max(1, df.count() // BUCKET_ROWS)
+    groups = list(groups)
+    error = F.avg(F.abs(F.col("y_pred") - q(y)))
+    scored = score(df)
+    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.lit(r).alias("repeat"), q(x).cast("double").alias("value")) for x in xs for r in range(repeats)]))
+    bucket = F.pmod(F.xxhash64(q(key)), F.lit(buckets)).alias("__bucket")
+    long = df.select("*", pairs.alias("p"), bucket).select(*[q(c) for c in df.columns], "__bucket", "p.feature", "p.repeat", F.col("p.value").alias("__value"))
+    drawn = lambda part: F.md5(F.concat_ws("|", q(key).cast("string"), F.col("feature"), F.col("repeat").cast("string"), F.lit(f"{seed}{part}")))
+    # Matching two orders of the same rows permutes the values.
+    w = lambda part: Window.partitionBy(*groups, "__bucket", "feature", "repeat").orderBy(drawn(part), q(key))
+    by = [*groups, "__bucket", "feature", "repeat", "__pos"]
+    takers = long.drop("__value").withColumn("__pos", F.row_number().over(w("a")))
+    givers = long.withColumn("__pos", F.row_number().over(w("b"))).select(*by, F.col("__value").alias("__given"))
+    mixed = takers.join(givers, by)
+    changed = mixed.withColumns({x: F.when(F.col("feature") == x, F.col("__given")).otherwise(q(x).cast("double")) for x in xs})
+    loss = score(changed).groupBy(*groups, "feature", "repeat").agg(error.alias("loss"))
+    before = loss.join(scored.groupBy(*groups).agg(error.alias("base")), groups) if groups else loss.withColumn("base", scored.agg(error).scalar())
+    rise = before.withColumn("rise", F.col("loss") - F.col("base"))
+    return rise.groupBy(*groups, "feature").agg(F.avg("rise").alias("importance"), F.coalesce(F.stddev_pop("rise"), F.lit(0.0)).alias("spread"))
 
 
 def order_predictions(df: DataFrame, spec: PanelSpec, col: str, orders: Sequence[tuple[int, int]], until: Mapping[str, tuple[int, int]]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.metrics import error_table
 from panelweave.operators import models as m
+from panelweave.operators import penalised as pen
 from panelweave.operators.leastsq import coefficient_table, fit_least_squares, predict
 from panelweave.operators.ordered import pct_change
 from panelweave.plans.panel_sql import SUPPLIER, with_panels
@@ -68,15 +69,47 @@ def q_ols_pair(spark, sf_dir):
     return fit.select("block", *[F.round(F.col("coef")[i], 6).alias(n) for i, n in enumerate(("intercept", "b1", "b2"))])
 
 
-@query("q_ols_fit")
+PAIR = ["grossmargin", "p_eps"]
+# Two regressors in closed form: centred sums, slopes, residual variance and the diagonal of the inverse.
+PAIR_SQL = """
+, mo AS (SELECT block, count(*) AS n, covar_pop(x1, y) * count(*) AS c1, covar_pop(x2, y) * count(*) AS c2, covar_pop(x1, x2) * count(*) AS c12,
+                var_pop(x1) * count(*) AS v1, var_pop(x2) * count(*) AS v2, var_pop(y) * count(*) AS vy, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my
+         FROM sg WHERE split = 'train' GROUP BY 1),
+b AS (SELECT *, v1 * v2 - c12 * c12 AS det, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM mo),
+r AS (SELECT *, b1 * c1 + b2 * c2 AS explained, (vy - b1 * c1 - b2 * c2) / (n - 3) AS mse FROM b)"""
+
+
+@query(
+    "q_ols_fit",
+    with_panels(
+        SUPPLIER,
+        body=SIGNAL_SQL
+        + PAIR_SQL
+        + """,
+t AS (SELECT block, n, '(intercept)' AS term, my - b1 * m1 - b2 * m2 AS coef, sqrt(mse * (1.0 / n + (m1 * m1 * v2 - 2 * m1 * m2 * c12 + m2 * m2 * v1) / det)) AS se FROM r
+      UNION ALL SELECT block, n, 'grossmargin', b1, sqrt(mse * v2 / det) FROM r UNION ALL SELECT block, n, 'p_eps', b2, sqrt(mse * v1 / det) FROM r)
+SELECT block, n, term, round(coef, 6) AS coef, round(se, 6) AS std_error, round(coef / se, 4) AS t_value FROM t""",
+    ),
+)
 def q_ols_fit(spark, sf_dir):
-    """Coefficients, standard errors, t and p values of all signals per block."""
-    return coefficient_table(signal_samples(spark, sf_dir).filter("split = 'train'"), ["block"], "target_p_eps", SIGNALS)
+    """Coefficients, standard errors and t values per block."""
+    table = coefficient_table(signal_samples(spark, sf_dir).filter("split = 'train'"), ["block"], "target_p_eps", PAIR)
+    return table.select("block", "n", "term", F.round("coef", 6).alias("coef"), F.round("std_error", 6).alias("std_error"), F.round("t_value", 4).alias("t_value"))
 
 
-@query("q_regression_summary")
+@query(
+    "q_regression_summary",
+    with_panels(
+        SUPPLIER,
+        body=SIGNAL_SQL
+        + PAIR_SQL
+        + """
+SELECT block, n, round(explained / vy, 6) AS r2, round(1 - (1 - explained / vy) * (n - 1) / (n - 3), 6) AS adj_r2, round((explained / 2) / mse, 4) AS f_stat FROM r""",
+    ),
+)
 def q_regression_summary(spark, sf_dir):
-    return m.regression_summary(signal_samples(spark, sf_dir).filter("split = 'train'"), ["block"], "target_p_eps", SIGNALS)
+    table = m.regression_summary(signal_samples(spark, sf_dir).filter("split = 'train'"), ["block"], "target_p_eps", PAIR)
+    return table.select("block", "n", F.round("r2", 6).alias("r2"), F.round("adj_r2", 6).alias("adj_r2"), F.round("f_stat", 4).alias("f_stat"))
 
 
 @query(
@@ -90,37 +123,82 @@ SELECT sg.block, sg.split, round(avg(abs(a + b * x2 - y)), 6) AS mae, round(avg(
 )
 def q_walk_forward(spark, sf_dir):
     """Fit per block on train, error table on every split - all blocks in one job."""
-    s = signal_samples(spark, sf_dir)
-    fits = fit_least_squares(s.filter("split = 'train'"), ["block"], "target_p_eps", ["p_eps"]).select("block", "coef")
-    preds = s.join(fits, "block").select("block", "split", q("target_p_eps").alias("y_true"), predict(F.col("coef"), ["p_eps"]).alias("y_pred"))
-    return preds.groupBy("block", "split").agg(*error_table(F.col("y_true"), F.col("y_pred"), ("mae", "mse"), 6))
+    out = m.walk_forward(signal_samples(spark, sf_dir), "block", "split", "target_p_eps", m.linear_by_block("block", "target_p_eps", ["p_eps"]))
+    return out.select("block", "split", F.round("mae", 6).alias("mae"), F.round("mse", 6).alias("mse"))
 
 
-@query("q_regularised")
+@query(
+    "q_regularised",
+    with_panels(
+        SUPPLIER,
+        body=SIGNAL_SQL
+        + PAIR_SQL
+        + """,
+z AS (SELECT *, sqrt(v1 / n) AS s1, sqrt(v2 / n) AS s2 FROM r),
+g AS (SELECT *, c12 / n / (s1 * s2) AS rho, c1 / n / s1 AS k1, c2 / n / s2 AS k2 FROM z),
+h AS (SELECT *, (k1 * 1.1 - k2 * rho) / (1.21 - rho * rho) / s1 AS r1, (k2 * 1.1 - k1 * rho) / (1.21 - rho * rho) / s2 AS r2 FROM g)
+SELECT block, n, round(my - r1 * m1 - r2 * m2, 6) AS intercept, round(r1, 6) AS b1, round(r2, 6) AS b2 FROM h""",
+    ),
+)
 def q_regularised(spark, sf_dir):
-    """Ridge on all train windows of the panel."""
-    return m.regularised(signal_samples(spark, sf_dir).filter("split = 'train'"), "target_p_eps", SIGNALS, 0.1, 0.0)
+    """Ridge of two standardised signals, fitted inside each block."""
+    train = signal_samples(spark, sf_dir).filter("split = 'train'")
+    fits = pen.penalised_fits(train, ["block"], "target_p_eps", PAIR, [pen.Setting(0.1, 0.0, "standard")])
+    return fits.select("block", "n", *[F.round(F.col("coef")[i], 6).alias(c) for i, c in enumerate(("intercept", "b1", "b2"))])
+
+
+# Ridge, mixed and lasso penalties by scaler and number of features.
+SEARCH = pen.settings_grid([0.001, 0.01, 0.1], [0.0, 0.5, 1.0], pen.SCALERS, [2, None])
 
 
 @query("q_grid_search")
 def q_grid_search(spark, sf_dir):
-    return m.grid_search(signal_samples(spark, sf_dir).filter("split = 'train'"), "target_p_eps", SIGNALS, [0.0, 0.1], [0.0], ["none", "standard"], folds=2)
+    """Every setting in every block, judged by the block's val windows."""
+    trials, _ = pen.search_by_group(signal_samples(spark, sf_dir), ["block"], "split", "target_p_eps", SIGNALS, SEARCH)
+    return trials
+
 
+@query("q_penalised_errors")
+def q_penalised_errors(spark, sf_dir):
+    """Errors of each block's best setting on its three splits."""
+    _, errors = pen.search_by_group(signal_samples(spark, sf_dir), ["block"], "split", "target_p_eps", SIGNALS, SEARCH)
+    return errors
 
-@query("q_eliminate_features")
+
+@query(
+    "q_eliminate_features",
+    with_panels(
+        SUPPLIER,
+        body=SIGNAL_SQL + PAIR_SQL + " SELECT block, CASE WHEN abs(b1) * sqrt(v1) <= abs(b2) * sqrt(v2) THEN 'p_eps' ELSE 'grossmargin' END AS kept FROM r",
+    ),
+)
 def q_eliminate_features(spark, sf_dir):
-    train = signal_samples(spark, sf_dir).filter("split = 'train'")
-    kept = m.eliminate_features(train, "target_p_eps", SIGNALS, 2)
-    return coefficient_table(train, ["block"], "target_p_eps", kept)
+    """Recursive elimination per block, down to one of two signals."""
+    kept = pen.kept_features(signal_samples(spark, sf_dir).filter("split = 'train'"), ["block"], "target_p_eps", PAIR, 1)
+    return kept.select("block", F.col("features")[0].alias("kept"))
+
+
+GBT_GRID = {"maxDepth": [2, 3], "stepSize": [0.1, 0.3], "maxIter": [8]}
+
+
+def _gbt(spark, sf_dir):
+    """Boosted trees on the last block alone: its train, val and test windows."""
+    s = signal_samples(spark, sf_dir).select("block", "split", "comp", "start", *SIGNALS, "target_p_eps")
+    one = cut_lineage(s.join(s.agg(F.max("block").alias("block")), "block", "left_semi"))
+    return m.boosted_trees(one.filter("split = 'train'"), one.filter("split = 'val'"), one, "target_p_eps", SIGNALS, GBT_GRID)
 
 
 @query("q_gbt_fit")
 def q_gbt_fit(spark, sf_dir):
-    """Boosted trees chosen on val, error table on the three splits."""
-    s = signal_samples(spark, sf_dir).select("block", "split", "comp", "start", *SIGNALS, "target_p_eps")
-    grid = {"maxDepth": [2, 3], "stepSize": [0.1], "maxIter": [5]}
-    scored, _ = m.boosted_trees(s.filter("split = 'train'"), s.filter("split = 'val'"), s, "target_p_eps", SIGNALS, trials=1, grid=grid)
-    return scored.groupBy("split").agg(*error_table(q("target_p_eps"), q("y_pred"), ("mae", "mda", "huber", "pos")))
+    """Boosted trees of one block, chosen on its val windows: error table on its three splits."""
+    scored, _ = _gbt(spark, sf_dir)
+    return scored.groupBy("block", "split").agg(*error_table(q("target_p_eps"), q("y_pred"), ("mae", "mda", "huber", "pos")))
+
+
+@query("q_gbt_trials")
+def q_gbt_trials(spark, sf_dir):
+    """Every setting that was tried, with its error on val."""
+    return _gbt(spark, sf_dir)[1]
 
 
 ORDERS = [(0, 0), (0, 1), (1, 0), (1, 1)]
@@ -181,11 +259,11 @@ def q_ar_predictions(spark, sf_dir):
 
 @query("q_perm_importance")
 def q_perm_importance(spark, sf_dir):
-    """Rise of the absolute error when a signal is permuted over all val rows."""
+    """Rise of the absolute error when a signal is permuted over the rows of train, and of val; five repeats."""
     s = signal_samples(spark, sf_dir)
     fits = fit_least_squares(s.filter("split = 'train'"), ["block"], "target_p_eps", SIGNALS).select("block", "coef")
-    val = s.filter("split = 'val'").join(fits, "block").withColumn("row_id", F.xxhash64("block", "comp", "start"))
-    return m.permutation_importance(val, "row_id", "target_p_eps", SIGNALS, lambda d: d.withColumn("y_pred", predict(F.col("coef"), SIGNALS)))
+    rows = s.filter("split IN ('train', 'val')").join(fits, "block").withColumn("row_id", F.concat_ws("/", "block", "split", "comp", "start"))
+    return m.permutation_importance(rows, "row_id", "target_p_eps", SIGNALS, lambda d: d.withColumn("y_pred", predict(F.col("coef"), SIGNALS)), ["split"])
 
 
 @query(

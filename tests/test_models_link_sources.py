@@ -9,8 +9,10 @@ from panelweave.functions import scalars as s
 from panelweave.operators import evaluate as ev
 from panelweave.operators import link as ln
 from panelweave.operators import models as m
+from panelweave.operators import penalised as pen
 from panelweave.operators.leastsq import coefficient_table, fit_least_squares, group_moments, merge_moments, predict, solve_coefficients, student_p
 from panelweave.plans import runs
+from panelweave.plans.prepare import SamplePlan
 from panelweave.plans.views import SPEC
 from panelweave.sources import catalogue as cat
 from panelweave.sources import requests as rq
@@ -72,23 +74,81 @@ def test_summary(data):
     assert r.f_stat == pytest.approx(r2 / 3 / ((1 - r2) / 236))
 
 
-def test_elimination_ridge_and_grid(data):
-    df, *_ = data
-    noise = df.withColumn("z", F.rand(1))
-    assert m.eliminate_features(noise, "y", ["z", "a", "b", "c"], 3) == ["a", "b", "c"]
-    ridge = {r.term: r.coef for r in m.regularised(df, "y", ["a", "b", "c"], 50.0, 0.0).collect()}
-    assert abs(ridge["a"]) < 1.0
-    grid = m.grid_search(df, "y", ["a", "b", "c"], [0.0, 10.0], [0.0], folds=2).orderBy("mae").first()
-    assert grid.reg == 0.0
-    more = m.grid_search(df, "y", ["a", "b", "c"], [0.0], [0.0], ["standard", "robust"], [2, 3], folds=2).collect()
-    assert {(r.scaler, r.n_features) for r in more} == {(s, k) for s in ("standard", "robust") for k in (2, 3)}
+def test_penalised_fits_meet_their_optimum(spark):
+    """Ridge against the closed form, lasso and elastic net by the conditions of the optimum, per block."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 4)) * [1, 5, 0.2, 1]
+    g = np.arange(300) % 2
+    y = x @ [1.0, -0.4, 0.0, 0.5] * np.where(g, 1, 2) + rng.normal(size=300)
+    df = spark.createDataFrame([(int(b), *map(float, r), float(t)) for b, r, t in zip(g, x, y)], "g long, a double, b double, c double, d double, y double")
+    settings = pen.settings_grid([0.0, 0.05, 0.4], [0.0, 0.5, 1.0], ["none", "standard"])
+    for r in pen.penalised_fits(df, ["g"], "y", ["a", "b", "c", "d"], settings).collect():
+        own, t = x[g == r.g], y[g == r.g]
+        scale = own.std(0) if r.scaler == "standard" else np.ones(4)
+        u = (own - own.mean(0)) / scale
+        b = np.array(r.coef[1:]) * scale
+        grad = u.T @ (t - t.mean() - u @ b) / len(t) - r.reg * (1 - r.elastic) * b
+        on = np.abs(b) > 1e-9
+        assert np.abs(grad[on] - r.reg * r.elastic * np.sign(b[on])).max(initial=0) < 1e-6
+        assert (np.abs(grad[~on]) <= r.reg * r.elastic + 1e-6).all()
+        assert r.coef[0] == pytest.approx(t.mean() - own.mean(0) @ r.coef[1:])
+        if r.elastic == 0:
+            assert b == pytest.approx(np.linalg.solve(u.T @ u / len(t) + r.reg * np.eye(4), u.T @ (t - t.mean()) / len(t)))
+
+
+def test_search_fits_each_block_on_its_own_train_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(b, s, i, float(v), float((3 if b else -2) * v + 0.1 * rng.normal()), float(rng.normal())) for b in (0, 1) for s, n in (("train", 60), ("val", 20), ("test", 20)) for i, v in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "block long, split string, id long, a double, y double, z double")
+    settings = pen.settings_grid([0.0, 1.0], [0.0, 1.0], pen.SCALERS, [1, None])
+    trials, errors = pen.search_by_group(df, ["block"], "split", "y", ["a", "z"], settings)
+    got = trials.collect()
+    assert len(got) == 2 * len(settings) and sum(r.is_best for r in got) == 2
+    assert all(min(got, key=lambda r: (r.block != b, r.val_mae, r.setting)).is_best for b in (0, 1))
+    # One block's slope is +3, the other's -2: pooled fits could not be this good.
+    assert all(r.mae < 0.2 for r in errors.collect()) and errors.count() == 6
+    # Changing val and test rows changes no fit.
+    other = df.withColumn("y", F.when(F.col("split") == "train", F.col("y")).otherwise(F.col("y") + 100))
+    fit = lambda d: sorted(map(str, pen.penalised_fits(d.filter("split = 'train'"), ["block"], "y", ["a", "z"], settings).collect()))
+    assert fit(df) == fit(other)
+    kept = pen.kept_features(df.filter("split = 'train'"), ["block"], "y", ["z", "a"], 1).collect()
+    assert all(r.features == ["a"] for r in kept)
+
+
+def test_no_sample_is_in_two_splits_of_a_block(spark):
+    df = spark.createDataFrame([(c, p, float(c * p)) for c in range(5) for p in range(20)], "comp long, period long, v double")
+    s = SamplePlan(df, SPEC, ["v"], ["v"]).window(3, 1).block_rolling_split(6, 2, 2).compute().samples
+    assert s.groupBy("block", "comp", "start").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
+    targets = s.select("block", "split", "comp", F.explode("y.period").alias("p")).groupBy("block", "comp", "p").agg(F.count_distinct("split").alias("n"))
+    assert targets.filter("n > 1").count() == 0
+
+
+def test_any_model_walks_the_blocks(spark):
+    df = spark.createDataFrame([(b, s, float(b + i)) for b in range(3) for s in ("train", "val") for i in range(4)], "block long, split string, y double")
+
+    def mean_of_train(train, rows):
+        return rows.join(train.groupBy("block").agg(F.avg("y").alias("y_pred")), "block")
+
+    got = m.walk_forward(df, "block", "split", "y", mean_of_train).collect()
+    assert len(got) == 6 and all(r.mae == 1.0 for r in got)
+
+
+def test_wide_frames_fit(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 60))
+    y = x[:, 7] * 2 - x[:, 11] + 0.01 * rng.normal(size=400)
+    names = [f"x{i}" for i in range(60)]
+    df = spark.createDataFrame([(1, *map(float, r), float(t)) for r, t in zip(x, y)], "g long, " + ", ".join(f"{n} double" for n in names) + ", y double")
+    assert set(pen.kept_features(df, ["g"], "y", names, 2).first().features) == {"x7", "x11"}
 
 
 def test_boosted_trees(data):
     df, *_ = data
     train, val = df.filter("id % 4 < 3"), df.filter("id % 4 = 3")
-    scored, chosen = m.boosted_trees(train, val, df, "y", ["a", "b", "c"], trials=1, grid={"maxIter": [4], "maxDepth": [3], "stepSize": [0.3]})
-    assert scored.count() == 240 and chosen["val_mae"] > 0
+    scored, trials = m.boosted_trees(train, val, df, "y", ["a", "b", "c"], {"maxIter": [2, 4], "maxDepth": [3], "stepSize": [0.3]})
+    got = trials.collect()
+    assert scored.count() == 240 and len(got) == 2 and min(got, key=lambda r: r.val_mae).is_best
+    assert len(m.boosted_trees(train, val, df, "y", ["a"], {"maxIter": [1, 2, 3], "maxDepth": [2]}, trials=1)[1].collect()) == 1
 
 
 def test_permuted_column_keeps_its_values(data):
@@ -99,8 +159,10 @@ def test_permuted_column_keeps_its_values(data):
     assert sorted(before.values()) == sorted(after.values()) and sum(before[k] != after[k] for k in before) > 200
     fit = fit_least_squares(df.withColumn("one", F.lit(1)), ["one"], "y", ["a", "b"]).select("one", "coef")
     ready = df.withColumn("one", F.lit(1)).join(fit, "one")
-    imp = {r.feature: r.importance for r in m.permutation_importance(ready, "id", "y", ["a", "b"], lambda d: d.withColumn("y_pred", predict(F.col("coef"), ["a", "b"])), repeats=2).collect()}
+    imp = {r.feature: r.importance for r in m.permutation_importance(ready, "id", "y", ["a", "b"], lambda d: d.withColumn("y_pred", predict(F.col("coef"), ["a", "b"]))).collect()}
     assert imp["a"] > 0 and imp["b"] > 0
+    both = m.permutation_importance(ready.withColumn("split", F.col("id") % 2), "id", "y", ["a", "b"], lambda d: d.withColumn("y_pred", predict(F.col("coef"), ["a", "b"])), ["split"]).collect()
+    assert len(both) == 4 and all(r.importance > 0 and r.spread > 0 for r in both)
 
 
 def test_order_predictions_match_direct_fits(spark):
