@@ -112,11 +112,11 @@ def boosted_trees(
 def permuted(df: DataFrame, key: str, col: str, seed: int) -> DataFrame:
     """The table with one column permuted over all rows: rows are matched to the values of another random order.
 
-    Both orders are positions by a seeded hash, numbered in buckets, so no task sees the whole table.
+    Both orders are positions by a seeded hash, numbered in ranges, so no task sees the whole table.
     """
-    by_row = with_position(df.withColumn("__h", F.xxhash64(q(key), F.lit(seed))), "__h", "__pos", [key], uniform_hash=True).drop("__h")
+    by_row = with_position(df.withColumn("__h", F.xxhash64(q(key), F.lit(seed))), "__h", "__pos", [key]).drop("__h")
     source = df.select(q(key), q(col).alias("__other"), F.xxhash64(q(key), F.lit(seed + 1)).alias("__h"))
-    values = with_position(source, "__h", "__pos", [key], uniform_hash=True).select("__pos", "__other")
+    values = with_position(source, "__h", "__pos", [key]).select("__pos", "__other")
     return by_row.join(values, "__pos").withColumn(col, F.col("__other")).drop("__pos", "__other")
 
 

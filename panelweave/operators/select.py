@@ -3,22 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import accumulate
 
-import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelweave.session import cut_lineage
 from panelweave.spec import q
 
-# Rows per counting bucket of ``with_position``.
-POSITION_BUCKET_ROWS = 1_000_000
-MAX_POSITION_BUCKETS = 10_000
-MAX_TEXT_BUCKETS = 500
-TEXT_SAMPLE = 20_000
-
 
 def build_query(
     df: DataFrame,
@@ -68,50 +60,20 @@ def between_periods(df: DataFrame, period: str, low: int, high: int, comp: str |
     return out.filter(q(comp) == F.lit(value)) if comp else out
 
 
-def with_position(
-    df: DataFrame, key: str, alias: str, then: Sequence[str] = (), bucket_rows: int = POSITION_BUCKET_ROWS, uniform_hash: bool = False
-) -> DataFrame:
+def with_position(df: DataFrame, key: str, alias: str, then: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Append the 0-based global position in the order of a (nearly) unique ``key``; ties go by ``then``.
 
-    A plain window over the whole table would run in one task. Instead, boundaries cut the key range into buckets
-    of about ``bucket_rows`` rows; bucket counts are one small aggregate, and rows are numbered inside their
-    bucket. Boundaries are literals, so recomputed tasks see the same buckets. They come from a rank sketch, from
-    plain arithmetic when the key is a 64-bit hash (``uniform_hash``), or, for text keys, from a sample of fixed
-    size picked by hash.
+    A plain window over the whole table would run in one task. Instead rows are dealt out by ranges of (key, then), as
+    for a global sort, and staged, so that the ranges stay what they are; each range is numbered on its own and
+    starts where the ranges before it end. ``then`` splits even a key that many rows share. NULL comes first, NaN last.
     """
-    n = df.count()
-    parts = min(-(-n // bucket_rows), MAX_POSITION_BUCKETS)
-    text = isinstance(df.schema[key].dataType, T.StringType)
-    cuts: list = []
-    if parts > 1 and uniform_hash:
-        cuts = [-(2.0**63) + 2.0**64 * i / parts for i in range(1, parts)]
-    elif parts > 1 and text:
-        sample = sorted(r[0] for r in df.select(q(key)).dropna().orderBy(F.xxhash64(q(key))).limit(TEXT_SAMPLE).collect())
-        parts = min(parts, MAX_TEXT_BUCKETS, len(sample))
-        cuts = sorted({sample[len(sample) * i // parts] for i in range(1, parts)})
-    elif parts > 1:
-        shares = [i / parts for i in range(1, parts)]
-        cuts = sorted(set(df.agg(F.percentile_approx(q(key).cast("double"), shares, 100_000).alias("c")).first()["c"]))
-    if not cuts:
-        one = Window.partitionBy(F.lit(0)).orderBy(q(key), *then)
-        return df.withColumn(alias, (F.row_number().over(one) - 1).cast("bigint"))
-    if text:
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.coalesce(F.size(F.filter(bounds, lambda b: b <= q(key))), F.lit(-1))
-        marked = df.withColumn("__bucket", F.when(q(key).isNull(), -1).otherwise(bucket).cast("bigint"))
-    else:
-        splits = [float("-inf"), *cuts, float("inf")]
-        numeric = df.withColumn("__key", F.coalesce(q(key).cast("double"), F.lit(float("-inf"))))
-        # NULL sorts first and NaN last, as in an ascending order.
-        cutter = Bucketizer(splits=splits, inputCol="__key", outputCol="__bucket", handleInvalid="keep")
-        marked = cutter.transform(numeric).drop("__key")
-        marked = marked.withColumn("__bucket", F.when(q(key).isNull(), -1).otherwise(F.col("__bucket")).cast("bigint"))
-    counts = sorted((r[0], r[1]) for r in marked.groupBy("__bucket").count().collect())
-    starts = [0, *accumulate(c for _, c in counts)][:-1]
-    schema = pa.schema([("__bucket", pa.int64()), ("__start", pa.int64())])
-    offsets = df.sparkSession.createDataFrame(pa.table({"__bucket": [b for b, _ in counts], "__start": starts}, schema=schema))
-    w = Window.partitionBy("__bucket").orderBy(q(key), *then)
-    numbered = marked.withColumn("__rn", F.row_number().over(w)).join(offsets, "__bucket")
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [q(key), *[q(c) for c in then]]
+    dealt = cut_lineage(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    counts = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    starts = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    numbered = dealt.withColumn("__rn", place).join(starts, "__range")
     return numbered.select(*[q(c) for c in df.columns], (F.col("__start") + F.col("__rn") - 1).alias(alias))
 
 
@@ -154,12 +116,10 @@ def one_hot(df: DataFrame, cols: Mapping[str, Sequence], keys: Sequence[str], nu
     return df.select(*[q(k) for k in keys], *out)
 
 
-def levels(df: DataFrame, cols: Sequence[str], limit: int = 10_000) -> dict[str, list]:
-    """Sorted distinct values per column (they become column names, so a large set is refused)."""
-    out = {}
-    for c in cols:
-        got = df.select(q(c)).filter(q(c).isNotNull()).distinct().limit(limit + 1).collect()
-        if len(got) > limit:
-            raise ValueError(f"{c} has more than {limit} levels; it cannot become indicator columns")
-        out[c] = sorted(r[0] for r in got)
-    return out
+def levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
+    """Sorted distinct values per column, all columns in one job. They become column names: as many as a schema can hold."""
+    entry = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), q(c).cast("string").alias("v")) for i, c in enumerate(cols)]))
+    seen = df.select(entry.alias("e")).filter("e.v IS NOT NULL").select("e.*").distinct().collect()
+    kind = {c: df.schema[c].dataType for c in cols}
+    read = lambda c, v: v if isinstance(kind[c], T.StringType) else float(v) if isinstance(kind[c], T.FractionalType) else v == "true" if isinstance(kind[c], T.BooleanType) else int(v)
+    return {c: sorted(read(c, r["v"]) for r in seen if r["i"] == i) for i, c in enumerate(cols)}

@@ -261,7 +261,7 @@ def q_positional_ranges(spark, sf_dir):
 def q_global_position(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     # Small buckets so that test data is cut as well.
-    return sel.with_position(o, "o_totalprice", "pos", ["o_orderkey"], bucket_rows=4000).drop("o_totalprice")
+    return sel.with_position(o, "o_totalprice", "pos", ["o_orderkey"]).drop("o_totalprice")
 
 
 @query("q_period_slice", with_panels(SUPPLIER, body="SELECT comp, period, sales FROM panel_supplier WHERE period BETWEEN 199602 AND 199803"))

@@ -185,12 +185,12 @@ def test_exact_quantiles(spark, bracket):
     assert exact_quantiles(df.filter("v > 1e12"), {"v": [0.5]})["v"] == [None]
 
 
-@pytest.mark.parametrize("bucket", [7, 100_000])
-def test_positions(spark, bucket):
+@pytest.mark.parametrize("parts", [1, 9, None])
+def test_positions(spark, parts):
     rng = np.random.default_rng(6)
     keys = rng.permutation(200)
     df = spark.createDataFrame([(int(k),) for k in keys], "k long")
-    got = with_position(df, "k", "p", bucket_rows=bucket).collect()
+    got = with_position(df, "k", "p", partitions=parts).collect()
     assert all(r.p == r.k for r in got)
     picked = {r.k for r in position_ranges(df, "k", (None, 3), (10, 12), (198, None)).collect()}
     assert picked == {0, 1, 2, 10, 11, 198, 199}
@@ -199,16 +199,16 @@ def test_positions(spark, bucket):
 def test_positions_keep_null_and_nan_keys(spark):
     keys = [None, float("nan"), *[float(k) for k in range(40)]]
     df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i long, k double")
-    for bucket in (9, 1000):
-        got = {r.i: r.p for r in with_position(df, "k", "p", bucket_rows=bucket).collect()}
+    for parts in (1, 9):
+        got = {r.i: r.p for r in with_position(df, "k", "p", partitions=parts).collect()}
         assert got == {0: 0, 1: 41, **{i + 2: i + 1 for i in range(40)}}
 
 
 def test_positions_of_text_keys(spark):
     keys = [f"k{i:04d}" for i in np.random.default_rng(2).permutation(300)]
     df = spark.createDataFrame([(k,) for k in keys], "k string")
-    for bucket in (20, 1000):
-        assert all(r.p == int(r.k[1:]) for r in with_position(df, "k", "p", bucket_rows=bucket).collect())
+    for parts in (1, 20):
+        assert all(r.p == int(r.k[1:]) for r in with_position(df, "k", "p", partitions=parts).collect())
 
 
 def test_parameters_without_target_periods(spark):
