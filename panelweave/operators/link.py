@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.scalars import name_similarity
-from panelweave.operators.groups import join_group
 from panelweave.operators.select import with_position
 from panelweave.spec import assert_unique, q
 
@@ -33,9 +32,8 @@ def lookup(df: DataFrame, key: str, table: Mapping, alias: str) -> DataFrame:
 
 
 def chained_lookup(entities: DataFrame, entity: str, links: DataFrame, records: DataFrame, link_key: str, record_key: str) -> DataFrame:
-    """entity -> link -> record by two left joins on unique keys. A link or record shared by many entities is spread."""
-    linked = join_group(entities, links, [link_key], spread_by=entity)
-    return join_group(linked, records, [record_key], spread_by=entity)
+    """entity -> link -> record by two left joins on unique keys. Nothing is copied; shared links are left to Spark's skew joins."""
+    return entities.join(links, link_key, "left").join(records, record_key, "left")
 
 
 def best_match(
@@ -44,14 +42,14 @@ def best_match(
     """Best record per entity by name similarity among the records its link key leads to.
 
     Candidates come from the link table only, so there are as many as there are links - never all pairs of a
-    group. Repeated links collapse before they meet the entities. Both joins are salted, so a link key or a record
-    with a third of all links is spread; the best candidate is an aggregate (``max_by`` over score and record key)
+    group. Repeated links collapse before they meet the entities. Both joins are plain equi-joins: both sides are whole
+    tables, so copying one for salts would cost more than the splits that Spark makes of skewed partitions; the best candidate is an aggregate (``max_by`` over score and record key)
     that combines map-side. Ties go to the highest record key. ``include_company`` is false for entities without
     any record.
     """
     known = entities.select(entity, entity_name, link_key).distinct()
-    pairs = join_group(links.select(link_key, record_key).distinct(), known, [link_key], spread_by=record_key, how="inner")
-    scored = join_group(pairs.drop(link_key), records.select(record_key, record_name), [record_key], spread_by=entity, how="inner")
+    pairs = links.select(link_key, record_key).distinct().join(known, link_key)
+    scored = pairs.drop(link_key).join(records.select(record_key, record_name), record_key)
     score = name_similarity(q(entity_name), q(record_name))
     rank = F.struct(score.alias("score"), q(record_key).alias("record"))
     best = scored.groupBy(entity).agg(F.max_by(F.struct(q(record_key), q(record_name), score.alias("score")), rank).alias("m"))
