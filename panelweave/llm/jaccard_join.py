@@ -35,7 +35,7 @@ from panelweave.llm.components import connected_components
 from panelweave.llm.wordhash import Words, mix64, shingle_hashes, words_of
 
 #: Tokens that a task gathers before it sends blocks.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Parts of the suffix filter.
 PARTS = 16
 #: Contracting rounds go on while prefix lists hold more unsettled pairs per class, and links are still found.
@@ -269,6 +269,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * union)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    # Staged, so that Spark knows the size of the pairs: later rounds have few, and sets of other classes then stay put.
+    pairs = stage(pairs, "pairs")
+    asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    sets = sets.join(stage(asked, "asked"), "cls", "left_semi")
     side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
 
@@ -304,9 +308,9 @@ def _settle(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _components(sets: DataFrame, percent: int) -> DataFrame:
     """(cls, root) of every class that has a partner."""
-    rows = stage(sets.mapInArrow(_prefixes, "token long, cls long, n long, shared long, pos long, hist array<int>"), "prefixes")
-    alone = rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-    rows = stage(rows.join(alone, "token", "left_semi"), "prefixes")
+    rows = sets.mapInArrow(_prefixes, "token long, cls long, n long, shared long, pos long, hist array<int>")
+    several = rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+    rows = stage(rows.join(several, "token", "left_semi"), "prefixes")
     labels = sets.select("cls", F.col("cls").alias("root"))
     classes = sets.count()
     for k in range(MAX_ROUNDS):
