@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelweave.llm.common import free_names, only, q, stage, words_count
+from panelweave.llm.common import free_names, only, q, shuffle_partitions, stage, words_count
 from panelweave.llm.ranks import with_running_total
 
 BLOCK_WORDS = 32
@@ -76,7 +76,7 @@ class Mixture:
 
     def shards(self) -> DataFrame:
         """(shard, slot, doc_id, begin, words): the pieces of documents in every slot, by joining blocks by index."""
-        return self.slots.join(self.pieces, ["number", "block"]).select("shard", "slot", "doc_id", "begin", "words")
+        return self.slots.hint("merge").join(self.pieces, ["number", "block"]).select("shard", "slot", "doc_id", "begin", "words")
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: Sequence[float] = (1, 2, 3), most: int = 3, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 1) -> Mixture:
@@ -97,12 +97,14 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     # Slots of the sources, in chunks that are spread before they are unfolded.
     n_chunks = F.ceil(F.col("slots") / CHUNK)
     chunks = table.filter("slots > 0").select("number", "slots", "blocks", "before", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks - 1)).alias("c"))
-    chunks = chunks.repartition("number", "c")
+    # By a number, so that these few small rows are not merged into one task again.
+    chunks = chunks.repartition(shuffle_partitions(docs.sparkSession), "number", "c")
     slots = chunks.select("number", "blocks", "before", F.explode(F.sequence(F.col("c") * CHUNK, F.least(F.col("c") * CHUNK + CHUNK, F.col("slots")) - 1)).alias("k"))
     slots = slots.withColumn("pass_", F.floor(F.col("k") / F.col("blocks"))).withColumn("in_pass", F.col("k") % F.col("blocks")).withColumn("at", F.col("before") + F.col("k"))
     slots = slots.withColumn("block", permuted(F.col("in_pass"), F.col("blocks"), [F.lit(seed), F.col("number"), F.col("pass_")]))
     place = permuted(F.col("at"), F.lit(all_slots).cast("long"), [F.lit(seed)])
     where = slots.withColumn("place", place).select((F.col("place") / shard_slots).cast("long").alias("shard"), (F.col("place") % shard_slots).alias("slot"), "number", "block")
+    # Spark guesses the unfolded slots as small as the sources they come from: they must not be broadcast.
     times = slots.groupBy("number", "block").agg(F.count("*").alias("times"))
 
     # Places of the documents in their source's stream: within hash buckets, then bucket by bucket.
@@ -118,7 +120,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     cut = placed.filter("size > 0").select("doc_id", "number", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))).alias("block"))
     first, last = F.greatest(F.col("start"), F.col("block") * block_words), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
     pieces = cut.select("doc_id", "number", "start", "block", (first - F.col("start")).alias("begin"), (last - first).alias("words"))
-    taken = pieces.join(times, ["number", "block"]).groupBy("number", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = pieces.join(times.hint("merge"), ["number", "block"]).groupBy("number", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # A document with words is known by its place in its source's stream.
     with_words = placed.filter("size > 0").join(taken, ["number", "start"], "left").select("doc_id", "th", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     done = with_words.unionByName(placed.filter("size = 0").select("doc_id", "th", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
