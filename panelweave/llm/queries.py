@@ -140,7 +140,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_source_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3).docs.drop("th")
+    return mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3).docs.drop("th", "source")
 
 
 @query("op2_license_digests", scan_sql())

@@ -202,6 +202,24 @@ def test_mixed_documents_keep_their_columns(spark):
     assert mixing.mix(docs.limit(0)).docs.count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_mixture_is_staged_and_sums_to_what_is_taken(spark):
+    docs, _ = mixed_table(spark)
+    got = mixing.mix(docs, block_words=4, shard_slots=64)
+    assert "Join" not in got.mixture._jdf.queryExecution().toString()
+    assert got.mixture.groupBy("shard", "slot").agg(F.sum("words").alias("w")).filter("w > 4").count() == 0
+    assert got.mixture.agg(F.sum("words")).first()[0] == got.docs.agg(F.sum("taken")).first()[0]
+
+
+def test_mixed_documents_keep_the_sums_of_sources(spark):
+    rows = [(i, "w " * (5 + (i * i) % 90), ("a", "b", None)[i % 7 % 3]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r["source"]: r["t"] for r in mixing.mix(docs).docs.groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    words: dict = defaultdict(int)
+    for r in mixing.mixed_documents(docs).collect():
+        words[r["source"]] += len(r["text"].split())
+    assert set(words) == set(taken) and all(abs(words[s] - t) <= 2 * 94 for s, t in taken.items())
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
 def test_permutations_are_one_to_one(spark, n):
     x = mixing.permuted(F.col("id"), F.lit(n).cast("long"), [F.lit(5)])
