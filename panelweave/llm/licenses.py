@@ -1,6 +1,6 @@
 """Licence scan: canonical digests of whole texts and of their licence lines, hash-joined with known digests.
 
-A text is brought to one form: A-Z lower-cased, typographic quotes, dashes and no-break spaces made plain, copyright and
+A text is brought to one form: A-Z lower-cased, typographic quotes, dashes and no-break spaces made plain, true copyright and
 "all rights reserved" lines left out, everything else but letters and digits (and non-ASCII characters) one space, and
 equivalent spellings made one (licence/license, -ise/-ize, -our/-or, and so on). Two texts have one SHA-256 digest when
 they agree up to that. The rules are applied to known and to scanned texts alike, so a rule may be broad (every word on
@@ -45,7 +45,14 @@ KNOWN: list[tuple[str, str]] = [
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ODD, PLAIN = "‘’“”–— ", "''\"\"-- "
-#: Patterns that Java and RE2 read alike, with their replacements; the text has a line break in front and a space behind.
+#: True copyright lines: the word with a (c), a sign, a year (or its blank) or "by" behind it; a sign or dated "(c)" in front; "all rights
+#: reserved" on its own. Words of a clause that is wrapped before "copyright notice" or "copyright holders" stay.
+NOTICES = (r"\n[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*?(?:\(c\)|©|[0-9]{4}|[\[<{(](?:year|yyyy)|by\b)[^\n]*|©[^\n]*|\(c\)[^a-z0-9\n]*(?:copyright\b|[0-9]{4})[^\n]*|all rights reserved[^a-z0-9\n]*(?=\n|\z))", "\n")
+#: A "(c)" before a mere name is a copyright line too, unless it letters a list, so a "(b)" is before it, or speaks of a licence.
+HOLDERS = (r"\n[^a-z0-9\n]*\(c\)(?![^\n]*licen)[^\n]*", "\n")
+LIST = (r"(?s)\(b\).*", "")
+#: The line pattern of the SQL counterpart, wider than the above: it takes every line that starts with "copyright" or "(c)".
+#: It and the next are patterns that Java and RE2 read alike, with replacements; the text has a line break in front and a space behind.
 LINES = (r"\n[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*", "\n")
 MARKS = (r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
 SPELLINGS = [("licenc", "licens"), (" sub licens", " sublicens"), (" non commercial", " noncommercial"), (" non infring", " noninfring"), ("https", "http"), (" per cent ", " percent "), (" copyright owner", " copyright holder")]
@@ -55,7 +62,11 @@ ENDINGS = [(r"is(e|es|ed|ing|ation|ations) ", "iz"), (r"ll(ed|ing) ", "l"), (r"o
 def canonical(text: Column) -> Column:
     """The form that digests are taken of; null for null."""
     x = F.concat(F.lit("\n"), F.translate(F.translate(text, UPPER, LOWER), ODD, PLAIN))
-    x = F.regexp_replace(F.concat(F.regexp_replace(x, *LINES), F.lit(" ")), *MARKS)
+    x = F.regexp_replace(x, *NOTICES)
+    head = F.regexp_replace(x, *LIST)
+    # The rest of a text without a list is empty.
+    x = F.concat(F.regexp_replace(head, *HOLDERS), F.substring(x, F.length(head) + 1, F.lit(2**31 - 1)), F.lit(" "))
+    x = F.regexp_replace(x, *MARKS)
     for old, new in SPELLINGS:
         x = F.replace(x, F.lit(old), F.lit(new))
     for pattern, new in ENDINGS:
@@ -64,7 +75,7 @@ def canonical(text: Column) -> Column:
 
 
 def canonical_sql(x: str) -> str:
-    """``canonical`` as DuckDB SQL over the expression ``x``."""
+    """``canonical`` as DuckDB SQL over the expression ``x``, but for its wider line pattern ``LINES``."""
     text = lambda s: "'" + s.replace("'", "''") + "'"
     x = f"(chr(10) || translate(translate({x}, '{UPPER}', '{LOWER}'), {text(ODD)}, {text(PLAIN)}))"
     x = f"regexp_replace({x}, {text(LINES[0])}, chr(10), 'g') || ' '"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -88,6 +90,30 @@ def test_licences(spark):
     assert licenses.scan_licenses(docs.limit(0), known).count() == 0
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+(a) Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+(b) Redistributions in binary form must reproduce the above copyright notice in the documentation and/or other materials.
+(c) Neither the name of the copyright holder nor the names of its contributors may be used without permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS". IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."""
+
+
+def test_licences_do_not_depend_on_wrapping(spark):
+    known = licenses.known_digests(spark, [("MIT", licenses.MIT), ("ISC", licenses.ISC), ("BSD", BSD)])
+    heads = ["", "Copyright (c) 2020 Somebody\nCopyright 2021 B\n# Copyright by C\n© D\nCopyright [yyyy] [name]\n(c) 2022 E\n(c) F\nAll rights reserved.\n\n"]
+    texts = [("MIT", licenses.MIT), ("ISC", licenses.ISC), ("BSD", BSD)]
+    # Wrapped at several widths, and before every "copyright" and "all rights".
+    wraps = [lambda t, w=w: "\n".join(textwrap.fill(p, w) for p in t.split("\n")) for w in (40, 66, 72, 79)]
+    wraps.append(lambda t: re.sub(r" (?=copyright|\"copyright)", "\n", t, flags=re.I))
+    rows = [(name, head + wrap(t)) for name, t in texts for head in heads for wrap in wraps]
+    docs = spark.createDataFrame([(f"{i}/{name}", t) for i, (name, t) in enumerate(rows)], "doc_id string, text string")
+    assert all(r["license"] == r["doc_id"].split("/")[1] for r in licenses.scan_licenses(docs, known).collect())
+    # A clause less is another text, also when it is lettered with (c).
+    less = spark.createDataFrame([(1, re.sub(r"\(c\)[^\n]*\n", "", BSD)), (2, licenses.ISC.replace("copyright notice and this permission notice appear in all copies.", ""))], "doc_id long, text string")
+    assert [r["license"] for r in licenses.scan_licenses(less, known).collect()] == [None, None]
+
+
 def test_licence_scan_stays_in_the_jvm(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = licenses.scan_licenses(docs, licenses.known_digests(spark))._jdf.queryExecution().toString()
