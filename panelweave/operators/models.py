@@ -5,13 +5,16 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from panelweave.functions.metrics import error_table
 from panelweave.operators.evaluate import best_candidate, mean_forecast_errors
@@ -109,6 +112,26 @@ def boosted_trees(
     return best[2].transform(assemble(rows, xs)).drop("features"), table
 
 
+def boosted_trees_by_block(
+    samples: DataFrame, block: str, split: str, y: str, xs: Sequence[str], grid: Mapping[str, Sequence], trials: int | None = None, seed: int = 7, at_once: int = 4
+) -> tuple[DataFrame, DataFrame]:
+    """(samples + y_pred, block + trials): ``boosted_trees`` for every block on its own train and val rows, ``at_once`` blocks at a time."""
+    samples = cut_lineage(samples)
+
+    def fit(value) -> tuple[DataFrame, DataFrame]:
+        rows = samples.filter(q(block) == value)
+        scored, tried = boosted_trees(rows.filter(q(split) == "train"), rows.filter(q(split) == "val"), rows, y, xs, grid, trials, seed)
+        return scored, tried.select(F.lit(value).alias(block), "*")
+
+    values = [r[0] for r in samples.select(q(block)).distinct().orderBy(q(block)).collect()]
+    pool = ThreadPool(at_once)
+    try:
+        done = pool.map(inheritable_thread_target(samples.sparkSession)(fit), values, chunksize=1)
+    finally:
+        pool.close()
+    return tuple(reduce(DataFrame.unionByName, frames) for frames in zip(*done, strict=True))
+
+
 def permuted(df: DataFrame, key: str, col: str, seed: int) -> DataFrame:
     """The table with one column permuted over all rows: rows are matched to the values of another random order.
 

@@ -182,22 +182,21 @@ GBT_GRID = {"maxDepth": [2, 3], "stepSize": [0.1, 0.3], "maxIter": [8]}
 
 
 def _gbt(spark, sf_dir):
-    """Boosted trees on the last block alone: its train, val and test windows."""
+    """Boosted trees of every block, each on its own train, val and test windows."""
     s = signal_samples(spark, sf_dir).select("block", "split", "comp", "start", *SIGNALS, "target_p_eps")
-    one = cut_lineage(s.join(s.agg(F.max("block").alias("block")), "block", "left_semi"))
-    return m.boosted_trees(one.filter("split = 'train'"), one.filter("split = 'val'"), one, "target_p_eps", SIGNALS, GBT_GRID)
+    return m.boosted_trees_by_block(s, "block", "split", "target_p_eps", SIGNALS, GBT_GRID)
 
 
 @query("q_gbt_fit")
 def q_gbt_fit(spark, sf_dir):
-    """Boosted trees of one block, chosen on its val windows: error table on its three splits."""
+    """Boosted trees of each block, chosen on its val windows: error table on its three splits."""
     scored, _ = _gbt(spark, sf_dir)
     return scored.groupBy("block", "split").agg(*error_table(q("target_p_eps"), q("y_pred"), ("mae", "mda", "huber", "pos")))
 
 
 @query("q_gbt_trials")
 def q_gbt_trials(spark, sf_dir):
-    """Every setting that was tried, with its error on val."""
+    """Every setting that was tried in every block, with its error on val."""
     return _gbt(spark, sf_dir)[1]
 
 

@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from panelweave.functions import metrics
@@ -151,6 +152,25 @@ def test_boosted_trees(data):
     assert len(m.boosted_trees(train, val, df, "y", ["a"], {"maxIter": [1, 2, 3], "maxDepth": [2]}, trials=1)[1].collect()) == 1
 
 
+def test_boosted_trees_of_every_block(spark):
+    # Blocks of opposite sign: a fit on the other block, or on both, would miss.
+    rows = [(f"b{b}", ("train", "train", "val", "test")[i % 4], float(i % 10), (1.0, -1.0)[b] * (i % 10)) for b in (0, 1) for i in range(120)]
+    df = spark.createDataFrame(rows, "block string, split string, x double, y double")
+    scored, trials = m.boosted_trees_by_block(df, "block", "split", "y", ["x"], {"maxIter": [1, 3], "maxDepth": [4]})
+    errors = scored.groupBy("block", "split").agg(F.avg(F.abs(F.col("y") - F.col("y_pred"))).alias("mae"), F.count("*").alias("n")).collect()
+    assert {(r.block, r.split, r.n) for r in errors} == {(b, s, n) for b in ("b0", "b1") for s, n in (("train", 60), ("val", 30), ("test", 30))}
+    assert all(r.mae < 0.5 for r in errors)
+    tried = trials.collect()
+    assert len(tried) == 4 and sorted(r.block for r in tried if r.is_best) == ["b0", "b1"]
+
+
+def test_gbt_queries_cover_every_block(spark):
+    from panelweave.plans import queries_models as qm
+
+    blocks = {r[0] for r in qm.signal_samples(spark, SF).select("block").distinct().collect()}
+    assert {r["block"] for r in qm.q_gbt_trials(spark, SF).collect()} == blocks and len(blocks) > 1
+
+
 def test_permuted_column_keeps_its_values(data):
     df, *_ = data
     out = m.permuted(df, "id", "a", 5)
