@@ -12,6 +12,7 @@ from panelweave.llm.jaccard_join import similar_texts
 from panelweave.llm.langmix import held_out_languages
 from panelweave.llm.licenses import known_digests, scan_licenses, scan_sql
 from panelweave.llm.line_cuckoo import dedup_lines
+from panelweave.llm.merkle import audit_sql, tampered_audit
 from panelweave.llm.mih import nearest_vectors
 from panelweave.llm.mixing import mix
 from panelweave.llm.token_planes import tokens_round_trip
@@ -152,3 +153,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
     return resample(table(spark, sf_dir, "documents"), good, share=0.5)
+
+
+@query("op12_merkle_manifest", audit_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_audit(table(spark, sf_dir, "documents"))
