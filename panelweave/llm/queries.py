@@ -15,6 +15,7 @@ from panelweave.llm.line_cuckoo import dedup_lines
 from panelweave.llm.merkle import audit_sql, tampered_audit
 from panelweave.llm.mih import nearest_vectors
 from panelweave.llm.mixing import mix
+from panelweave.llm.simhash import near_duplicates
 from panelweave.llm.token_planes import tokens_round_trip
 from panelweave.llm.url_cascade import judge_urls
 
@@ -158,3 +159,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_merkle_manifest", audit_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tampered_audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_simhash_pigeonhole")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, distance=3)
