@@ -16,6 +16,7 @@ from panelweave.llm.merkle import audit_sql, tampered_audit
 from panelweave.llm.mih import nearest_vectors
 from panelweave.llm.mixing import mix
 from panelweave.llm.simhash import near_duplicates
+from panelweave.llm.token_align import alignment_report
 from panelweave.llm.token_planes import tokens_round_trip
 from panelweave.llm.url_cascade import judge_urls
 
@@ -164,3 +165,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_simhash_pigeonhole")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, distance=3)
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))

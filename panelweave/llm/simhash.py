@@ -37,6 +37,8 @@ SEEN_BITS = 16
 #: Cost of asking for a value, in candidates checked.
 ASK = 2.0
 PARTS = (2, 3, 4)
+#: Largest threshold of a part; beyond it a part would ask for tens of thousands of values.
+MOST = 2
 #: A class with more than this share of all rows is joined as a broadcast row: there are fewer than its inverse of them.
 HEAVY_SHARE = 1e-3
 _SPACES = b" \t\n\r\x0b\x0c"
@@ -155,7 +157,7 @@ class Plan:
         self.order = np.concatenate(groups)
         self.widths = [len(g) for g in groups]
         self.shifts = np.r_[0, np.cumsum(self.widths)][:-1]
-        self.most = [min(distance, max(0, distance - len(groups) + 1) + len(groups) - 1, 2) for _ in groups]
+        self.most = [min(distance, MOST)] * len(groups)
         self.costs: list[np.ndarray] = []
 
     def permute(self, words: np.ndarray) -> np.ndarray:
@@ -265,7 +267,10 @@ def cheapest_parts(n: int, distance: int, choices: tuple[int, ...] = PARTS) -> i
         some = [np.array([0.0, *(sum(comb(width, d) for d in range(t + 1)) * (ASK + n / 2.0**width) for t in range(distance + 1))]) for _ in range(parts)]
         return min(sum(c[t + 1] for c, t in zip(some, row, strict=True)) for row in allocations(parts, distance))
 
-    return min((m for m in choices if m <= distance + 1), key=cost, default=1)
+    fit = [m for m in choices if m <= distance + 1 <= (MOST + 1) * m]
+    if not fit:
+        raise ValueError(f"no number of parts fits {distance} bits")
+    return min(fit, key=cost)
 
 
 def linked_words(classes: DataFrame, distance: int = 3, parts: int | None = None) -> DataFrame:
