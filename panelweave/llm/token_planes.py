@@ -78,6 +78,12 @@ def piece_starts(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start | fresh)
 
 
+def _gathered(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The spans of ``values``, end to end."""
+    to = np.cumsum(end - begin)
+    return values[np.repeat(begin - np.r_[0, to[:-1]], end - begin) + np.arange(int(to[-1]))] if len(to) else values[:0]
+
+
 class Encoder:
     """Whole texts to ids through the tokenizers library, with the ids of text pieces remembered.
 
@@ -104,6 +110,8 @@ class Encoder:
         self.count = 0
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.ends = np.zeros(1 << 16, dtype=np.int64)
+        self.text = np.zeros(1 << 16, dtype=np.uint8)
+        self.text_ends = np.zeros(1 << 16, dtype=np.int64)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -135,16 +143,25 @@ class Encoder:
         own = self.whole([pieces[i].decode() for i in rest]) if len(rest) else []
         return np.concatenate([ids, np.array([i for x in own for i in x], dtype=np.uint32)]), np.concatenate([size, np.array([len(x) for x in own], dtype=np.int64)]), np.concatenate([order, rest])
 
-    def _remember(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Store new pieces; a piece whose two slots are taken is used now and encoded again next time."""
-        n, end = self.count, int(self.ends[self.count])
+    def _append(self, ids: np.ndarray, size: np.ndarray, text: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces, after storing their ids and bytes."""
+        n, end, at = self.count, int(self.ends[self.count]), int(self.text_ends[self.count])
         while end + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(keys) + 1 > len(self.ends):
+        while at + len(text) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        while n + len(size) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.text_ends = np.concatenate([self.text_ends, np.zeros_like(self.text_ends)])
         self.ids[end : end + len(ids)] = ids
-        self.ends[n + 1 : n + 1 + len(keys)] = end + np.cumsum(size)
-        codes = np.arange(n, n + len(keys), dtype=np.int32)
+        self.ends[n + 1 : n + 1 + len(size)] = end + np.cumsum(size)
+        self.text[at : at + len(text)] = text
+        self.text_ends[n + 1 : n + 1 + len(size)] = at + np.cumsum(length)
+        self.count = n + len(size)
+        return np.arange(n, self.count, dtype=np.int32)
+
+    def _remember(self, keys: np.ndarray, codes: np.ndarray) -> None:
+        """Give new pieces a slot; a piece whose two slots are taken is used now and encoded again next time."""
         left = np.arange(len(keys))
         for slot in self._slots(keys):
             free = left[self.keys[slot[left]] == 0]
@@ -152,8 +169,6 @@ class Encoder:
             put = free[first]
             self.keys[slot[put]], self.codes[slot[put]] = keys[put], codes[put]
             left = left[self.keys[slot[left]] != keys[left]]
-        self.count = n + len(keys)
-        return codes
 
     @staticmethod
     def _slots(keys: np.ndarray) -> list[np.ndarray]:
@@ -175,9 +190,28 @@ class Encoder:
             new, first, which = np.unique(keys[open_], return_index=True, return_inverse=True)
             where = open_[first]
             ids, size, order = self._fresh(raw, starts[where], ends[where])
+            where = where[order]
             own = np.empty(len(new), dtype=np.int32)
-            own[order] = self._remember(new[order], ids, size)
+            own[order] = self._append(ids, size, _gathered(raw, starts[where], ends[where]), ends[where] - starts[where])
+            self._remember(new[order], own[order])
             code[open_] = own[which]
+        return self._confirmed(code, raw, starts, ends)
+
+    def _confirmed(self, code: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """``code`` with every piece whose bytes are not those remembered (equal hashes) encoded anew. Pieces tile ``raw``."""
+        begin, end = self.text_ends[code], self.text_ends[code + 1]
+        wrong = (end - begin) != (ends - starts)
+        if not wrong.any():
+            other = _gathered(self.text, begin, end) != raw
+            if not other.any():
+                return code
+            wrong = np.logical_or.reduceat(other, starts)
+        else:
+            wrong = np.array([not np.array_equal(self.text[a:b], raw[s:e]) for a, b, s, e in zip(begin, end, starts, ends, strict=True)])
+        at = np.flatnonzero(wrong)
+        ids, size, order = self._fresh(raw, starts[at], ends[at])
+        at = at[order]
+        code[at] = self._append(ids, size, _gathered(raw, starts[at], ends[at]), ends[at] - starts[at])
         return code
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

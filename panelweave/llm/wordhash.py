@@ -2,8 +2,9 @@
 
 A column of texts is walked in slices of whole documents (a slice holds ``SLICE_BYTES`` or one longer document), so
 memory follows the slice and the longest document, not the batch. Words are runs of bytes of a class; classes that
-keep every byte from 0x80 up never cut a UTF-8 character. Hashes are 64 bits wide: a rolling sum of random byte values
-times powers of an odd number, finished by a mixer, so every word costs the same few array operations.
+keep every byte from 0x80 up never cut a UTF-8 character. A word's hash joins two polynomials of its bytes modulo the
+prime 2**31 - 1, 62 bits in all, and is finished by a mixer, so every word costs the same few array operations. (A
+polynomial modulo a power of two would not do: Thue-Morse words and their complements collide under every base.)
 """
 
 from __future__ import annotations
@@ -40,26 +41,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_PRIME = (1 << 31) - 1
+#: Sums of byte values times powers (below 2**40) of up to so many bytes stay below 2**63.
+_UNREDUCED = 1 << 23
 
 
 class _Powers:
-    """Powers of an odd number modulo 2**64 and their inverses, grown on demand."""
+    """Powers of a number modulo ``_PRIME`` and of its inverse, grown on demand."""
 
-    base = np.uint64(0x2545F4914F6CDD1D)
+    def __init__(self, base: int) -> None:
+        self.bases = base, pow(base, -1, _PRIME)
+        self.tables = [np.ones(1, dtype=np.uint64) for _ in self.bases]
 
-    def __init__(self) -> None:
-        self.up = np.ones(1, dtype=np.uint64)
-        self.down = np.ones(1, dtype=np.uint64)
+    def of(self, n: int) -> list[np.ndarray]:
+        for k, base in enumerate(self.bases):
+            while len(self.tables[k]) < n:
+                held = self.tables[k]
+                self.tables[k] = np.concatenate([held, held * np.uint64(pow(base, len(held), _PRIME)) % np.uint64(_PRIME)])
+        return [t[:n] for t in self.tables]
 
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x)])) for x in (self.base, inverse))
-        return self.up[:n], self.down[:n]
 
-
-_POWERS = _Powers()
+_POWERS = [_Powers(1_403_580_769), _Powers(728_919_667)]
 
 
 @dataclass
@@ -122,10 +124,16 @@ def words_of(column: pa.Array, letters: np.ndarray = NOT_SPACE) -> Iterator[Word
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each span."""
-    up, down = _POWERS.of(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * up[:-1], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts])
+    value = raw.astype(np.uint64) + np.uint64(1)
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for powers in _POWERS:
+        up, down = powers.of(len(raw) + 1)
+        total = np.zeros(len(raw) + 1, dtype=np.uint64)
+        each = value * up[:-1]
+        np.cumsum(each if len(raw) <= _UNREDUCED else each % np.uint64(_PRIME), out=total[1:])
+        own = (total[ends] - total[starts]) % np.uint64(_PRIME) * down[starts] % np.uint64(_PRIME)
+        out = (out << np.uint64(31)) | own
+    return mix64(out)
 
 
 def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
