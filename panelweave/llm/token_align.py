@@ -16,6 +16,7 @@ Arrow columns from end to end; every step works on the flat tokens of a slice of
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,14 +30,20 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import only, stage
 
 #: Bytes of text whose tokens are aligned at a time (or one longer document).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Staged documents whose links are unfolded at a time, by tokens.
 SLICE_TOKENS = 1 << 20
 #: The table of pair counts is sent to the tasks up to this size (17 bytes a pair); beyond it the links are joined.
 TABLE_BYTES = 64 << 20
 PAIR_BYTES = 17
 
+#: Units whose ids a worker keeps, and their ids.
+MEMORY_UNITS = 400_000
+MEMORY_IDS = 4_000_000
+
 ENDS_A, ENDS_B = 1, 2
+#: Bits of a token's end in its key; the rest is the document in the slice.
+END_BITS = 40
 
 
 def _byte_level() -> dict[str, int]:
@@ -47,15 +54,20 @@ def _byte_level() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A tokenizer file of the tokenizers library with a byte-level vocabulary; ``space`` is put before every text."""
+    """A tokenizer file of the tokenizers library with a byte-level vocabulary; texts come with their space in front.
 
-    space = True
+    ``by_unit``: it splits texts by its own pattern before anything else, so texts may be encoded in units.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        split = made.get("pre_tokenizer") or {}
+        self.by_unit = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not made.get("normalizer")
         of = _byte_level()
         names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.bytes = [bytes(of[c] for c in names[i]) if i in names and all(c in of for c in names[i]) else b"" for i in range(max(names) + 1)]
@@ -63,11 +75,32 @@ class ByteLevel:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of each). Units that are one space and visible ends are encoded as the lines of one text.
+
+        A line break between a visible character and a space that a visible one follows is a token of its own.
+        """
+        line = np.array([len(t) > 1 and t[0] == " " and not (t[1].isspace() or t[-1].isspace() or "\n" in t) for t in texts], dtype=bool)
+        break_ = self.encode(["\n"])[0]
+        joined = np.array(self.encode(["\n".join([t for t, x in zip(texts, line, strict=True) if x])])[0], dtype=np.int32) if line.any() else np.zeros(0, np.int32)
+        at = np.flatnonzero(joined == break_[0])
+        if len(break_) != 1 or len(at) != max(int(line.sum()) - 1, 0):
+            return _flat(self.encode(texts))
+        size = np.zeros(len(texts), dtype=np.int64)
+        if line.any():
+            size[line] = np.diff(np.r_[-1, at, len(joined)]) - 1
+        other, size[~line] = _flat(self.encode([t for t, x in zip(texts, line, strict=True) if not x]))
+        whole = np.repeat(line, size)
+        ids = np.empty(len(whole), dtype=np.int32)
+        ids[whole], ids[~whole] = np.delete(joined, at), other
+        return ids, size
+
 
 class Pieces:
-    """A sentencepiece model; it puts the space before a text itself."""
+    """A sentencepiece model. It puts a space before every text itself, so texts, which come with one, lose theirs.
 
-    space = False
+    ``by_unit``: no piece has a space behind another character, and none is matched ahead of the merges.
+    """
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -75,10 +108,16 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(self.model.get_piece_size())
         names = [self.model.id_to_piece(i) for i in ids]
+        self.by_unit = not any("▁" in n.lstrip("▁") or self.model.is_unused(i) for i, n in zip(ids, names, strict=True)) and self.model.encode("x <s> y") == self.model.encode("x") + self.model.encode("<s>") + self.model.encode("y")
+        self.lone = [self.model.piece_to_id("▁")]  # a lone space: the library gives an empty text no tokens
         self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in zip(ids, names, strict=True)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+        got = self.model.encode([t[1:] for t in texts], num_threads=1)
+        return [self.lone if t == " " else x for t, x in zip(texts, got, strict=True)]
+
+    def encode_units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(self.encode(texts))
 
 
 _LOADED: dict[str, ByteLevel | Pieces] = {}
@@ -104,19 +143,89 @@ class Side:
     end: np.ndarray
 
     @classmethod
-    def of(cls, lists: list[list[int]], vocabulary: pa.Array) -> tuple[Side, pa.Array]:
-        column = pa.array(lists, pa.list_(pa.int32()))
-        ids, doc = pc.list_flatten(column), pc.list_parent_indices(column)
-        tokens = pc.take(vocabulary, ids)
+    def of(cls, ids: np.ndarray, doc: np.ndarray, vocabulary: pa.Array) -> tuple[Side, pa.Array]:
+        tokens = pc.take(vocabulary, pa.array(ids))
         size = pc.binary_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
         total = np.cumsum(size)
-        parent = doc.to_numpy(zero_copy_only=False)
-        first = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]]) if len(parent) else np.zeros(0, np.int64)
-        base = np.repeat(total[first] - size[first], np.diff(np.r_[first, len(parent)]))
-        return cls(ids.to_numpy(zero_copy_only=False), parent, total - base), tokens
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+        base = np.repeat(total[first] - size[first], np.diff(np.r_[first, len(doc)]))
+        return cls(ids, doc, total - base), tokens
 
     def table(self, name: str) -> pa.Table:
-        return pa.table({"doc": self.doc, "end": self.end, name: np.ones(len(self.doc), dtype=bool)})
+        """The document and end of every token in one key."""
+        return pa.table({"end": (self.doc.astype(np.int64) << END_BITS) | self.end, name: np.ones(len(self.doc), dtype=bool)})
+
+
+def _units(raw: np.ndarray, off: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The texts (each with a space in front) cut before every space behind a visible ASCII character, and their documents.
+
+    Neither a byte-level split nor a piece reaches over such a place, and what follows it is cut as at the start of a text.
+    """
+    cut = np.zeros(len(raw), dtype=bool)
+    cut[1:] = (raw[1:] == 32) & (raw[:-1] > 32) & (raw[:-1] < 127)
+    cut[off[:-1]] = True
+    starts = np.flatnonzero(cut)
+    units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[starts, len(raw)].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
+    return units.dictionary_encode(), np.searchsorted(off, starts, "right") - 1
+
+
+class Memory:
+    """The ids that some tokenizers give units seen before, end to end; begun anew beyond ``MEMORY_UNITS`` or ``MEMORY_IDS``."""
+
+    def __init__(self, sides: list[ByteLevel | Pieces]) -> None:
+        self.sides = sides
+        self.clear()
+
+    def clear(self) -> None:
+        self.code: dict[bytes, int] = {}
+        self.ids, self.ends = [np.zeros(0, np.int32) for _ in self.sides], [np.zeros(1, np.int64) for _ in self.sides]
+
+    def look(self, units: list[bytes]) -> np.ndarray:
+        """The number of each unit (distinct ones), after encoding the new ones."""
+        if len(self.code) > MEMORY_UNITS or any(len(x) > MEMORY_IDS for x in self.ids):
+            self.clear()
+        new = [u for u in units if u not in self.code]
+        if new:
+            texts = b"\0".join(new).decode().split("\0") if not any(0 in u for u in new) else [u.decode() for u in new]
+            for k, side in enumerate(self.sides):
+                ids, size = side.encode_units(texts)
+                self.ids[k] = np.concatenate([self.ids[k], ids])
+                self.ends[k] = np.concatenate([self.ends[k], self.ends[k][-1] + np.cumsum(size)])
+            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
+        return np.fromiter(map(self.code.__getitem__, units), np.int64, len(units))
+
+    def lists(self, side: ByteLevel | Pieces, codes: np.ndarray) -> pa.LargeListArray:
+        """The ids of each unit, in order."""
+        k = self.sides.index(side)
+        begin = self.ends[k][codes]
+        ends = np.cumsum(self.ends[k][codes + 1] - begin)
+        starts = np.r_[0, ends[:-1]] if len(ends) else ends
+        at = np.repeat(begin - starts, ends - starts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return pa.LargeListArray.from_arrays(pa.array(np.r_[0, ends]), pa.array(self.ids[k][at]))
+
+
+_MEMORY: dict[tuple[int, ...], Memory] = {}
+
+
+def _encoded(sides: tuple[ByteLevel | Pieces, ...], spaced: list[str], raw: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids end to end, document of each) of every tokenizer. Equal units have equal ids and are encoded once."""
+    split = [side for side in sides if side.by_unit]
+    memory = _MEMORY.setdefault(tuple(map(id, split)), Memory(split))
+    units, of_doc = _units(raw, off)
+    codes = memory.look(units.dictionary.to_pylist())[units.indices.to_numpy()] if split else None
+    out = []
+    for side in sides:
+        if side.by_unit:
+            lists, parent = memory.lists(side, codes), of_doc
+        else:
+            lists, parent = pa.array(side.encode(spaced), pa.large_list(pa.int32())), np.arange(len(spaced))
+        out.append((pc.list_flatten(lists).to_numpy(zero_copy_only=False), parent[pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)]))
+    return out
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    column = pa.array(lists, pa.list_(pa.int32()))
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _raw(tokens: pa.Array) -> np.ndarray:
@@ -153,20 +262,19 @@ def _align_slice(texts: list[str], a: ByteLevel | Pieces, b: ByteLevel | Pieces,
     want = pa.array(spaced, pa.large_string()).cast(pa.large_binary())
     off = np.r_[0, np.cumsum(pc.binary_length(want).to_numpy(zero_copy_only=False))].astype(np.int64)
     raw = _raw(want)
-    lists = [side.encode(spaced if side.space else texts) for side in (a, b)]
-    sides = [Side.of(x, v) for x, v in zip(lists, vocabularies, strict=True)]
+    flat = _encoded((a, b), spaced, raw, off)
+    sides = [Side.of(*x, v) for x, v in zip(flat, vocabularies, strict=True)]
     good = _sound(*sides[0], raw, off) & _sound(*sides[1], raw, off)
     if not good.all():
-        lists = [[x if g else [] for x, g in zip(one, good, strict=True)] for one in lists]
-        sides = [Side.of(x, v) for x, v in zip(lists, vocabularies, strict=True)]
+        sides = [Side.of(ids[good[doc]], doc[good[doc]], v) for (ids, doc), v in zip(flat, vocabularies, strict=True)]
     left, right = sides[0][0], sides[1][0]
     n = len(texts)
 
-    cuts = left.table("a").join(right.table("b"), ["doc", "end"], join_type="full outer", use_threads=False)
-    doc, end = (cuts[c].to_numpy() for c in ("doc", "end"))
+    cuts = left.table("a").join(right.table("b"), "end", join_type="full outer", use_threads=False)
+    end = cuts["end"].to_numpy()
     steps = cuts["a"].is_valid().to_numpy() * np.uint8(ENDS_A) + cuts["b"].is_valid().to_numpy() * np.uint8(ENDS_B)
-    order = np.argsort((doc.astype(np.int64) << 40) | end, kind="stable")
-    doc, steps = doc[order], steps[order].astype(np.uint8)
+    order = np.argsort(end, kind="stable")
+    doc, steps = end[order] >> END_BITS, steps[order].astype(np.uint8)
 
     both = steps == ENDS_A | ENDS_B
     cut_a, cut_b = (np.r_[0, np.cumsum((steps & bit) > 0)[both]] for bit in (ENDS_A, ENDS_B))

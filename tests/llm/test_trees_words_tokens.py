@@ -183,8 +183,8 @@ def plain_alignment(texts: list[str | None]) -> list[tuple]:
     a, b = (token_align.load(tokenizer_path(x)) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     rows = []
     for text in texts:
-        ids_a = a.encode([" " + text])[0] if text else []
-        ids_b = b.encode([text])[0] if text else []
+        ids_a = a.tokenizer.encode(" " + text, add_special_tokens=False).ids if text else []
+        ids_b = b.model.encode(text) if text else []
         want = (" " + (text or "")).encode()
         if not text or b"".join(a.bytes[i] for i in ids_a) != want or b"".join(b.bytes[i] for i in ids_b) != want:
             rows.append(([], [], [], ""))
@@ -228,6 +228,20 @@ def test_alignment_token_by_token(spark, monkeypatch, limit):
     assert plain_alignment(["a▁b stays out"]) == [(0, 0, 0, 0, "", 0, 0)]
 
 
+def test_ids_by_unit_are_those_of_whole_texts():
+    rng = np.random.default_rng(3)
+    alphabet = [" ", " ", "a", "the", "'s", "9", ".", "\n", "\t", "é", "\u00a0", "\u3000", "日本", "☃", "▁", "<s>", "Word", "ing", "\x1c", "\x85", "<0x41>", "''", "~", "\x7f"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(1, 14))) for _ in range(4000)]
+    spaced = [" " + t for t in texts]
+    raw = np.frombuffer("".join(spaced).encode(), dtype=np.uint8)
+    off = np.r_[0, np.cumsum([len(t.encode()) for t in spaced])]
+    a, b = (token_align.load(tokenizer_path(x)) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    assert a.by_unit and b.by_unit
+    whole = [x.ids for x in a.tokenizer.encode_batch(spaced, add_special_tokens=False)], b.model.encode(texts)
+    for (ids, doc), want in zip(token_align._encoded((a, b), spaced, raw, off), whole, strict=True):
+        assert [x.tolist() for x in np.split(ids, np.searchsorted(doc, np.arange(1, len(texts))))] == want
+
+
 def test_alignment_in_slices_of_any_size(spark):
     docs = spark.createDataFrame([(1, "Some text to cut", 0), (1, "Some text to cut", 0), (None, "other", 0), (2, None, 1)], "doc_id long, text string, n_a int")
     paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
