@@ -22,6 +22,7 @@ still in different components, so no link between different texts is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,9 @@ from panelweave.llm.wordhash import Words, mix64, shingle_hashes, words_of
 
 #: Tokens that a task gathers before it sends blocks.
 BLOCK_TOKENS = 1_000_000
-#: Parts of the suffix filter.
-PARTS = 16
+#: Parts of the suffix filter, whose counts share a long, a byte each; a count of ``FULL`` or more gives no bound.
+PARTS = 8
+FULL = 255
 #: Contracting rounds go on while prefix lists hold more unsettled pairs per class, and links are still found.
 PAIRS_PER_CLASS = 4
 MAX_ROUNDS = 6
@@ -231,12 +233,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = range(at, min(at + 500, len(got["cls"])))
             sets = [np.frombuffer(got["tokens"][i], dtype="<u8") for i in rows]
             k = np.array([got["prefix"][i] for i in rows])
-            hist = [np.bincount((mix64(x) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS).tolist() for x in sets]
+            hist = [np.minimum(np.bincount((mix64(x) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS), FULL).astype(np.uint8).view(np.int64)[0] for x in sets]
             each = np.repeat(np.arange(len(sets)), k)
             own = {c: np.array([got[c][i] for i in rows], dtype=np.int64)[each] for c in ("cls", "n", "shared")}
             place = np.arange(len(each)) - np.repeat(np.cumsum(k) - k, k)
             tokens = np.concatenate([x[:m] for x, m in zip(sets, k, strict=True)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(own["cls"]), pa.array(own["n"]), pa.array(own["shared"]), pa.array(place.astype(np.int64)), pa.array([hist[i] for i in each], pa.list_(pa.int32()))], ["token", "cls", "n", "shared", "pos", "hist"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(own["cls"]), pa.array(own["n"]), pa.array(own["shared"]), pa.array(place.astype(np.int64)), pa.array(np.array(hist, dtype=np.int64)[each])], ["token", "cls", "n", "shared", "pos", "hist"])
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +253,9 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     c = lambda side, name: F.col(f"{side}.{name}")
     need = F.ceil(percent * (c(x, "n") + c(y, "n")) / F.lit(100 + percent) - F.lit(1e-9))
     most = F.least(c(x, "pos"), c(y, "pos")) + F.least(c(x, "shared") - c(x, "pos"), c(y, "shared") - c(y, "pos"))
-    parts = F.aggregate(F.zip_with(c(x, "hist"), c(y, "hist"), lambda s, v: F.least(s, v)), F.lit(0), lambda s, v: s + v)
+    byte = lambda side, k: F.shiftrightunsigned(c(side, "hist"), 8 * k).bitwiseAND(F.lit(255))
+    least = [F.least(byte(x, k), byte(y, k)) for k in range(PARTS)]
+    parts = reduce(lambda s, v: s + v, [F.when(v == FULL, c(x, "n")).otherwise(v) for v in least])
     length = (100 * F.least(c(x, "n"), c(y, "n"))) >= (percent * F.greatest(c(x, "n"), c(y, "n")))
     return length & (most >= need) & (parts >= need)
 
@@ -308,7 +312,7 @@ def _settle(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _components(sets: DataFrame, percent: int) -> DataFrame:
     """(cls, root) of every class that has a partner."""
-    rows = sets.mapInArrow(_prefixes, "token long, cls long, n long, shared long, pos long, hist array<int>")
+    rows = sets.mapInArrow(_prefixes, "token long, cls long, n long, shared long, pos long, hist long")
     several = rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     rows = stage(rows.join(several, "token", "left_semi"), "prefixes")
     labels = sets.select("cls", F.col("cls").alias("root"))
