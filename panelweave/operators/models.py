@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
-import json
-import random
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
-from itertools import product
-from multiprocessing.pool import ThreadPool
 
-import pyarrow as pa
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from panelweave.functions.metrics import error_table
 from panelweave.operators.evaluate import best_candidate, mean_forecast_errors
 from panelweave.operators.leastsq import fit_least_squares, group_moments, predict, solve_coefficients
 from panelweave.operators.quantiles import exact_quantiles
-from panelweave.operators.select import with_position
-from panelweave.operators.windows import small_table
-from panelweave.session import cut_lineage
+from panelweave.session import staged
 from panelweave.spec import PanelSpec, q
 
 
-#: Rows of a hash bucket in which permutation importance orders rows.
-BUCKET_ROWS = 100_000
-
-
-def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip").transform(df)
-
-
 def regression_summary(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
     """Per key: n, r2, adjusted r2 and F statistic of the least-squares fit, all from one pass of moments."""
     k = len(xs)
@@ -85,90 +66,68 @@ def linear_by_block(block: str, y: str, xs: Sequence[str]) -> Callable[[DataFram
     return fit_predict
 
 
-def boosted_trees(
-    train: DataFrame, val: DataFrame, rows: DataFrame, y: str, xs: Sequence[str], grid: Mapping[str, Sequence], trials: int | None = None, seed: int = 7
-) -> tuple[DataFrame, DataFrame]:
-    """(rows + y_pred, trials): boosted trees fitted on ``train``, the setting chosen by mean absolute error on ``val``.
+def numbered(df: DataFrame, groups: Sequence[str], key: str, seed: int) -> DataFrame:
+    """``df`` with ``__pos`` (0, 1, ... within the group, in the order of a seeded hash of ``key``) and ``__n``, the group's rows.
 
-    The frames hold one block; pooling blocks would put one's train rows among another's val rows. ``grid`` is searched whole, or
-    ``trials`` of its settings in a seeded order. ``trials`` lists every setting as JSON with its error.
+    Rows are numbered in sorted ranges of (group, hash); only the ranges' counts are added up, so a group of any size is
+    dealt out over all tasks. Staged, because the numbers of rows that tie are those of one run.
     """
-    names = sorted(grid)
-    space = [dict(zip(names, values, strict=True)) for values in product(*[grid[n] for n in names])]
-    if trials is not None and trials < len(space):
-        space = random.Random(seed).sample(space, trials)
-    ready = cut_lineage(assemble(train.withColumn("__val", F.lit(False)).unionByName(val.withColumn("__val", F.lit(True))), xs).select("features", y, "__val"))
-    done = []
-    for chosen in space:
-        gbt = GBTRegressor(labelCol=y, featuresCol="features", predictionCol="y_pred", validationIndicatorCol="__val", seed=seed, **chosen)
-        model = gbt.fit(ready)
-        loss = model.transform(ready.filter("__val")).agg(F.avg(F.abs(F.col("y_pred") - q(y)))).first()[0]
-        if loss is None:
-            raise ValueError("val holds no usable row")
-        done.append((loss, json.dumps(chosen, sort_keys=True), model))
-    best = min(done, key=lambda x: x[:2])
-    schema = pa.schema([("setting", pa.string()), ("val_mae", pa.float64()), ("is_best", pa.bool_())])
-    table = small_table(train.sparkSession, {"setting": [x[1] for x in done], "val_mae": [x[0] for x in done], "is_best": [x is best for x in done]}, schema)
-    return best[2].transform(assemble(rows, xs)).drop("features"), table
-
-
-def boosted_trees_by_block(
-    samples: DataFrame, block: str, split: str, y: str, xs: Sequence[str], grid: Mapping[str, Sequence], trials: int | None = None, seed: int = 7, at_once: int = 4
-) -> tuple[DataFrame, DataFrame]:
-    """(samples + y_pred, block + trials): ``boosted_trees`` for every block on its own train and val rows, ``at_once`` blocks at a time."""
-    samples = cut_lineage(samples)
-
-    def fit(value) -> tuple[DataFrame, DataFrame]:
-        rows = samples.filter(q(block) == value)
-        scored, tried = boosted_trees(rows.filter(q(split) == "train"), rows.filter(q(split) == "val"), rows, y, xs, grid, trials, seed)
-        return scored, tried.select(F.lit(value).alias(block), "*")
-
-    values = [r[0] for r in samples.select(q(block)).distinct().orderBy(q(block)).collect()]
-    pool = ThreadPool(at_once)
-    try:
-        done = pool.map(inheritable_thread_target(samples.sparkSession)(fit), values, chunksize=1)
-    finally:
-        pool.close()
-    return tuple(reduce(DataFrame.unionByName, frames) for frames in zip(*done, strict=True))
+    by = [*[q(g) for g in groups], F.xxhash64(q(key), F.lit(seed)), q(key)]
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id())
+    dealt = staged(dealt.withColumns({"__range": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id"), "numbered")
+    runs = dealt.groupBy(*groups, "__range").agg(F.min("__at").alias("__first"), F.count("*").alias("__k"))
+    w = Window.partitionBy(*groups)
+    before = F.coalesce(F.sum("__k").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*groups, "__range", (before - F.col("__first")).alias("__base"), F.sum("__k").over(w).alias("__n"))
+    return dealt.join(runs, [*groups, "__range"]).withColumn("__pos", F.col("__at") + F.col("__base")).drop("__range", "__at", "__base")
 
 
-def permuted(df: DataFrame, key: str, col: str, seed: int) -> DataFrame:
-    """The table with one column permuted over all rows: rows are matched to the values of another random order.
+#: Swap-or-not rounds of an index permutation.
+PERMUTE_ROUNDS = 24
+
 
-    Both orders are positions by a seeded hash, numbered in ranges, so no task sees the whole table.
+def permuted_index(pos: Column, n: Column, *key: Column) -> Column:
+    """The place of ``pos`` in a pseudorandom permutation of 0 ... n-1 that the key draws: a bijection, computed row by row.
+
+    In every round a number and its mirror image around a drawn point change places or not, by a hash of the larger one.
     """
-    by_row = with_position(df.withColumn("__h", F.xxhash64(q(key), F.lit(seed))), "__h", "__pos", [key]).drop("__h")
-    source = df.select(q(key), q(col).alias("__other"), F.xxhash64(q(key), F.lit(seed + 1)).alias("__h"))
-    values = with_position(source, "__h", "__pos", [key]).select("__pos", "__other")
-    return by_row.join(values, "__pos").withColumn(col, F.col("__other")).drop("__pos", "__other")
+
+    def swap(x: Column, r: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(*key, r), n) - x, n)
+        return F.when(F.xxhash64(*key, r, F.greatest(x, mirror)).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(PERMUTE_ROUNDS)), pos.cast("long"), swap)
+
+
+def permuted(df: DataFrame, key: str, col: str, seed: int) -> DataFrame:
+    """The table with one column permuted over all rows."""
+    rows = numbered(df, [], key, seed)
+    given = rows.select(F.col("__pos").alias("__from"), q(col).alias("__given"))
+    taken = rows.withColumn("__from", permuted_index(F.col("__pos"), F.col("__n"), F.lit(seed)))
+    return taken.join(given, "__from").withColumn(col, F.col("__given")).select(*[q(c) for c in df.columns])
 
 
 def permutation_importance(df: DataFrame, key: str, y: str, xs: Sequence[str], score, groups: Sequence[str] = (), repeats: int = 5, seed: int = 7) -> DataFrame:
     """(groups, feature, importance, spread): rise of the mean absolute error when a column is permuted, over the repeats.
 
-    ``score(df)`` adds ``y_pred``; ``key`` identifies a row. Values change places within their group (a split, say). All
-    features and repeats are one plan: each row is copied features x repeats times next to the value that a seeded
-    order of its group gives it. Orders are md5 hashes of key, feature and repeat. Tables above ``BUCKET_ROWS`` are permuted
-    within hash buckets of about that many rows, so no task orders a whole table.
+    ``score(df)`` adds ``y_pred``; ``key`` identifies a row. Values change places within their group (a split, say). Row i takes
+    the values of row p(i), where p is an index permutation drawn for each repeat, so a repeat is one join with the narrow
+    columns ``xs``, and each column is put in place in turn and scored. The path is the same at every size.
     """
-    df = cut_lineage(df)
-    buckets = max(1, df.count() // BUCKET_ROWS)
-    groups = list(groups)
-    error = F.avg(F.abs(F.col("y_pred") - q(y)))
-    scored = score(df)
-    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.lit(r).alias("repeat"), q(x).cast("double").alias("value")) for x in xs for r in range(repeats)]))
-    bucket = F.pmod(F.xxhash64(q(key)), F.lit(buckets)).alias("__bucket")
-    long = df.select("*", pairs.alias("p"), bucket).select(*[q(c) for c in df.columns], "__bucket", "p.feature", "p.repeat", F.col("p.value").alias("__value"))
-    drawn = lambda part: F.md5(F.concat_ws("|", q(key).cast("string"), F.col("feature"), F.col("repeat").cast("string"), F.lit(f"{seed}{part}")))
-    # Matching two orders of the same rows permutes the values.
-    w = lambda part: Window.partitionBy(*groups, "__bucket", "feature", "repeat").orderBy(drawn(part), q(key))
-    by = [*groups, "__bucket", "feature", "repeat", "__pos"]
-    takers = long.drop("__value").withColumn("__pos", F.row_number().over(w("a")))
-    givers = long.withColumn("__pos", F.row_number().over(w("b"))).select(*by, F.col("__value").alias("__given"))
-    mixed = takers.join(givers, by)
-    changed = mixed.withColumns({x: F.when(F.col("feature") == x, F.col("__given")).otherwise(q(x).cast("double")) for x in xs})
-    loss = score(changed).groupBy(*groups, "feature", "repeat").agg(error.alias("loss"))
-    before = loss.join(scored.groupBy(*groups).agg(error.alias("base")), groups) if groups else loss.withColumn("base", scored.agg(error).scalar())
+    groups, xs = list(groups), list(xs)
+    rows = numbered(df, groups, key, seed)
+    error = F.abs(F.col("y_pred") - q(y))
+    given = rows.select(*groups, F.col("__pos").alias("__from"), *[q(x).cast("double").alias(f"__given{i}") for i, x in enumerate(xs)])
+    taken = rows.withColumn("__repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    taken = taken.withColumn("__from", permuted_index(F.col("__pos"), F.col("__n"), F.lit(seed), F.col("__repeat")))
+    mixed = taken.join(given, [*groups, "__from"])
+    for i, x in enumerate(xs):
+        own = mixed.withColumn("__own", q(x)).withColumn(x, F.col(f"__given{i}"))
+        mixed = score(own).withColumn(f"__e{i}", error).withColumn(x, F.col("__own")).drop("__own", "y_pred")
+    loss = mixed.groupBy(*groups, "__repeat").agg(*[F.avg(f"__e{i}").alias(f"__e{i}") for i in range(len(xs))])
+    long = loss.select(*groups, F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(f"__e{i}").alias("loss")) for i, x in enumerate(xs)])).alias("__l")).select(*groups, "__l.*")
+    scored = score(rows)
+    before = long.join(scored.groupBy(*groups).agg(F.avg(error).alias("base")), groups) if groups else long.withColumn("base", scored.agg(F.avg(error)).scalar())
     rise = before.withColumn("rise", F.col("loss") - F.col("base"))
     return rise.groupBy(*groups, "feature").agg(F.avg("rise").alias("importance"), F.coalesce(F.stddev_pop("rise"), F.lit(0.0)).alias("spread"))
 

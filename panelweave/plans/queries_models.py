@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.metrics import error_table
 from panelweave.operators import models as m
 from panelweave.operators import penalised as pen
+from panelweave.operators.boosting import boost_blocks, boost_settings
 from panelweave.operators.leastsq import coefficient_table, fit_least_squares, predict
 from panelweave.operators.ordered import pct_change
 from panelweave.plans.panel_sql import SUPPLIER, with_panels
@@ -178,13 +179,22 @@ def q_eliminate_features(spark, sf_dir):
     return kept.select("block", F.col("features")[0].alias("kept"))
 
 
-GBT_GRID = {"maxDepth": [2, 3], "stepSize": [0.1, 0.3], "maxIter": [8]}
+BOOST_GRID = {
+    "depth": [1, 2, 3],
+    "step": [0.05, 0.1, 0.3],
+    "l2": [0.0, 1.0, 10.0],
+    "l1": [0.0, 0.1],
+    "min_rows": [5, 20, 50],
+    "min_gain": [0.0, 0.01],
+    "rows": [0.7, 1.0],
+    "columns": [0.5, 1.0],
+}
 
 
 def _gbt(spark, sf_dir):
-    """Boosted trees of every block, each on its own train, val and test windows."""
+    """Boosted trees of every block: 100 settings over eight parameters, each on its own train, val and test windows."""
     s = signal_samples(spark, sf_dir).select("block", "split", "comp", "start", *SIGNALS, "target_p_eps")
-    return m.boosted_trees_by_block(s, "block", "split", "target_p_eps", SIGNALS, GBT_GRID)
+    return boost_blocks(s, "block", "split", "target_p_eps", SIGNALS, boost_settings(BOOST_GRID, 100), rounds=8, patience=2)
 
 
 @query("q_gbt_fit")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +27,11 @@ def get_session(app: str = "panelweave", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that lost executors do not replay every earlier pass.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint directory, or the one ``spark.checkpoint.dir`` names.
 
-    The directory is the one the cluster names in ``spark.checkpoint.dir``. Only a local session that
-    names none gets a temporary one.
+    Only a local session that names none gets a temporary one.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,4 +40,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             shared = tempfile.mkdtemp(prefix="panelweave-checkpoint-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, so that lost executors do not replay every earlier pass."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """Write as Parquet in the shared folder and read back: like ``cut_lineage``, but columns can be pruned and Spark knows the size."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from panelweave.functions import scalars as s
 from panelweave.operators import evaluate as ev
 from panelweave.operators import link as ln
 from panelweave.operators import models as m
+from panelweave.operators.boosting import boost_blocks, boost_settings
 from panelweave.operators import penalised as pen
 from panelweave.operators.leastsq import coefficient_table, fit_least_squares, group_moments, merge_moments, predict, solve_coefficients, student_p
 from panelweave.plans import runs
@@ -143,20 +144,12 @@ def test_wide_frames_fit(spark):
     assert set(pen.kept_features(df, ["g"], "y", names, 2).first().features) == {"x7", "x11"}
 
 
-def test_boosted_trees(data):
-    df, *_ = data
-    train, val = df.filter("id % 4 < 3"), df.filter("id % 4 = 3")
-    scored, trials = m.boosted_trees(train, val, df, "y", ["a", "b", "c"], {"maxIter": [2, 4], "maxDepth": [3], "stepSize": [0.3]})
-    got = trials.collect()
-    assert scored.count() == 240 and len(got) == 2 and min(got, key=lambda r: r.val_mae).is_best
-    assert len(m.boosted_trees(train, val, df, "y", ["a"], {"maxIter": [1, 2, 3], "maxDepth": [2]}, trials=1)[1].collect()) == 1
-
-
 def test_boosted_trees_of_every_block(spark):
     # Blocks of opposite sign: a fit on the other block, or on both, would miss.
     rows = [(f"b{b}", ("train", "train", "val", "test")[i % 4], float(i % 10), (1.0, -1.0)[b] * (i % 10)) for b in (0, 1) for i in range(120)]
     df = spark.createDataFrame(rows, "block string, split string, x double, y double")
-    scored, trials = m.boosted_trees_by_block(df, "block", "split", "y", ["x"], {"maxIter": [1, 3], "maxDepth": [4]})
+    settings = boost_settings({"depth": [3], "step": [0.5, 1.0], "l2": [0.0]})
+    scored, trials = boost_blocks(df, "block", "split", "y", ["x"], settings, rounds=3)
     errors = scored.groupBy("block", "split").agg(F.avg(F.abs(F.col("y") - F.col("y_pred"))).alias("mae"), F.count("*").alias("n")).collect()
     assert {(r.block, r.split, r.n) for r in errors} == {(b, s, n) for b in ("b0", "b1") for s, n in (("train", 60), ("val", 30), ("test", 30))}
     assert all(r.mae < 0.5 for r in errors)
@@ -164,6 +157,24 @@ def test_boosted_trees_of_every_block(spark):
     assert len(tried) == 4 and sorted(r.block for r in tried if r.is_best) == ["b0", "b1"]
 
 
+def test_permuted_index_is_a_bijection(spark):
+    for n in (1, 2, 7, 100):
+        got = [r[0] for r in spark.range(n).select(m.permuted_index(F.col("id"), F.lit(n), F.lit(3))).collect()]
+        assert sorted(got) == list(range(n)) and (n < 7 or got != list(range(n)))
+
+
+def test_importance_within_groups_at_any_partitioning(spark):
+    rows = [(i, "ab"[i % 3 == 0], float(i % 17), float(i % 5), 2.0 * (i % 17) + (i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, a double, b double, y double")
+    score = lambda d: d.withColumn("y_pred", 2 * F.col("a") + F.col("b"))
+    one, many = (sorted(map(tuple, m.permutation_importance(df.repartition(p), "id", "y", ["a", "b"], score, ["g"]).collect())) for p in (1, 13))
+    assert one == many and len(one) == 4 and all(a[2] > b[2] > 0 for a, b in zip(one[::2], one[1::2], strict=True))
+    numbers = m.numbered(df.repartition(5), ["g"], "id", 1).collect()
+    for g in "ab":
+        own = [r for r in numbers if r["g"] == g]
+        assert sorted(r["__pos"] for r in own) == list(range(len(own))) and {r["__n"] for r in own} == {len(own)}
+
+
 def test_gbt_queries_cover_every_block(spark):
     from panelweave.plans import queries_models as qm
 
