@@ -41,7 +41,7 @@ def group_moments(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str])
     return df.groupBy(*keys).agg(*moments(y, xs)) if keys else df.agg(*moments(y, xs))
 
 
-def _joined_moments(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+def joined_moments(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
     """Counts, means and centred squares of several parts as those of the whole."""
     n = sum(p[0] for p in parts)
     mean = sum(p[0] * p[1] for p in parts) / n
@@ -72,12 +72,12 @@ def _gram_moments(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame
                 if len(x):
                     d = x - x.mean(0)
                     new = (len(x), x.mean(0), d.T @ d)
-                    held[key, part] = _joined_moments([held[key, part], new]) if (key, part) in held else new
+                    held[key, part] = joined_moments([held[key, part], new]) if (key, part) in held else new
         yield rows(held)
 
     def joined(final: bool):
         def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            whole = _joined_moments([(n, np.asarray(m), _unpack(np.asarray(c), k)) for n, m, c in zip(frame["n"], frame["mean"], frame["cross"], strict=True)])
+            whole = joined_moments([(n, np.asarray(m), unpack(np.asarray(c), k)) for n, m, c in zip(frame["n"], frame["mean"], frame["cross"], strict=True)])
             return rows({(tuple(key[: len(keys)]), 0 if final else key[-1]): whole})
 
         return run
@@ -88,6 +88,15 @@ def _gram_moments(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame
     return last.applyInPandas(joined(True), schema).drop("part")
 
 
+def without(total: tuple[int, np.ndarray, np.ndarray], part: tuple[int, np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """The count, mean and centred squares that are left when a part's rows are taken out of the whole."""
+    n = total[0] - part[0]
+    if n <= 0:
+        return 0, np.zeros_like(total[1]), np.zeros_like(total[2])
+    mean = total[1] + part[0] * (total[1] - part[1]) / n
+    return n, mean, total[2] - part[2] - (n * part[0] / total[0]) * np.outer(mean - part[1], mean - part[1])
+
+
 def merge_moments(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """Combine moment rows (``n``, ``mean``, ``cross`` over ``k`` variables) into one row per key.
 
@@ -112,7 +121,7 @@ def merge_moments(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     return agg.select(*keys, "n", F.array(*mean).alias("mean"), F.array(*cross).alias("cross"))
 
 
-def _unpack(cross: np.ndarray, k: int) -> np.ndarray:
+def unpack(cross: np.ndarray, k: int) -> np.ndarray:
     m = np.zeros((k, k))
     m[np.triu_indices(k)] = cross
     return m + np.triu(m, 1).T
@@ -131,7 +140,7 @@ def solve_coefficients(mean: pd.Series, cross: pd.Series) -> pd.Series:
             out.append(None)
             continue
         m = np.asarray(m, dtype=float)
-        s = _unpack(np.asarray(c, dtype=float), len(m))
+        s = unpack(np.asarray(c, dtype=float), len(m))
         slopes = np.linalg.pinv(s[:-1, :-1], rcond=1e-12, hermitian=True) @ s[:-1, -1]
         out.append([float(m[-1] - slopes @ m[:-1]), *[float(b) for b in slopes]])
     return pd.Series(out)
@@ -192,7 +201,7 @@ def _term_stats(n: pd.Series, mean: pd.Series, cross: pd.Series) -> pd.Series:
     out = []
     for size, m, c in zip(n, mean, cross):
         m = np.asarray(m, dtype=float)
-        s = _unpack(np.asarray(c, dtype=float), len(m))
+        s = unpack(np.asarray(c, dtype=float), len(m))
         k = len(m) - 1
         inv = np.linalg.pinv(s[:k, :k], rcond=1e-12, hermitian=True)
         b = inv @ s[:k, k]

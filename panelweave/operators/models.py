@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.metrics import error_table
-from panelweave.operators.evaluate import best_candidate, mean_forecast_errors
 from panelweave.operators.leastsq import fit_least_squares, group_moments, predict, solve_coefficients
 from panelweave.operators.quantiles import exact_quantiles
 from panelweave.session import staged
-from panelweave.spec import PanelSpec, q
+from panelweave.spec import q
 
 
 def regression_summary(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
@@ -130,37 +129,3 @@ def permutation_importance(df: DataFrame, key: str, y: str, xs: Sequence[str], s
     before = long.join(scored.groupBy(*groups).agg(F.avg(error).alias("base")), groups) if groups else long.withColumn("base", scored.agg(F.avg(error)).scalar())
     rise = before.withColumn("rise", F.col("loss") - F.col("base"))
     return rise.groupBy(*groups, "feature").agg(F.avg("rise").alias("importance"), F.coalesce(F.stddev_pop("rise"), F.lit(0.0)).alias("spread"))
-
-
-def order_predictions(df: DataFrame, spec: PanelSpec, col: str, orders: Sequence[tuple[int, int]], until: Mapping[str, tuple[int, int]]) -> DataFrame:
-    """One-step forecasts per entity, order (p, d) and split: (order, split, comp, y_true, y_pred).
-
-    ``until`` maps a split to (last training period, forecast period). Differenced (d = 1) or level (d = 0)
-    values are regressed on their p lags over the entity's training rows; p = 0 is the mean. Fits are moment
-    aggregates per entity, all entities at once.
-    """
-    w = spec.ordered()
-    base = df.select(spec.comp, spec.period, q(col).alias("y"), F.lag(q(col)).over(w).alias("y_prev"))
-    base = base.select("*", F.col("y").alias("z0"), (F.col("y") - F.col("y_prev")).alias("z1"))
-    out = None
-    for p, d in orders:
-        lags = [f"l{i}" for i in range(1, p + 1)]
-        lagged = base.select("*", *[F.lag(f"z{d}", i).over(w).alias(lags[i - 1]) for i in range(1, p + 1)])
-        for split, (last, at) in until.items():
-            past = lagged.filter(q(spec.period) <= last)
-            fits = fit_least_squares(past, [spec.comp], f"z{d}", lags) if p else past.filter(F.col(f"z{d}").isNotNull()).groupBy(spec.comp).agg(F.array(F.avg(f"z{d}")).alias("coef"))
-            forecast = predict(F.col("coef"), lags)
-            now = lagged.filter(q(spec.period) == at).join(fits.select(spec.comp, "coef"), spec.comp)
-            level = F.col("y_prev") + forecast if d else forecast
-            one = now.select(F.lit(f"({p},{d})").alias("order"), F.lit(split).alias("split"), spec.comp, F.col("y").alias("y_true"), level.alias("y_pred")).dropna()
-            out = one if out is None else out.unionByName(one)
-    return out
-
-
-def order_search(df: DataFrame, spec: PanelSpec, col: str, orders: Sequence[tuple[int, int]], until: Mapping[str, tuple[int, int]]) -> DataFrame:
-    """Mean errors per order and split, with the order that is best on val flagged."""
-    errors = mean_forecast_errors(order_predictions(df, spec, col, orders, until), ["order", "split"])
-    best = best_candidate(errors.filter(F.col("split") == "val"), ["split"], "order", "mae").select(F.col("order").alias("best"))
-    return errors.join(best, F.col("order") == F.col("best"), "left").select("order", "split", "mae", "mse", "mda", "pos", F.col("best").isNotNull().alias("is_best"))
-
-

@@ -32,26 +32,16 @@ def _period_stats(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Da
 def _merge(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pooled mean and std from per-period rows of (rows, n, m, ss), all keyed by ``keys`` and feature.
 
-    Squares are pooled around a reference near the data (the plain mean of the period means), which keeps the
-    digits that a raw sum of squares would lose.
+    A key has a row for each of its periods; they are gathered once and squares are pooled around the pooled mean, which keeps
+    the digits that a raw sum of squares would lose.
     """
-    by = [*keys, "feature"]
-    ref = stats.groupBy(*by).agg(F.avg("m").alias("ref"))
-    d = F.col("m") - F.col("ref")
-    pooled = (
-        stats.join(ref, by)
-        .groupBy(*by)
-        .agg(
-            F.sum("rows").alias("rows"),
-            F.sum("n").alias("n"),
-            F.first("ref").alias("ref"),
-            F.sum(F.col("n") * d).alias("s1"),
-            F.sum(F.col("ss") + F.col("n") * d * d).alias("s2"),
-        )
-    )
-    shift = F.try_divide(F.col("s1"), F.col("n"))
-    ss = F.greatest(F.col("s2") - F.col("s1") * shift, F.lit(0.0))
-    return pooled.select(*by, (F.col("ref") + shift).alias("mean"), F.sqrt(F.try_divide(ss, F.col("rows") - 1)).alias("std"))
+    held = stats.groupBy(*keys, "feature").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.collect_list(F.struct("n", "m", "ss")).alias("parts"))
+    total = lambda of: F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + F.coalesce(of(p), F.lit(0.0)))
+    # Means are taken relative to one of them, so equal values pool to exactly themselves.
+    held = held.withColumn("ref", F.array_max(F.transform("parts", lambda p: p["m"])))
+    held = held.withColumn("mean", F.col("ref") + F.try_divide(total(lambda p: p["n"] * (p["m"] - F.col("ref"))), F.col("n")))
+    ss = total(lambda p: p["ss"] + p["n"] * (p["m"] - F.col("mean")) * (p["m"] - F.col("mean")))
+    return held.select(*keys, "feature", "mean", F.sqrt(F.try_divide(F.when(F.col("n") > 0, F.greatest(ss, F.lit(0.0))), F.col("rows") - 1)).alias("std"))
 
 
 def norm_by_window(df: DataFrame, size: WindowSize, cols: Sequence[str], windows: DataFrame) -> DataFrame:

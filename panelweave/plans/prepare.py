@@ -30,7 +30,7 @@ from panelweave.operators.windows import (
     windows_table,
     with_index,
 )
-from panelweave.session import cut_lineage
+from panelweave.session import staged
 from panelweave.sources.tables import fingerprint
 from panelweave.spec import PanelSpec, q
 
@@ -161,8 +161,8 @@ class SamplePlan:
         return self._size
 
     def compute(self, materialise: bool = False) -> Samples:
-        """Lazy tables for all blocks. The panel is read for its calendar, samples, parameters and rejects; where it is
-        derived from raw rows, ``materialise`` writes it to the checkpoint folder first."""
+        """Lazy tables for all blocks; the calendar and the windows are written first. The panel is read for its calendar, samples,
+        parameters and rejects; where it is derived from raw rows, ``materialise`` writes it to the checkpoint folder, too."""
         size = self._need_size()
         if self._split is None:
             raise ValueError("call block_rolling_split(...) or single_time_rolling(...) first")
@@ -171,9 +171,10 @@ class SamplePlan:
         order = [c for c in self._latest_by if c not in (*cols, *spec.keys)]
         panel = self.panel.select(spec.comp, spec.period, *[q(c) for c in (*cols, *order) if c not in spec.keys])
         if materialise:
-            panel = cut_lineage(panel)
-        cal = calendar(panel, spec)
-        windows = windows_table(cal, spec, size, *self._split)
+            panel = staged(panel, "panel")
+        # Both are as long as the calendar; staged, their size is known and they are not unfolded again at every use.
+        cal = staged(calendar(panel, spec), "calendar")
+        windows = staged(windows_table(cal, spec, size, *self._split).coalesce(1), "windows")
         raw = with_index(panel, spec, cal)
         # Dealt out by entity first: de-duplication, samples and parameters per entity share that shuffle.
         last = [q(c) for c in dict.fromkeys([*self._latest_by, *cols])]

@@ -10,13 +10,14 @@ from panelweave.operators import penalised as pen
 from panelweave.operators.boosting import boost_blocks, boost_settings
 from panelweave.operators.leastsq import coefficient_table, fit_least_squares, predict
 from panelweave.operators.ordered import pct_change
+from panelweave.operators.orders import chosen_orders, order_predictions, order_search
 from panelweave.plans.panel_sql import SUPPLIER, with_panels
 from panelweave.plans.prepare import SamplePlan
 from panelweave.plans.queries_ordered import KEYS
 from panelweave.plans.queries_windows import COMPLETE_SQL
 from panelweave.plans.registry import query
 from panelweave.plans.views import SPEC, panel_supplier
-from panelweave.session import cut_lineage
+from panelweave.session import cut_lineage, staged
 from panelweave.spec import q
 
 SIGNALS = ["p_sales", "p_inventory", "grossmargin", "p_eps"]
@@ -179,6 +180,38 @@ def q_eliminate_features(spark, sf_dir):
     return kept.select("block", F.col("features")[0].alias("kept"))
 
 
+FOLDS = 5
+# Every left-out fold: moments of the other rows, both slopes, and the one that elimination leaves.
+FOLDS_SQL = """
+, fs AS (SELECT *, (comp + start) % 5 AS fold FROM (SELECT s.block, s.comp, s.start, ld.x1, ld.x2, ld.y FROM smp s JOIN ld ON ld.comp = s.comp AND ld.idx = s.start WHERE s.split = 'train')),
+fo AS (SELECT DISTINCT block, fold AS out_ FROM fs),
+fm AS (SELECT f.block, out_, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2
+       FROM fs f JOIN fo ON f.block = fo.block AND f.fold <> out_ GROUP BY 1, 2),
+fb AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM fm),
+fe AS (SELECT *, CASE WHEN abs(b1) * sqrt(v1) <= abs(b2) * sqrt(v2) THEN 0.0 ELSE c1 / v1 END AS s1, CASE WHEN abs(b1) * sqrt(v1) <= abs(b2) * sqrt(v2) THEN c2 / v2 ELSE 0.0 END AS s2 FROM fb),
+er AS (SELECT f.block, avg(power(y - my - b1 * (x1 - m1) - b2 * (x2 - m2), 2)) AS two, avg(power(y - my - s1 * (x1 - m1) - s2 * (x2 - m2), 2)) AS one
+       FROM fs f JOIN fe ON f.block = fe.block AND f.fold = out_ GROUP BY 1),
+wm AS (SELECT block, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM fs GROUP BY 1),
+wk AS (SELECT block, CASE WHEN abs(c1 * v2 - c2 * c12) * sqrt(v1) <= abs(c2 * v1 - c1 * c12) * sqrt(v2) THEN 'p_eps' ELSE 'grossmargin' END AS kept FROM wm)
+SELECT block, CAST(1 AS INTEGER) AS n_features, round(one, 8) AS cv_mse, kept AS features, one <= two AS is_best FROM er JOIN wk USING (block)
+UNION ALL SELECT block, 2, round(two, 8), 'grossmargin,p_eps', two < one FROM er"""
+
+
+@query("q_eliminate_folds", with_panels(SUPPLIER, body=SIGNAL_SQL + FOLDS_SQL))
+def q_eliminate_folds(spark, sf_dir):
+    """Feature count of each block by the error on left-out folds, from one pass of moments."""
+    train = signal_samples(spark, sf_dir).filter("split = 'train'")
+    out = pen.elimination_folds(train, ["block"], (F.col("comp") + F.col("start")) % FOLDS, "target_p_eps", PAIR)
+    return out.select("block", "n_features", F.round("cv_mse", 8).alias("cv_mse"), F.array_join("features", ",").alias("features"), "is_best")
+
+
+@query("q_evidence_ridge")
+def q_evidence_ridge(spark, sf_dir):
+    """Bayesian ridge of each block: both precisions and the shrunk coefficients."""
+    fits = pen.evidence_fits(signal_samples(spark, sf_dir).filter("split = 'train'"), ["block"], "target_p_eps", SIGNALS)
+    return fits.select("block", "n", "noise_precision", "weight_precision", "effective", *[F.col("coef")[i].alias(c) for i, c in enumerate(["intercept", *SIGNALS])])
+
+
 BOOST_GRID = {
     "depth": [1, 2, 3],
     "step": [0.05, 0.1, 0.3],
@@ -247,8 +280,8 @@ SELECT *, "order" = (SELECT arg_min("order", (mae, "order")) FROM er WHERE split
 )
 def q_ar_fit(spark, sf_dir):
     """Order search: mean errors of one-step forecasts per order and split, best order by val."""
-    p = cut_lineage(panel_supplier(spark, sf_dir).select(*KEYS, "eps"))
-    out = m.order_search(p, SPEC, "eps", ORDERS, _until(p))
+    p = staged(panel_supplier(spark, sf_dir).select(*KEYS, "eps"))
+    out = order_search(p, SPEC, "eps", ORDERS, _until(p))
     return out.select("order", "split", F.round("mae", 2).alias("mae"), F.round("mse", 0).alias("mse"), F.round("mda", 6).alias("mda"), F.round("pos", 6).alias("pos"), "is_best")
 
 
@@ -261,11 +294,29 @@ def q_ar_fit(spark, sf_dir):
     ),
 )
 def q_ar_predictions(spark, sf_dir):
-    p = panel_supplier(spark, sf_dir).select(*KEYS, "eps")
-    out = m.order_predictions(p, SPEC, "eps", [(1, 0), (1, 1)], _until(p))
+    p = staged(panel_supplier(spark, sf_dir).select(*KEYS, "eps"))
+    out = order_predictions(p, SPEC, "eps", [(1, 0), (1, 1)], _until(p))
     return out.select("order", "split", "comp", F.round("y_true", 4).alias("y_true"), F.round("y_pred", 4).alias("y_pred"))
 
 
+#: All orders with up to two lags, one difference and two moving-average terms.
+ARMA_ORDERS = [(p, d, shocks) for p in range(3) for d in range(2) for shocks in range(3)]
+
+
+@query("q_arma_search")
+def q_arma_search(spark, sf_dir):
+    """Mean errors of all orders (p, d, q) up to (2, 1, 2) per split, best by val; the panel is read once."""
+    p = staged(panel_supplier(spark, sf_dir).select(*KEYS, "eps"))
+    return order_search(p, SPEC, "eps", ARMA_ORDERS, _until(p))
+
+
+@query("q_arma_chosen")
+def q_arma_chosen(spark, sf_dir):
+    """Every entity's forecast by the order that its own information criterion picks."""
+    p = staged(panel_supplier(spark, sf_dir).select(*KEYS, "eps"))
+    return chosen_orders(p, SPEC, "eps", ARMA_ORDERS, _until(p))
+
+
 @query("q_perm_importance")
 def q_perm_importance(spark, sf_dir):
     """Rise of the absolute error when a signal is permuted over the rows of train, and of val; five repeats."""

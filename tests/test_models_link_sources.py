@@ -12,6 +12,7 @@ from panelweave.operators import link as ln
 from panelweave.operators import models as m
 from panelweave.operators.boosting import boost_blocks, boost_settings
 from panelweave.operators import penalised as pen
+from panelweave.operators.orders import order_predictions
 from panelweave.operators.leastsq import coefficient_table, fit_least_squares, group_moments, merge_moments, predict, solve_coefficients, student_p
 from panelweave.plans import runs
 from panelweave.plans.prepare import SamplePlan
@@ -200,7 +201,7 @@ def test_order_predictions_match_direct_fits(spark):
     rng = np.random.default_rng(8)
     walks = {c: np.cumsum(rng.normal(size=30)) + 10 for c in range(5)}
     df = spark.createDataFrame([(c, t, "g", float(v)) for c, w in walks.items() for t, v in enumerate(w)], "comp long, period long, industry string, v double")
-    got = {(r.order, r.split, r.comp): r.y_pred for r in m.order_predictions(df, SPEC, "v", [(0, 1), (2, 0), (2, 1)], {"val": (27, 28), "test": (28, 29)}).collect()}
+    got = {(r.order, r.split, r.comp): r.y_pred for r in order_predictions(df, SPEC, "v", [(0, 1), (2, 0), (2, 1)], {"val": (27, 28), "test": (28, 29)}).collect()}
     for c, w in walks.items():
         for split, last in (("val", 27), ("test", 28)):
             past = w[: last + 1]
