@@ -316,17 +316,20 @@ def _components(sets: DataFrame, percent: int) -> DataFrame:
     several = rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     rows = stage(rows.join(several, "token", "left_semi"), "prefixes")
     labels = sets.select("cls", F.col("cls").alias("root"))
+    rows = rows.withColumn("root", F.col("cls"))
     classes = sets.count()
     for k in range(MAX_ROUNDS):
-        links = stage(_verify(_pairs(rows.join(labels, "cls"), percent, k), sets, percent), "links")
+        links = stage(_verify(_pairs(rows, percent, k), sets, percent), "links")
         labels = _settle(labels, links)
-        per_list = rows.join(labels, "cls").groupBy("token", "root").agg(F.count("*").cast("double").alias("k")).groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("ss"))
+        # Lists whose classes are all in one component are settled and leave; the others go on with their new labels.
+        held = rows.drop("root").join(labels, "cls")
+        open_ = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
+        rows = stage(held.join(open_, "token", "left_semi"), "prefixes")
+        per_list = rows.groupBy("token", "root").agg(F.count("*").cast("double").alias("k")).groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("ss"))
         if (per_list.agg(F.sum((F.col("s") * F.col("s") - F.col("ss")) / 2)).first()[0] or 0) <= PAIRS_PER_CLASS * classes or k and links.count() < classes / 100:
             break
-    held = rows.join(labels, "cls")
-    # Lists whose classes are all in one component are settled. Of several lists that two classes share, the first pairs them.
-    open_ = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-    held = held.join(open_, "token", "left_semi").join(sets.mapInArrow(_heads, "cls long, head array<long>"), "cls")
+    # Of several lists that two classes share, the first pairs them.
+    held = rows.join(sets.mapInArrow(_heads, "cls long, head array<long>"), "cls")
     held = stage(held.withColumn("before", F.slice("head", F.lit(1), F.col("pos").cast("int"))).drop("head"), "prefixes")
     x, y = held.alias("x"), held.alias("y")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", percent) & ~F.arrays_overlap("x.before", "y.before"))
