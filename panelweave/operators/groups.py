@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.scalars import logistic
+from panelweave.session import staged
 from panelweave.spec import PanelSpec, q
 
 # Copies of each group statistic; a hot group's rows spread over this many join partitions.
@@ -86,19 +87,26 @@ def median_count_per_period(df: DataFrame, spec: PanelSpec, cols: Sequence[str])
     return counts.agg(*[F.median(q(c)).alias(c) for c in cols])
 
 
-def asof_lookup(left_keys: DataFrame, right: DataFrame, on: str, value_cols: Sequence[str]) -> DataFrame:
-    """For every distinct key of ``left_keys``: the values of the last right key at or before it.
+def asof_lookup(left_keys: DataFrame, right: DataFrame, on: str, value_cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """For every distinct key of ``left_keys``: the values of the last right key at or before it, within the same ``by``.
 
-    Both sides hold one row per period, a set bounded by the calendar, so one ordered window over their union
-    is small by construction. Join the result to the rows with ``join_group`` or a plain equi-join.
+    Keys of both sides are dealt out in sorted ranges. A range looks up its own keys; what a range starts with is the last row of
+    the ranges before it, carried over a table of one row per range and group. So no task holds more than a range, however many
+    keys there are. Of several right rows with one key the greatest counts. A key before every right key has no values; keys of a null group drop out.
     """
-    keys = left_keys.select(q(on)).distinct().withColumn("__mine", F.lit(True))
-    row = F.struct(*[q(c) for c in value_cols])
-    marks = right.select(q(on), row.alias("__row"))
-    both = keys.join(marks, on, "full_outer")
-    w = Window.orderBy(on).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = both.select(on, "__mine", F.last("__row", ignorenulls=True).over(w).alias("__row"))
-    return carried.filter("__mine").select(on, *[F.col("__row")[c].alias(c) for c in value_cols])
+    by, keys = list(by), [*by, on]
+    left = left_keys.select(*[q(c) for c in keys]).distinct().withColumn("__mine", F.lit(True))
+    marks = right.groupBy(*[q(c) for c in keys]).agg(F.max(F.struct(*[q(c) for c in value_cols])).alias("__row"))
+    both = left.join(marks, keys, "full_outer").filter(q(on).isNotNull())
+    order = [q(c) for c in keys]
+    dealt = staged(both.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "asof")
+    ends = dealt.groupBy(*by, "__range").agg(F.max_by("__row", F.when(F.col("__row").isNotNull(), q(on))).alias("__end"))
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, "__range", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
+    inside = Window.partitionBy(*by, "__range").orderBy(on).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = dealt.select(*keys, "__mine", "__range", F.last("__row", ignorenulls=True).over(inside).alias("__row"))
+    found = own.filter("__mine").join(carried, [*by, "__range"]).withColumn("__row", F.coalesce("__row", "__before"))
+    return found.select(*keys, *[F.col("__row")[c].alias(c) for c in value_cols])
 
 
 def group_blend(df: DataFrame, spec: PanelSpec, cols: Sequence[str]) -> DataFrame:

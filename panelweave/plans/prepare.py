@@ -5,10 +5,11 @@ The setters only record settings; ``compute`` returns lazy DataFrames for all bl
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +17,7 @@ from panelweave.functions.scalars import finite
 from panelweave.operators.evaluate import split_statistics
 from panelweave.operators.quality import dedupe_last
 from panelweave.operators.scale import norm_by_block, norm_by_window, norm_by_window_and_entity, scale_samples
-from panelweave.operators.select import include_exclude, keep_members
+from panelweave.operators.select import include_exclude, keep_members, with_position
 from panelweave.operators.windows import (
     WindowSize,
     calendar,
@@ -87,6 +88,40 @@ class Samples:
         """Cache the samples, partitioned for reading one block and split."""
         self.samples.write.mode("overwrite").partitionBy("block", "split").parquet(path)
 
+    def store(self, table: str, buckets: int = 8) -> None:
+        """Keep the samples as a table, partitioned by block and bucketed by entity, next to the windows, the parameters and the card.
+
+        Grouping or joining the stored samples by entity needs no shuffle, reading a block reads its folder alone.
+        """
+        spark = self.samples.sparkSession
+        self.samples.write.mode("overwrite").partitionBy("block").bucketBy(buckets, self.spec.comp).sortBy(self.spec.comp, "start").saveAsTable(table)
+        self.windows.coalesce(1).write.mode("overwrite").saveAsTable(f"{table}_windows")
+        if self.norm is not None:
+            self.norm.write.mode("overwrite").saveAsTable(f"{table}_norm")
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS {table}_norm")
+        self.rejects.write.mode("overwrite").saveAsTable(f"{table}_rejects")
+        kept = {"features": self.features, "targets": self.targets, "spec": asdict(self.spec), "settings": self.settings}
+        spark.createDataFrame([(json.dumps(kept),)], "card string").write.mode("overwrite").saveAsTable(f"{table}_card")
+
+    @classmethod
+    def load(cls, spark: SparkSession, table: str, panel: DataFrame | None = None) -> Samples:
+        """What ``store`` kept; the panel itself is not stored and only ``series`` needs it."""
+        kept = json.loads(spark.table(f"{table}_card").first()["card"])
+        norm = spark.table(f"{table}_norm") if spark.catalog.tableExists(f"{table}_norm") else None
+        return cls(PanelSpec(**kept["spec"]), kept["features"], kept["targets"], spark.table(f"{table}_windows"), spark.table(table), spark.table(f"{table}_rejects"), norm, panel, kept["settings"])
+
+    def example(self, numbers: Sequence[int], seed: int = 7) -> DataFrame:
+        """Samples by number (0, 1, ... in the order of a seeded hash), with history, truth and the parameters they were scaled by."""
+        keys = ["block", "split", self.spec.comp, "start"]
+        placed = with_position(self.samples.withColumn("__h", F.xxhash64(*[q(k) for k in keys], F.lit(seed))), "__h", "number", keys).drop("__h")
+        chosen = placed.filter(F.col("number").isin([int(n) for n in numbers]))
+        if self.norm is None:
+            return chosen.withColumn("norm", F.lit(None).cast("array<struct<feature:string,mean:double,std:double>>"))
+        by = [c for c in self.norm.columns if c not in ("feature", "mean", "std")]
+        norm = self.norm.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("feature", "mean", "std"))).alias("norm"))
+        return chosen.join(norm, by, "left")
+
 
 class SamplePlan:
     def __init__(self, panel: DataFrame, spec: PanelSpec, features: Sequence[str], targets: Sequence[str], latest_by: Sequence[str] = ()):

@@ -162,3 +162,17 @@ def q_content_hash(spark, sf_dir):
     p = panel_supplier(spark, sf_dir)
     row = F.xxhash64(*[q(c) for c in p.columns]).cast("decimal(38,0)")
     return p.agg(F.sum(row).cast("string").alias("content_hash"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "q_content_digest",
+    with_panels(
+        SUPPLIER,
+        body="""SELECT CAST(sum(CAST('0x' || substr(md5(concat_ws('|', comp, industry, period, CAST(sales AS BIGINT), CAST(employeenum AS BIGINT))), 1, 15) AS HUGEINT)) AS VARCHAR) AS content_digest, count(*) AS n FROM panel_supplier""",
+    ),
+)
+def q_content_digest(spark, sf_dir):
+    """The same by MD5, which other engines compute alike: the sum of 60 bits of each row's digest."""
+    p = panel_supplier(spark, sf_dir)
+    row = F.md5(F.concat_ws("|", *[q(c).cast("string") for c in ("comp", "industry", "period")], *[q(c).cast("bigint").cast("string") for c in ("sales", "employeenum")]).cast("binary"))
+    return p.agg(F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("content_digest"), F.count(F.lit(1)).alias("n"))
