@@ -221,7 +221,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, text_column: str = "text",
     clash = {x.lower() for x in keep} & set(RESULTS)
     if clash:
         raise ValueError(f"columns {sorted(clash)} of the documents have names of results")
-    rows = only(items, id=item_id, text=item_text).select(F.col("id").cast("string").alias("id"), "text").filter("text is not null")
+    rows = only(items, id=item_id, text=item_text).select(F.col("id").cast("string").alias("id"), "text").filter("text is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-int(total) // block_bytes))
     text = only(docs, text=text_column)

@@ -22,9 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from panelweave.llm.common import only
-from panelweave.llm.wordhash import _LOWER, text_slices
+from panelweave.llm.common import only, stage
+from panelweave.llm.wordhash import LOWER, text_slices
 
 BUCKETS = 1 << 16
 SEGMENT = 4
@@ -47,7 +48,7 @@ class Languages:
 
 def trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of each letter's trigram, first letter of each segment, document of each segment)."""
-    low = _LOWER[raw]
+    low = LOWER[raw]
     letter = _LETTER[low]
     shown = np.where(letter, low, 32).astype(np.uint32)
     at = np.flatnonzero(letter)
@@ -85,18 +86,25 @@ def _trained(names: list[str]):
 
 
 def learn_languages(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", max_docs: int = MAX_DOCS) -> Languages:
-    """Trigram tables of the languages of ``labelled``; rows without a text or a language are passed over."""
-    rows = only(labelled, text=text_column, lang=lang_column).filter("text is not null and lang is not null")
-    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(TABLE_BYTES // (4 * BUCKETS) + 1).collect()}
-    names = sorted(found)
+    """Trigram tables of the languages of ``labelled``; rows without a text or a language are passed over.
+
+    A language is learned from its ``max_docs`` distinct texts (all, if fewer) that come first in a hashed order, each taken once, so a
+    text with many copies neither crowds out the others nor takes its language along. A language whose texts have no
+    trigram is left out.
+    """
+    rows = only(labelled, text=text_column, lang=lang_column).filter("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
+    texts = rows.groupBy("lang", "h").agg(F.count("*").alias("copies"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))
+    drawn = stage(texts.withColumn("place", place).filter(F.col("place") <= max_docs).select("lang", "h"), "drawn")
+    names = sorted(r["lang"] for r in drawn.select("lang").distinct().limit(TABLE_BYTES // (4 * BUCKETS) + 1).collect())
     if 4 * BUCKETS * len(names) > TABLE_BYTES:
         raise ValueError(f"too many languages for tables of {TABLE_BYTES} bytes")
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, max_docs / n))) for x, n in found.items()], F.lit(0.0)) if found else F.lit(0.0)
-    rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
-    got = rows.mapInArrow(_trained(names), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    once = rows.join(drawn, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
+    got = once.select("text", "lang").mapInArrow(_trained(names), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(names), BUCKETS))
     counts[got["lang"].to_numpy(int), got["bucket"].to_numpy(int)] = got["n"].to_numpy(float)
-    counts += 0.1
+    known = counts.sum(1) > 0
+    names, counts = [x for x, k in zip(names, known, strict=True) if k], counts[known] + 0.1
     return Languages(names, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
 
 

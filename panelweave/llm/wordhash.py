@@ -17,8 +17,8 @@ import pyarrow as pa
 
 SLICE_BYTES = 1_000_000
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 #: Bytes that are not white space: everything but 0x20 and 0x09-0x0D.
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -105,7 +105,7 @@ def text_slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[slice, np.
 def words_of(column: pa.Array, letters: np.ndarray = NOT_SPACE) -> Iterator[Words]:
     """Lower-case A-Z, cut words and hash them, slice by slice."""
     for rows, raw, off in text_slices(column):
-        low = _LOWER[raw]
+        low = LOWER[raw]
         inside = letters[low]
         edge = np.empty(len(low) + 1, dtype=bool)
         edge[1:-1] = inside[1:] != inside[:-1]

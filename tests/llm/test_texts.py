@@ -260,3 +260,18 @@ def test_extra_columns_are_left_alone(spark):
     docs = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f")])
     kept = jaccard_join.drop_similar(docs).select(*[F.col(c) for c in docs.columns]).collect()
     assert [tuple(r) for r in kept] == [tuple(docs.filter("doc_id = 1").first())]
+
+
+@pytest.mark.parametrize("bound", [1, 5, 50])
+def test_a_language_of_copies_is_learned(spark, bound):
+    rows = [("der hund lief schnell durch den dunklen wald", "de")] * 400 + [(f"the cat number {i} sat on the mat", "en") for i in range(40)] + [("xy", "short"), ("  ", "blank"), (None, "none")]
+    known = langmix.learn_languages(spark.createDataFrame(rows, "text string, lang string").repartition(4), max_docs=bound)
+    assert "de" in known.names and "en" in known.names and "blank" not in known.names and "none" not in known.names
+    assert np.ptp(known.logs[known.names.index("de")]) > 1
+
+
+def test_repeated_items_are_one(spark):
+    items = spark.createDataFrame([("i", "one two three four five six seven eight nine ten")] * 50, "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x one two three four five six seven eight nine ten y")], "doc_id long, text string")
+    got = decontam.benchmark_hits(docs, items, block_bytes=60).collect()
+    assert [(r["n_hit"], r["items"]) for r in got] == [(10, ["i"])]
