@@ -33,8 +33,8 @@ from panelweave.llm.wordhash import span_hashes, text_slices
 
 BLOCK_IDS = 1 << 16
 #: Pieces whose ids a worker keeps (beyond it starts anew), and slots of the table that finds them.
-CACHE_PIECES = 700_000
-CACHE_SLOTS = 1 << 21
+CACHE_PIECES = 400_000
+CACHE_SLOTS = 1 << 20
 
 # Classes of bytes: other (from 0x80 up), letter, digit, punctuation and control, white space, the space itself.
 _OTHER, _LETTER, _DIGIT, _MARK, _SPACE, _BLANK = range(6)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 400_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -42,23 +42,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _PRIME = (1 << 31) - 1
-#: Sums of byte values times powers (below 2**40) of up to so many bytes stay below 2**63.
+#: Bytes whose words are hashed together; powers are kept up to so many. Sums of byte values times powers (below 2**40) of up to
+#: ``_UNREDUCED`` bytes stay below 2**63.
+_RUN = 1 << 18
 _UNREDUCED = 1 << 23
 
 
 class _Powers:
-    """Powers of a number modulo ``_PRIME`` and of its inverse, grown on demand."""
+    """Powers of a number modulo ``_PRIME`` and of its inverse; those that only a longer word needs are not kept."""
 
     def __init__(self, base: int) -> None:
         self.bases = base, pow(base, -1, _PRIME)
         self.tables = [np.ones(1, dtype=np.uint64) for _ in self.bases]
 
     def of(self, n: int) -> list[np.ndarray]:
+        out = []
         for k, base in enumerate(self.bases):
-            while len(self.tables[k]) < n:
-                held = self.tables[k]
-                self.tables[k] = np.concatenate([held, held * np.uint64(pow(base, len(held), _PRIME)) % np.uint64(_PRIME)])
-        return [t[:n] for t in self.tables]
+            held = self.tables[k]
+            while len(held) < n:
+                held = np.concatenate([held, held * np.uint64(pow(base, len(held), _PRIME)) % np.uint64(_PRIME)])
+            if len(held) <= 2 * _RUN:
+                self.tables[k] = held
+            out.append(held[:n])
+        return out
 
 
 _POWERS = [_Powers(1_403_580_769), _Powers(728_919_667)]
@@ -123,7 +129,18 @@ def words_of(column: pa.Array, letters: np.ndarray = NOT_SPACE) -> Iterator[Word
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each span."""
+    """Hash of the bytes of each span; spans ascend and do not overlap. They are hashed in runs of ``_RUN`` bytes or one longer span."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(int(np.searchsorted(ends, starts[at] + _RUN, "right")), at + 1)
+        base = int(starts[at])
+        out[at:to] = _run_hashes(raw[base : int(ends[to - 1])], starts[at:to] - base, ends[at:to] - base)
+        at = to
+    return out
+
+
+def _run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     value = raw.astype(np.uint64) + np.uint64(1)
     out = np.zeros(len(starts), dtype=np.uint64)
     for powers in _POWERS:

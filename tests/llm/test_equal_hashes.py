@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from panelweave.llm import token_planes
+from panelweave.llm import token_planes, wordhash
 from panelweave.llm.decontam import benchmark_hits
 from panelweave.llm.jaccard_join import similar_texts
 from panelweave.llm.queries import tokenizer_path
@@ -49,3 +49,15 @@ def test_pieces_with_equal_hashes_keep_their_own_ids(monkeypatch):
         raw = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
         ids, n = encoder.encode(raw, np.r_[0, np.cumsum([len(t) for t in texts])])
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == encoder.whole(texts)
+
+
+def test_hashes_do_not_depend_on_runs(monkeypatch):
+    rng = np.random.default_rng(9)
+    raw = rng.integers(0, 256, 5000, dtype=np.uint8)
+    cut = np.unique(rng.integers(0, 5000, 600))
+    whole = span_hashes(raw, cut[:-1], cut[1:])
+    assert len(set(whole.tolist())) == len({raw[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)})
+    for run in (1, 17, 900):
+        monkeypatch.setattr(wordhash, "_RUN", run)
+        assert (span_hashes(raw, cut[:-1], cut[1:]) == whole).all()
+    assert max(len(t) for p in wordhash._POWERS for t in p.tables) <= 1 << 19
