@@ -169,7 +169,10 @@ def test_importance_within_groups_at_any_partitioning(spark):
     df = spark.createDataFrame(rows, "id long, g string, a double, b double, y double")
     score = lambda d: d.withColumn("y_pred", 2 * F.col("a") + F.col("b"))
     one, many = (sorted(map(tuple, m.permutation_importance(df.repartition(p), "id", "y", ["a", "b"], score, ["g"]).collect())) for p in (1, 13))
-    assert one == many and len(one) == 4 and all(a[2] > b[2] > 0 for a, b in zip(one[::2], one[1::2], strict=True))
+    # The same values change places; only the order in which errors are added up may differ.
+    assert [r[:2] for r in one] == [r[:2] for r in many] and len(one) == 4
+    assert [v for r in one for v in r[2:]] == pytest.approx([v for r in many for v in r[2:]], rel=1e-12)
+    assert all(a[2] > b[2] > 0 for a, b in zip(one[::2], one[1::2], strict=True))
     numbers = m.numbered(df.repartition(5), ["g"], "id", 1).collect()
     for g in "ab":
         own = [r for r in numbers if r["g"] == g]
