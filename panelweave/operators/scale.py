@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.scalars import zero_if_missing
 from panelweave.operators.quantiles import exact_quantiles
+from panelweave.operators.radix import grouped_quantiles
 from panelweave.operators.windows import WindowSize, explode_to_windows
+from panelweave.session import staged
 from panelweave.spec import PanelSpec, q
 
 
@@ -140,6 +142,29 @@ def robust_scale(df: DataFrame, params: dict[str, tuple[float, float]], centerin
     )
 
 
+def robust_params_by(train: DataFrame, keys: Sequence[str], cols: Sequence[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """One row per group with ``__mid_<col>`` and ``__width_<col>``: median and quantile range fitted on the group's own rows."""
+    got = grouped_quantiles(train, keys, {c: [low, 0.5, high] for c in cols})
+    at = lambda c, p: F.max(F.when((F.col("column") == c) & (F.col("prob") == p), F.col("value")))
+    wide = got.groupBy(*[q(k) for k in keys]).agg(*[e for c in cols for e in (at(c, 0.5).alias(f"__mid_{c}"), (at(c, float(high)) - at(c, float(low))).alias(f"__width_{c}"))])
+    return staged(wide, "robust-params")
+
+
+def robust_scale_by(df: DataFrame, params: DataFrame, keys: Sequence[str], cols: Sequence[str], centering: bool = False) -> DataFrame:
+    """``robust_scale`` with the parameters of each row's group; a group without parameters keeps its values."""
+    other = params.select(*[q(k).alias(f"__p_{k}") for k in keys], *[q(f"__{n}_{c}") for c in cols for n in ("mid", "width")])
+    same = F.lit(True)
+    for k in keys:
+        same = same & q(k).eqNullSafe(q(f"__p_{k}"))
+    joined = df.join(other, same, "left")
+
+    def one(c: str) -> Column:
+        width = F.coalesce(F.nullif(q(f"__width_{c}"), F.lit(0.0)), F.lit(1.0))
+        return ((q(c) - F.coalesce(q(f"__mid_{c}"), F.lit(0.0))) if centering else q(c)) / width
+
+    return joined.withColumns({c: one(c) for c in cols}).select(*[q(c) for c in df.columns])
+
+
 def standard_params(train: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     row = train.agg(*[f(q(c)).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     return {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(cols)}

@@ -9,6 +9,7 @@ from panelweave.operators import quality as qual
 from panelweave.operators import select as sel
 from panelweave.operators.ordered import fill_linear
 from panelweave.operators.quantiles import exact_quantiles
+from panelweave.operators.radix import grouped_quantiles
 from panelweave.plans.panel_sql import CUSTOMER, EVENT, RATIOS, SUPPLIER, with_panels
 from panelweave.plans.queries_ordered import FILL_LINEAR_SQL
 from panelweave.plans.registry import query
@@ -153,6 +154,22 @@ def q_quantiles(spark, sf_dir):
     return spark.range(1).select(*[F.round(F.lit(v), 6).alias(n) for n, v in zip(("q02", "q50", "q98"), got)])
 
 
+@query(
+    "q_group_quantiles",
+    """WITH v AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS a, l_discount - 0.05 AS b FROM lineitem)
+SELECT l_returnflag, l_linestatus, 'price' AS "column", round(quantile_cont(a, 0.02), 6) AS low, round(quantile_cont(a, 0.5), 6) AS mid, round(quantile_cont(a, 0.98), 6) AS high FROM v GROUP BY ALL
+UNION ALL
+SELECT l_returnflag, l_linestatus, 'rebate', round(quantile_cont(b, 0.02), 6), round(quantile_cont(b, 0.5), 6), round(quantile_cont(b, 0.98), 6) FROM v GROUP BY ALL""",
+)
+def q_group_quantiles(spark, sf_dir):
+    """Exact quantiles of two columns in every group at once."""
+    keys = ["l_returnflag", "l_linestatus"]
+    li = load(spark, sf_dir, "lineitem").select(*keys, F.col("l_extendedprice").alias("price"), (F.col("l_discount") - 0.05).alias("rebate"))
+    got = grouped_quantiles(li, keys, {c: [0.02, 0.5, 0.98] for c in ("price", "rebate")})
+    at = lambda p: F.round(F.max(F.when(F.col("prob") == p, F.col("value"))), 6)
+    return got.groupBy(*keys, "column").agg(at(0.02).alias("low"), at(0.5).alias("mid"), at(0.98).alias("high"))
+
+
 @query(
     "q_low_information",
     with_panels(

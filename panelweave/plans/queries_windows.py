@@ -283,6 +283,24 @@ def q_robust_scale_centred(spark, sf_dir):
     return sc.robust_scale(p, params, centering=True).select(*KEYS, F.round("sales", 8).alias("sales"))
 
 
+@query(
+    "q_robust_scale_blocks",
+    with_panels(
+        SUPPLIER,
+        body=COMPLETE_SQL + """
+, lng AS (SELECT s.block, s.split, s.lower, s.comp, p.idx - s.start AS step, p.inventory FROM smp s JOIN pi p ON p.comp = s.comp AND p.idx BETWEEN s.start AND s.start + 3)
+, t AS (SELECT block, quantile_cont(inventory, 0.98) - quantile_cont(inventory, 0.02) AS a, quantile_cont(inventory, 0.5) AS m FROM lng WHERE split = 'train' GROUP BY block)
+SELECT block, split, lower, comp, step, round((inventory - coalesce(m, 0)) / coalesce(nullif(a, 0), 1), 8) AS inventory FROM lng LEFT JOIN t USING (block)""",
+    ),
+)
+def q_robust_scale_blocks(spark, sf_dir):
+    """Median and quantile range of each block's own train rows scale all of its splits."""
+    long = supplier_plan(spark, sf_dir, ["inventory"], ["inventory"]).compute(materialise=True).long()
+    params = sc.robust_params_by(long.filter("split = 'train'"), ["block"], ["inventory"])
+    done = sc.robust_scale_by(long, params, ["block"], ["inventory"], centering=True)
+    return done.select("block", "split", "lower", "comp", "step", F.round("inventory", 8).alias("inventory"))
+
+
 @query(
     "q_standard_scale",
     with_panels(

@@ -1,9 +1,12 @@
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from panelweave.operators import scale as sc
 from panelweave.operators import windows as win
 from panelweave.operators.quantiles import exact_quantiles
+from panelweave.operators.radix import from_ordered_bits, grouped_quantiles, with_ordered_bits
 from panelweave.operators.select import position_ranges, with_position
 from panelweave.plans.prepare import SamplePlan
 from panelweave.plans.views import SPEC
@@ -185,6 +188,58 @@ def test_exact_quantiles(spark, bracket):
     assert exact_quantiles(df.filter("v > 1e12"), {"v": [0.5]})["v"] == [None]
 
 
+def test_ordered_bits(spark):
+    rng = np.random.default_rng(8)
+    raw = rng.integers(0, 2**64, 4000, dtype=np.uint64).view(np.float64)
+    powers = np.concatenate([np.ldexp(1.0, np.arange(-1074, 1024)), np.nextafter(np.ldexp(1.0, np.arange(-1000, 1024)), 0)])
+    x = np.concatenate([raw[~np.isnan(raw)], powers, -powers, [0.0, -0.0, np.inf, -np.inf, np.finfo(float).max, 5e-324]])
+    want = np.abs(x).view(np.int64) * np.where(np.signbit(x), -1, 1)
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(x)), "x": x}))
+    got = with_ordered_bits(df, ["i"], ["x"]).withColumn("y", from_ordered_bits(F.col("__k0"))).orderBy("i").toPandas()
+    assert (got["__k0"].to_numpy() == want).all() and (got["y"].to_numpy() == x).all()
+    nan = spark.range(1).select(F.lit(float("nan")).alias("a"), F.lit(None).cast("double").alias("b"))
+    assert tuple(with_ordered_bits(nan, [], ["a", "b"]).first()) == (None, None)
+
+
+@pytest.mark.parametrize(("broadcast", "stage"), [("10MB", True), ("-1", True), ("10MB", False)])
+def test_grouped_quantiles(spark, broadcast, stage):
+    rng = np.random.default_rng(9)
+    rows = [(g, f"h{i % 2}", float(rng.normal() * 10.0 ** rng.integers(-5, 6)), None if i % 3 else -1.0 * i) for i in range(900) for g in ([None] if i % 9 == 0 else ["hot"] if i % 3 else [f"g{i % 7}"])]
+    rows += [("hot", "h0", 7.0, None)] * 500 + [("void", "h0", None, None), ("one", "h1", 3.5, float("inf"))]
+    df = spark.createDataFrame(rows, "g string, h string, a double, b double").repartition(5)
+    probs = {"a": [0.0, 0.02, 0.5, 0.98, 1.0], "b": [0.25, 0.5]}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        out = {(r.g, r.h, r["column"], r.prob): r.value for r in grouped_quantiles(df, ["g", "h"], probs, stage).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    held = {}
+    for g, h, a, b in rows:
+        for c, v in (("a", a), ("b", b)):
+            if v is not None:
+                held.setdefault((g, h, c), []).append(v)
+    want = {(*key, p): float(np.quantile(v, p)) for key, v in held.items() for p in probs[key[2]]}
+    # One infinite value: NumPy makes it NaN.
+    want.update({("one", "h1", "b", p): float("inf") for p in probs["b"]})
+    assert set(out) == set(want) and ("void", "h0", "a", 0.5) not in out
+    assert all(out[k] == want[k] or out[k] == pytest.approx(want[k], rel=1e-12, abs=1e-15) for k in out)
+
+
+def test_robust_scaling_by_group(spark):
+    rng = np.random.default_rng(10)
+    x = {g: rng.normal(size=200) * 10.0**i + i for i, g in enumerate(["p", "q", None])}
+    rows = [(g, float(v)) for g, vs in x.items() for v in vs] + [("flat", 2.0)] * 5
+    df = spark.createDataFrame([*rows, ("new", 4.0)], "block string, a double")
+    params = sc.robust_params_by(df.filter("block IS NULL OR block <> 'new'"), ["block"], ["a"], 0.25, 0.75)
+    got = sc.robust_scale_by(df, params, ["block"], ["a"], centering=True).toPandas()
+    for g, vs in x.items():
+        q1, mid, q3 = np.quantile(vs, [0.25, 0.5, 0.75])
+        own = got[got["block"].isna() if g is None else got["block"] == g]["a"]
+        assert np.sort(own) == pytest.approx(np.sort((vs - mid) / (q3 - q1)))
+    assert set(got[got["block"] == "flat"]["a"]) == {0.0} and list(got[got["block"] == "new"]["a"]) == [4.0]
+
+
 @pytest.mark.parametrize("parts", [1, 9, None])
 def test_positions(spark, parts):
     rng = np.random.default_rng(6)
