@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.scalars import filled_count, finite, text_to_double
+from panelweave.operators.gram import pair_correlations
+from panelweave.operators.leastsq import PLAIN_VARIABLES
 from panelweave.operators.quantiles import exact_quantiles
 from panelweave.spec import numeric_columns, q
 
@@ -164,9 +166,15 @@ def _pearson(a: Column, b: Column) -> Column:
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson r of every column pair (in column order) from one aggregate pass; undefined r counts as 0."""
+    """Pearson r of every column pair (in column order), each over the rows where both are present; undefined r counts as 0.
+
+    Few columns are one aggregate; wide frames add up matrices per task (``operators.gram``), for an expression per pair
+    is more than a plan carries. NaN and infinities count as missing.
+    """
+    if len(cols) > PLAIN_VARIABLES:
+        return pair_correlations(df, cols).select("col_a", "col_b", F.coalesce("r", F.lit(0.0)).alias("r"))
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    r = df.agg(*[_pearson(q(cols[i]).cast("double"), q(cols[j]).cast("double")).alias(f"r_{i}_{j}") for i, j in pairs])
+    r = df.agg(*[_pearson(finite(q(cols[i]).cast("double")), finite(q(cols[j]).cast("double"))).alias(f"r_{i}_{j}") for i, j in pairs])
     entry = F.explode(
         F.array(
             *[

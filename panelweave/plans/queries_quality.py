@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from panelweave.functions import scalars as s
 from panelweave.operators import quality as qual
 from panelweave.operators import select as sel
-from panelweave.operators.ordered import fill_linear
+from panelweave.operators.gram import pair_correlations
+from panelweave.operators.ordered import fill_linear, lag_set
 from panelweave.operators.quantiles import exact_quantiles
 from panelweave.operators.radix import grouped_quantiles
 from panelweave.plans.panel_sql import CUSTOMER, EVENT, RATIOS, SUPPLIER, with_panels
@@ -223,6 +224,46 @@ def q_corr_prune(spark, sf_dir):
     return qual.correlation_prune(panel_supplier(spark, sf_dir), CORR_COLS, 0.9)
 
 
+WIDE_LAGS = [1, 2, 4]
+WIDE_COLS = [*SUPPLIER_MEASURES, *[f"{c}_sft_{k}" for k in WIDE_LAGS for c in SUPPLIER_MEASURES]]
+
+
+def _wide(spark, sf_dir):
+    """Every measure and its lags: 44 columns with gaps."""
+    return lag_set(panel_supplier(spark, sf_dir).select(*KEYS, *SUPPLIER_MEASURES), SPEC, {"__all__": WIDE_LAGS})
+
+
+def _wide_sql(tail: str) -> str:
+    lags = ", ".join(f"lag({c}, {k}) OVER w AS {c}_sft_{k}" for k in WIDE_LAGS for c in SUPPLIER_MEASURES)
+    numbers = ", ".join(f"('{c}', {i})" for i, c in enumerate(WIDE_COLS))
+    return with_panels(
+        SUPPLIER,
+        body=f"""
+, wide AS (SELECT comp, period, {", ".join(SUPPLIER_MEASURES)}, {lags} FROM panel_supplier WINDOW w AS (PARTITION BY comp ORDER BY period)),
+long AS (UNPIVOT wide ON {", ".join(WIDE_COLS)} INTO NAME col VALUE v),
+numbered AS (SELECT comp, period, col, place, v FROM long JOIN (VALUES {numbers}) AS t(name, place) ON name = col),
+pairs AS (
+  SELECT a.col AS col_a, b.col AS col_b, count(*) AS n,
+         CASE WHEN stddev_pop(a.v) > 0 AND stddev_pop(b.v) > 0 THEN covar_pop(a.v, b.v) / stddev_pop(a.v) / stddev_pop(b.v) END AS r
+  FROM numbered a JOIN numbered b ON a.comp = b.comp AND a.period = b.period AND a.place < b.place GROUP BY 1, 2)
+{tail}""",
+    )
+
+
+@query("q_corr_wide", _wide_sql("SELECT col_a, col_b, n, round(r, 6) + 0.0 AS r FROM pairs"))
+def q_corr_wide(spark, sf_dir):
+    """Pairs that share no row at all are left out, as they are in the SQL."""
+    return pair_correlations(_wide(spark, sf_dir), WIDE_COLS).filter("n > 0").withColumn("r", F.round("r", 6) + 0.0)
+
+
+@query(
+    "q_corr_prune_wide",
+    _wide_sql(f"SELECT '{WIDE_COLS[0]}' AS column_name, false AS dropped UNION ALL SELECT col_b, coalesce(bool_or(r >= 0.9), false) FROM pairs GROUP BY 1"),
+)
+def q_corr_prune_wide(spark, sf_dir):
+    return qual.correlation_prune(_wide(spark, sf_dir), WIDE_COLS, 0.9)
+
+
 @query(
     "q_dedupe_most_complete",
     with_panels(

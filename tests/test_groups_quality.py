@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import series
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from panelweave.operators import groups as g
 from panelweave.operators import quality as qual
 from panelweave.operators import select as sel
+from panelweave.operators.gram import pair_correlations
 from panelweave.plans.views import SPEC
 from panelweave.spec import PanelSpec, as_panel, assert_unique
 
@@ -157,3 +160,50 @@ def test_map_literals(spark):
 
     df = spark.createDataFrame([("{'a': True, 'b': False, 'c': None}",)], "t string")
     assert df.select(literal_to_map(F.col("t"), "boolean")).first()[0] == {"a": True, "b": False, "c": None}
+
+
+def wide_frame(spark, rows, columns, seed):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(rows, 8)) @ rng.normal(size=(8, columns)) + rng.normal(size=(rows, columns)) + rng.normal(size=columns) * 1e4
+    base[rng.random(base.shape) < 0.3] = np.nan
+    frame = pd.DataFrame(base, columns=[f"c{i}" for i in range(columns)])
+    table = pa.Table.from_pandas(frame, preserve_index=False)  # NaN becomes null
+    return frame, spark.createDataFrame(table).repartition(7)
+
+
+def test_correlations_of_two_hundred_columns_with_gaps(spark):
+    frame, df = wide_frame(spark, 1500, 200, 5)
+    got = pair_correlations(df, list(frame)).toPandas()
+    assert len(got) == 200 * 199 // 2
+    there = frame.notna().to_numpy().astype(int)
+    counts = pd.DataFrame(there.T @ there, index=list(frame), columns=list(frame))
+    want = frame.corr()
+    assert all(n == counts.at[a, b] for a, b, n in zip(got.col_a, got.col_b, got.n))
+    assert np.abs(got.r - [want.at[a, b] for a, b in zip(got.col_a, got.col_b)]).max() < 1e-9
+    plan = pair_correlations(df, list(frame))._jdf.queryExecution().toString()
+    assert plan.count("covar") == 0
+
+
+def test_wide_and_narrow_correlations_agree(spark):
+    frame, df = wide_frame(spark, 300, 12, 6)
+    # Constant over the rows shared with c0, infinite or NaN somewhere, constant, empty.
+    df = df.select(
+        "*",
+        F.when(F.col("c0").isNull(), F.col("c1")).otherwise(0.1).alias("c12"),
+        F.when(F.col("c1") > 0, float("inf")).when(F.col("c2") > 0, float("nan")).otherwise(F.col("c3")).alias("c13"),
+        F.lit(7.3).alias("c14"),
+        F.lit(None).cast("double").alias("c15"),
+    )
+    cols = df.columns
+    pairs = lambda d: {(r.col_a, r.col_b): r.r for r in d.collect()}
+    plain = pairs(qual.correlation_pairs(df, cols))
+    wide = pairs(pair_correlations(df, cols).select("col_a", "col_b", F.coalesce("r", F.lit(0.0)).alias("r")))
+    assert plain.keys() == wide.keys() and len(cols) == 16
+    assert [(k, plain[k], wide[k]) for k in plain if abs(plain[k] - wide[k]) > 1e-9] == []
+    assert wide["c0", "c12"] == 0 and wide["c0", "c14"] == 0 and wide["c0", "c15"] == 0
+
+
+def test_correlations_without_rows(spark):
+    df = spark.createDataFrame([], ", ".join(f"c{i} double" for i in range(20)))
+    assert {r.r for r in qual.correlation_pairs(df, df.columns).collect()} == {0.0}
+    assert [(r.n, r.r) for r in pair_correlations(df, df.columns).limit(1).collect()] == [(0, None)]
