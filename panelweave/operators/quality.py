@@ -160,9 +160,13 @@ def z_score_filter(df: DataFrame, cols: Sequence[str], limit: float = 3.0) -> Da
 
 
 def _pearson(a: Column, b: Column) -> Column:
-    """r over rows where both are present; NULL for a constant column (``corr`` raises there in ANSI mode)."""
+    """r over rows where both are present; NULL for a constant column (``corr`` raises there in ANSI mode).
+
+    Constant is told by the ends: merged deviations of a constant need not be exactly zero.
+    """
     x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
