@@ -34,6 +34,7 @@ ROTATIONS = 4
 SHARE = 0.98
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 16384
+REPEATS = 10_000
 
 _POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 _NEAR = _POP[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
@@ -134,8 +135,8 @@ class ShardIndex:
 
 def _search(held, k: int):
     def run(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        kinds = [queries.schema.field("id").type, rows.schema.field("id").type, pa.float64()]
+        names = ["query_id", "mark", "times", "vec_id", "score"]
+        kinds = [*[queries.schema.field(c).type for c in ("id", "mark", "times")], rows.schema.field("id").type, pa.float64()]
         if not rows.num_rows or not queries.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=names)
         matrix = lambda t: np.array(t["v"].combine_chunks().flatten().to_numpy(), dtype=np.float64).reshape(t.num_rows, -1)
@@ -148,9 +149,9 @@ def _search(held, k: int):
         codes: Codes = held.value
         index = ShardIndex(codes.rows(distinct))
         asked, qids = matrix(queries), queries["id"].to_numpy()
-        out: list[list[np.ndarray]] = [[], [], []]
+        places, out = [], [[], []]
         signs = codes.queries(asked)
-        for q, query, code in zip(qids, asked, signs, strict=True):
+        for place, (q, query, code) in enumerate(zip(qids, asked, signs, strict=True)):
             found = index.search(code, codes.radius, k + 1)
             score = np.einsum("ij,j->i", distinct[found], query)
             best = np.argsort(-score, kind="stable")
@@ -158,10 +159,11 @@ def _search(held, k: int):
                 best = best[score[best] >= score[best[k]]]
             own = [(-score[b], i) for b in best for i in ids[members[first[found[b]] : first[found[b] + 1]][: k + 1]] if i != q]
             own = sorted(own)[:k]
-            out[0].append(np.full(len(own), q))
-            out[1].append(np.array([i for _, i in own], dtype=ids.dtype))
-            out[2].append(np.array([-s for s, _ in own], dtype=np.float64))
-        return pa.Table.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, kinds, strict=True)], names=names)
+            places.append(np.full(len(own), place))
+            out[0].append(np.array([i for _, i in own], dtype=ids.dtype))
+            out[1].append(np.array([-s for s, _ in own], dtype=np.float64))
+        own = queries.select(["id", "mark", "times"]).take(pa.array(np.concatenate(places), pa.int64()))
+        return pa.Table.from_arrays([*own.columns, *[pa.array(np.concatenate(x), t) for x, t in zip(out, kinds[3:], strict=True)]], names=names)
 
     return run
 
@@ -172,7 +174,8 @@ def nearest_vectors(vectors: DataFrame, k: int = 20, every: int = 20, id_column:
     Nearest is the largest inner product in double precision, ties go to the smaller id; a query never finds its own id.
     Vectors that are null, zero or of no component, or hold a null or non-finite component take no part, neither do
     rows of null id and vectors whose length differs from the most frequent one (of two, the smaller). Rows of one
-    id and different vectors are different candidates. With no vectors or no queries the result is empty.
+    id and different vectors are different candidates and different queries. A query row that is there several times is
+    searched once and has its ranks that many times. With no vectors or no queries the result is empty.
     """
     spark = vectors.sparkSession
     rows = only(vectors, id=id_column, v=vector_column).select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
@@ -194,7 +197,14 @@ def nearest_vectors(vectors: DataFrame, k: int = 20, every: int = 20, id_column:
     number = lambda parts: F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int")
     every_of = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     side = rows.select("id", "v", number(shards).alias("shard"), every_of(blocks).alias("block"))
-    asks = rows.filter(F.col("id") % every == 0).select("id", "v", number(blocks).alias("block"), every_of(shards).alias("shard"))
-    found = side.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(_search(held, k), "query_id long, vec_id long, score double")
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # The mark tells apart queries of one id.
+    mark = F.unhex(F.md5(F.array_join(F.col("v").cast("array<string>"), ",")))
+    asks = rows.filter(F.col("id") % every == 0).groupBy("id", "v").agg(F.count("*").alias("times"))
+    asks = asks.select("id", "v", mark.alias("mark"), "times", number(blocks).alias("block"), every_of(shards).alias("shard"))
+    found = side.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(_search(held, k), "query_id long, mark binary, times long, vec_id long, score double")
+    place = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+    # In runs of up to REPEATS, so that no array grows with the copies of one row.
+    runs = best.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEATS))).alias("run"))
+    copies = F.least(F.lit(REPEATS).cast("long"), F.col("times") - F.col("run") * REPEATS)
+    return runs.select("query_id", "rank", "vec_id", "score", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("copy_")).drop("copy_")

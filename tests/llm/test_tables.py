@@ -293,6 +293,31 @@ def test_few_vectors_are_all_found(spark):
     assert mih.nearest_vectors(table.filter("vec_id in (1, 2)")).count() == 0
 
 
+def test_repeated_query_rows_each_have_all_their_neighbours(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(300, 12))
+    single = [(i, v.tolist()) for i, v in enumerate(x)]
+    # Row 0 three times, and id 20 with a second vector.
+    rows = [*single, (0, x[0].tolist()), (0, x[0].tolist()), (20, (-x[20]).tolist())]
+    make = lambda data: spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(5)
+    columns = lambda d: sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in d.collect())
+    alone = [t for t in columns(mih.nearest_vectors(make(single))) if t[0] == 0]
+    assert [t[1] for t in alone] == list(range(1, 21)) and len({t[2] for t in alone}) == 20
+    for repeats in (10_000, 2):
+        monkeypatch.setattr(mih, "REPEATS", repeats)
+        got = columns(mih.nearest_vectors(make(rows)))
+        # The second vector of id 20 is one more candidate of row 0; the ranks of its copies agree.
+        of_0 = [t for t in got if t[0] == 0]
+        assert len(of_0) == 60 and of_0[::3] == of_0[1::3] == of_0[2::3]
+        every = np.r_[x, -x[20:21]]
+        score = every @ x[0]
+        best = sorted((-s, i) for i, s in zip([*range(300), 20], score) if i != 0)[:20]
+        assert len({(-round(s, 9), i) for s, i in best} & {(round(t[3], 9), t[2]) for t in of_0}) >= 18
+        of_20 = [t for t in got if t[0] == 20]
+        assert len(of_20) == 40 and [t[1] for t in of_20] == [k for k in range(1, 21) for _ in range(2)]
+        assert all(min(abs(s - x[v] @ x[20]), abs(s + x[v] @ x[20])) < 1e-9 for _, _, v, s in of_20)
+
+
 def test_multi_index_finds_every_code_within_the_radius():
     r = np.random.default_rng(6)
     codes = r.integers(0, 256, size=(500, 4), dtype=np.uint8)
