@@ -42,6 +42,30 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
+# Digests (SHA-256 of the canonical form below) of whole public licence texts; where a name is there twice, one is the
+# text with its appendix and one ends with "END OF TERMS AND CONDITIONS".
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "be01cebdf1c10aceed7cdd7b7691bad2741dfd4efad1a1b87465dc566ea479e7"),
+    ("Apache-2.0", "83b4d1c124a926b0c125a3c447450395c25fca5bf12d19f29fa4fc71e280bd2d"),
+    ("Artistic-1.0-Perl", "5f9e70ab939ac8241e1c25e7934d1fe55b18a590c20c4d20047ed59eee6088c3"),
+    ("BSD-3-Clause", "e8daa50c96df2ade9d116da144a66a3e46944a78c9ae7c49064074817a5d8988"),
+    ("CC0-1.0", "b096badc0168abbd7a6496f3097d3b3e33b5d3d54dbc0990a1eb8341c549c075"),
+    ("GFDL-1.2", "27145d4afbeb463d2d21dcd54f69d596b7696f5a7e204535a0a2dad132ae9f03"),
+    ("GFDL-1.3", "4341e77d3b05399123171257586c412e1eb747d8ba5a17c5595bdfc799851ec5"),
+    ("GPL-1.0", "6ce0671a7f71b29d83566a96cfc6c3c1fbaf659c9e10492d2c402b221694d193"),
+    ("GPL-1.0", "baccf64612a8a19a03c972733111f3654fec8f591e5a98733352a79c033e1fec"),
+    ("GPL-2.0", "c2dbda1211368045e82409f6e185324425b2f9ef76c57ab0b5ee01e47f5c41e1"),
+    ("GPL-2.0", "df1245e585026c1b8112ecc5c64e3d7b3e1db8af44c80eaa29e2d600504e787f"),
+    ("GPL-3.0", "09cca19da041e748ed0c575232af2b2a378608a91e11a131772975ffd2d54fc3"),
+    ("GPL-3.0", "ee26bec3bc5c5fb8d687e6393cf1be396ec33c7a472f549777019f57ecb6d5b0"),
+    ("LGPL-2.0", "3182f6e3325d82debff90991a09779f55284870c721b9f1194de9b85ba34db24"),
+    ("LGPL-2.0", "ec477454ba5b69cf0dffe55ac873edef77c3cdf7c34af1c5220398370d397c1b"),
+    ("LGPL-2.1", "2ffa34316e3f21c27f001e70768e233c50477b875888b64a20f93eff2b14e60b"),
+    ("LGPL-2.1", "b616ab1a361d7dfbd7a1c7b912cb1a48ee5d8cacb106726c6242de6c92605a00"),
+    ("LGPL-3.0", "8e3b59e0c5c93d34fda7b8dba2cffff98d7a1ca97ef3c09ee49ab0e1c92338ac"),
+    ("MPL-1.1", "6e30e0349ef37bb195f0d14d419d344ac51e89854307b621aa4c51e23dc37611"),
+    ("MPL-2.0", "cf065efaf4e3f8b46a1127e8fdc71903f2ce4a6198fa39bfffd9577017737d7b"),
+]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ODD, PLAIN = "‘’“”–— ", "''\"\"-- "
@@ -51,9 +75,10 @@ NOTICES = (r"\n[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*?(?:\(c\)|©|[0-9]{4}|[\[<{(]
 #: A "(c)" before a mere name is a copyright line too, unless it letters a list, so a "(b)" is before it, or speaks of a licence.
 HOLDERS = (r"\n[^a-z0-9\n]*\(c\)(?![^\n]*licen)[^\n]*", "\n")
 LIST = (r"(?s)\(b\).*", "")
-#: The line pattern of the SQL counterpart, wider than the above: it takes every line that starts with "copyright" or "(c)".
-#: It and the next are patterns that Java and RE2 read alike, with replacements; the text has a line break in front and a space behind.
-LINES = (r"\n[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*", "\n")
+#: The same two rules for a single line, as patterns of RE2, which has no look-ahead.
+NOTICE_LINE = r"^[^a-z0-9]*(copyright[^a-z0-9]*(\(c\)|©|[0-9]{4}|[\[<{(](year|yyyy)|by\b)|©|\(c\)[^a-z0-9]*(copyright\b|[0-9]{4})|all rights reserved[^a-z0-9]*$)"
+HOLDER_LINE = r"^[^a-z0-9]*\(c\)"
+#: Patterns that Java and RE2 read alike, with replacements; the text has a line break in front and a space behind.
 MARKS = (r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
 SPELLINGS = [("licenc", "licens"), (" sub licens", " sublicens"), (" non commercial", " noncommercial"), (" non infring", " noninfring"), ("https", "http"), (" per cent ", " percent "), (" copyright owner", " copyright holder")]
 ENDINGS = [(r"is(e|es|ed|ing|ation|ations) ", "iz"), (r"ll(ed|ing) ", "l"), (r"our(s?) ", "or")]
@@ -75,10 +100,16 @@ def canonical(text: Column) -> Column:
 
 
 def canonical_sql(x: str) -> str:
-    """``canonical`` as DuckDB SQL over the expression ``x``, but for its wider line pattern ``LINES``."""
+    """``canonical`` as DuckDB SQL over the expression ``x``."""
     text = lambda s: "'" + s.replace("'", "''") + "'"
-    x = f"(chr(10) || translate(translate({x}, '{UPPER}', '{LOWER}'), {text(ODD)}, {text(PLAIN)}))"
-    x = f"regexp_replace({x}, {text(LINES[0])}, chr(10), 'g') || ' '"
+    blanked = lambda x, line, test: f"array_to_string(list_transform(string_split({x}, chr(10)), lambda {line}: CASE WHEN {test} THEN '' ELSE {line} END), chr(10))"
+    plain = f"(chr(10) || translate(translate({x}, '{UPPER}', '{LOWER}'), {text(ODD)}, {text(PLAIN)}))"
+    told = blanked(plain, "l", f"regexp_matches(l, {text(NOTICE_LINE)})")
+    # A list of one element names the text, so that it is written once.
+    head = "CASE WHEN contains(y, '(b)') THEN substr(y, 1, strpos(y, '(b)') - 1) ELSE y END"
+    rest = "CASE WHEN contains(y, '(b)') THEN substr(y, strpos(y, '(b)')) ELSE '' END"
+    holder = f"regexp_matches(h, {text(HOLDER_LINE)}) AND NOT regexp_matches(h, {text(HOLDER_LINE + '.*licen')})"
+    x = f"list_transform([{told}], lambda y: {blanked(head, 'h', holder)} || {rest} || ' ')[1]"
     x = f"regexp_replace({x}, {text(MARKS[0])}, ' ', 'g')"
     for old, new in SPELLINGS:
         x = f"replace({x}, {text(old)}, {text(new)})"
@@ -87,10 +118,12 @@ def canonical_sql(x: str) -> str:
     return f"trim({x}, ' ')"
 
 
-def known_digests(spark: SparkSession, known: Iterable[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license): of texts that agree in canonical form the smallest name counts; blank texts are no licences."""
+def known_digests(spark: SparkSession, known: Iterable[tuple[str, str]] = KNOWN, digests: Iterable[tuple[str, str]] = DIGESTS) -> DataFrame:
+    """(digest, license) of texts and of digests taken before: of equal digests the smallest name counts; blank texts are no licences."""
     rows = spark.createDataFrame(list(known), "license string, text string").select("license", canonical(F.col("text")).alias("c"))
-    return rows.filter("c <> ''").groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license").alias("license"))
+    rows = rows.filter("c <> ''").select("license", F.sha2("c", 256).alias("digest"))
+    rows = rows.unionByName(spark.createDataFrame(list(digests), "license string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -114,13 +147,15 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_column: str = "doc_id",
     return done.select("doc_id", "digest", "license", F.when(F.col("notices") != "", F.col("notices")).alias("notices"))
 
 
-def scan_sql(known: Iterable[tuple[str, str]] = KNOWN) -> str:
+def scan_sql(known: Iterable[tuple[str, str]] = KNOWN, digests: Iterable[tuple[str, str]] = DIGESTS) -> str:
     """The same as DuckDB SQL over ``documents``."""
     values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in known)
+    listed = ", ".join(f"('{name}', '{digest}')" for name, digest in digests)
     return f"""
 WITH known AS (
-  SELECT sha256(c) AS digest, min(license) AS license
-  FROM (SELECT license, {canonical_sql("t")} AS c FROM (VALUES {values}) AS v(license, t)) WHERE c <> '' GROUP BY 1),
+  SELECT digest, min(license) AS license
+  FROM (SELECT license, sha256(c) AS digest FROM (SELECT license, {canonical_sql("t")} AS c FROM (VALUES {values}) AS v(license, t)) WHERE c <> ''
+        UNION ALL SELECT * FROM (VALUES {listed}) AS d(license, digest)) GROUP BY 1),
 docs AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
 lines AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM docs WHERE contains(translate(text, '{UPPER}', '{LOWER}'), 'licen')),
 notices AS (

@@ -7,7 +7,9 @@ import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +116,40 @@ def test_licences_do_not_depend_on_wrapping(spark):
     assert [r["license"] for r in licenses.scan_licenses(less, known).collect()] == [None, None]
 
 
+COMMON = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not COMMON.is_dir(), reason="no licence texts here")
+def test_whole_licence_texts_are_known_however_wrapped(spark):
+    names = {"Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0"}
+    rows = []
+    for file in sorted(f for f in COMMON.iterdir() if f.is_file() and not f.is_symlink()):
+        text, name = file.read_text(), names.get(file.name, file.name)
+        if name not in {n for n, _ in licenses.DIGESTS}:
+            continue
+        short = text.split("END OF TERMS AND CONDITIONS")
+        rows += [(name, text), (name, text.replace("\n", "\r\n").upper()), (name, "\n".join("  // " + x for x in text.split("\n")))]
+        rows += [(name, short[0] + "END OF TERMS AND CONDITIONS")] if len(short) == 2 else []
+        rows.append((None, text[: len(text) // 2]))
+    assert len({n for n, _ in rows}) >= 10
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(docs, licenses.known_digests(spark)).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
+
+
+def test_licence_sql_states_the_same_rule(spark):
+    lines = ["Copyright (c) 2020 A", "copyright notice here", "(c) A person", "(c) a licence clause", "© A", "All rights reserved.", "all rights reserved by A", "# Copyright by A", "copyright byte", "(c) 2020", "(b) two", "(a) one", " (C) B (b) both", "x (c) A", "Copyright [yyyy] A", "Copyright 2021", "[(c) copyrighted", "", "organise colour"]
+    r = np.random.default_rng(3)
+    texts = ["\n".join(r.choice(lines, size=r.integers(1, 9))) for _ in range(400)] + [licenses.MIT, BSD, None, ""]
+    texts += [f.read_text() for f in sorted(COMMON.glob("*")) if f.is_file()]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((tuple(x) for x in licenses.scan_licenses(docs, licenses.known_digests(spark)).collect()), key=lambda x: x[0])
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = sorted(con.sql(licenses.scan_sql()).fetchall(), key=lambda x: x[0])
+    assert [(a, b) for a, b in zip(got, want, strict=True) if a != b] == []
+
+
 def test_licence_scan_stays_in_the_jvm(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = licenses.scan_licenses(docs, licenses.known_digests(spark))._jdf.queryExecution().toString()
