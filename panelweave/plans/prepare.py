@@ -32,7 +32,7 @@ from panelweave.operators.windows import (
     with_index,
 )
 from panelweave.session import staged
-from panelweave.sources.tables import fingerprint
+from panelweave.sources.tables import export_csv, export_splits, fingerprint, read_csv, read_side_file, write_side_file
 from panelweave.spec import PanelSpec, q
 
 METHODS = ("block", "time", "set", "no")
@@ -88,6 +88,31 @@ class Samples:
         """Cache the samples, partitioned for reading one block and split."""
         self.samples.write.mode("overwrite").partitionBy("block", "split").parquet(path)
 
+    def truths(self) -> DataFrame:
+        """The properties of each sample with what is to be predicted: a row for each predicted step (0-based)."""
+        keys = [c for c in self.samples.columns if c not in ("x", "y")]
+        flat = self.samples.select(*keys, F.size("x").cast("bigint").alias("steps"), F.posexplode("y").alias("target_step", "s"))
+        return flat.select(*keys, "steps", F.col("target_step").cast("bigint").alias("target_step"), *[F.col("s")[c].alias(f"target_{c}") for c in self.targets])
+
+    def export(self, path: str) -> None:
+        """CSV for other tools, a folder per split: the input steps (``steps``), the samples' properties and truth
+        (``samples``), the parameters they were scaled by (``norm``, if any), and the card with all schemas.
+        """
+        spark = self.samples.sparkSession
+        tables = {"steps": self.long(), "samples": self.truths()}
+        for name, df in tables.items():
+            export_splits(df, f"{path}/{name}")
+        if self.norm is not None:
+            export_csv(self.norm, f"{path}/norm")
+            tables["norm"] = self.norm
+        write_side_file(spark, f"{path}/card", {**self.card(), "schemas": {name: df.schema.jsonValue() for name, df in tables.items()}})
+
+    @staticmethod
+    def read_export(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+        """The tables that ``export`` wrote, by name, with the types they had."""
+        schemas = read_side_file(spark, f"{path}/card")["schemas"]
+        return {name: read_csv(spark, f"{path}/{name}", T.StructType.fromJson(schema)) for name, schema in schemas.items()}
+
     def store(self, table: str, buckets: int = 8) -> None:
         """Keep the samples as a table, partitioned by block and bucketed by entity, next to the windows, the parameters and the card.
 

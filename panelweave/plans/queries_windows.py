@@ -15,9 +15,11 @@ from panelweave.operators import windows as win
 from panelweave.operators.ordered import keep_last_steps, pct_change
 from panelweave.operators.select import random_examples
 from panelweave.plans.panel_sql import EVENT, SUPPLIER, with_panels
-from panelweave.plans.prepare import SamplePlan
+from panelweave.plans.prepare import SamplePlan, Samples
 from panelweave.plans.registry import query
 from panelweave.plans.views import EVENT_MEASURES, SPEC, load, panel_event, panel_supplier
+from panelweave.session import new_folder
+from panelweave.sources.tables import cached_result
 from panelweave.spec import q
 
 KEYS = ["comp", "period"]
@@ -124,6 +126,68 @@ def q_sample_long(spark, sf_dir):
     return long.select("block", "split", "lower", "upper", "comp", "step", *FEATURES)
 
 
+@query(
+    "q_sample_cache",
+    with_panels(
+        SUPPLIER,
+        body=COMPLETE_SQL
+        + """
+SELECT s.block, s.split, s.comp, s.lower, p.idx - s.start AS step, p.sales
+FROM smp s JOIN pi p ON p.comp = s.comp AND p.idx BETWEEN s.start AND s.start + 3 WHERE s.split = 'val'""",
+    ),
+)
+def q_sample_cache(spark, sf_dir):
+    """Samples written by block and split; the val folders alone are read back."""
+    made = supplier_plan(spark, sf_dir).compute(materialise=True)
+    path = new_folder(spark, "sample-cache")
+    made.write(path)
+    kept = spark.read.schema(made.samples.schema).parquet(path).filter("split = 'val'")
+    return win.samples_long(kept, SPEC, FEATURES).select("block", "split", "comp", "lower", "step", "sales")
+
+
+@query(
+    "q_sample_export",
+    with_panels(
+        SUPPLIER,
+        body=COMPLETE_SQL
+        + """
+SELECT s.block, s.split, s.lower, s.upper, s.comp, p.idx - s.start AS step, p.sales, p.inventory, p.orderbacklog, t.sales AS target_sales
+FROM smp s JOIN pi p ON p.comp = s.comp AND p.idx BETWEEN s.start AND s.start + 3 JOIN pi t ON t.comp = s.comp AND t.idx = s.start + 4""",
+    ),
+)
+def q_sample_export(spark, sf_dir):
+    """Samples exported as CSV with their properties alongside, read back with the schemas of their card."""
+    path = new_folder(spark, "sample-export")
+    supplier_plan(spark, sf_dir).compute(materialise=True).export(path)
+    read = Samples.read_export(spark, path)
+    keys = ["block", "split", "comp", "lower"]
+    return read["steps"].join(read["samples"].select(*keys, "target_sales"), keys).select(*keys, "upper", "step", *FEATURES, "target_sales")
+
+
+@query(
+    "q_result_cache",
+    with_panels(
+        SUPPLIER,
+        body=""", kept AS (SELECT comp, period, sales, orderbacklog FROM panel_supplier WHERE orderbacklog IS NOT NULL)
+SELECT kept.*, (SELECT count(*) FROM panel_supplier) AS n_before, (SELECT count(*) FROM kept) AS n_after FROM kept""",
+    ),
+)
+def q_result_cache(spark, sf_dir):
+    """A cleaned panel kept under the fingerprint of its parameters with its report; asked for again it is read, not built."""
+    p = panel_supplier(spark, sf_dir).select(*KEYS, "sales", "orderbacklog")
+
+    def build():
+        report = p.agg(F.count(F.lit(1)).alias("n_before"), F.count("orderbacklog").alias("n_after"))
+        return p.filter("orderbacklog IS NOT NULL"), report
+
+    root, params = new_folder(spark, "results"), {"panel": "supplier", "required": ["orderbacklog"]}
+    cached_result(spark, root, params, build)
+    # The second request finds the result: there is nothing it could build from.
+    data, report = cached_result(spark, root, dict(reversed(params.items())), lambda: (None, None))
+    counts = report.first()
+    return data.select("*", F.lit(counts["n_before"]).alias("n_before"), F.lit(counts["n_after"]).alias("n_after"))
+
+
 @query(
     "q_sample_duplicates",
     with_panels(

@@ -67,6 +67,24 @@ def test_write_and_export(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/one").count() == flat.count()
 
 
+def test_export_with_properties_alongside(spark, tmp_path):
+    made = samples(spark)
+    made.export(f"{tmp_path}/export")
+    read = Samples.read_export(spark, f"{tmp_path}/export")
+    for name, df in (("steps", made.long()), ("samples", made.truths()), ("norm", made.norm)):
+        by = [c for c in df.columns if c not in ("a", "b", "mean", "std", "target_a")]
+        assert read[name].schema.names and dict(read[name].dtypes) == dict(df.dtypes)
+        assert read[name].select(*df.columns).orderBy(*by).collect() == df.orderBy(*by).collect()
+    assert {p.name for p in (tmp_path / "export" / "steps").iterdir() if p.is_dir()} == {"split=test", "split=train", "split=val"}
+    assert tb.read_side_file(spark, f"{tmp_path}/export/card")["columns"]["y"] == {"0": "a"}
+    # Several predicted steps have a row each.
+    rows = [(c, t, "g", float(c * 10 + t)) for c in range(2) for t in range(9)]
+    panel = spark.createDataFrame(rows, "comp long, period long, industry string, a double")
+    two = SamplePlan(panel, SPEC, ["a"], ["a"]).window(2, 2).block_rolling_split(2).compute()
+    got = {(r["comp"], r["start"], r["target_step"], r["target_a"]) for r in two.truths().collect()}
+    assert got == {(c, s, k, float(c * 10 + s + 2 + k)) for c, s, k, _ in got} and {k for _, _, k, _ in got} == {0, 1}
+
+
 def test_lookup_across_ranges_and_groups(spark):
     rng = np.random.default_rng(6)
     left = [("ab"[int(g)], int(k)) for g, k in zip(rng.integers(0, 2, 800), rng.integers(0, 5000, 800), strict=True)] + [("c", 7), (None, 3), ("a", None)]
