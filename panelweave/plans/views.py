@@ -123,7 +123,9 @@ def panel_supplier_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer in every quarter that has orders; quarters without an order of theirs stay empty.
 
-    The grid is built by exploding the calendar (one array, as long as there are quarters), not by a join.
+    A customer's quarters travel as one map, no longer than the calendar, and the calendar unfolds after the join: Spark takes
+    an exploded side to be as small as before it and would broadcast the whole grid. Rows stay dealt by customer, over all
+    shuffle partitions, since partitions merged by their size before the calendar unfolds would be far too large after it.
     """
     total = F.col("o_totalprice")
     facts = (
@@ -144,18 +146,24 @@ def panel_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.array_sort(F.collect_set(period_key(F.year("o_orderdate"), F.quarter("o_orderdate")))))
         .scalar()
     )
-    grid = load(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("comp"), F.col("c_mktsegment").alias("industry"), F.explode(calendar).alias("period")
+    measures = F.struct("sales", "n_orders", F.try_divide("urgent", "n_urgent").alias("urgent_avg"))
+    series = (
+        facts.filter(F.col("period").isNotNull())
+        .groupBy("comp")
+        .agg(F.map_from_entries(F.collect_list(F.struct("period", measures.alias("m")))).alias("held"))
     )
-    return grid.join(facts, ["comp", "period"], "left").select(
+    customer = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("comp"), F.col("c_mktsegment").alias("industry"))
+    customer = customer.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "comp")
+    grid = customer.join(series, "comp", "left").select("comp", "industry", "held", F.explode(calendar).alias("period"))
+    return grid.withColumn("m", F.try_element_at("held", "period")).select(
         "comp",
         "industry",
         F.floor(F.col("period") / 100).alias("data_year"),
         (F.col("period") % 100).alias("data_qrt"),
         "period",
-        "sales",
-        "n_orders",
-        F.try_divide("urgent", "n_urgent").alias("urgent_avg"),
+        "m.sales",
+        "m.n_orders",
+        "m.urgent_avg",
     )
 
 
