@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelweave.operators import ordered as o
@@ -231,10 +232,13 @@ def q_fill_empty_series(spark, sf_dir):
 
 
 def panel_annual(spark, sf_dir):
-    """Customer panel whose measure is the yearly total repeated on its quarters, with the last two order-free."""
-    p = panel_customer(spark, sf_dir)
-    yearly = p.groupBy("comp", "data_year").agg(F.sum("sales").alias("yearly"))
-    return p.join(yearly, ["comp", "data_year"]).select("comp", "period", "data_year", "data_qrt", "yearly")
+    """Customer panel whose measure is the yearly total repeated on its quarters, with the last two order-free.
+
+    The total is a window within the customer's rows, so it needs no join of the panel with itself.
+    """
+    p = panel_customer(spark, sf_dir).filter(F.col("comp").isNotNull())
+    yearly = F.sum("sales").over(Window.partitionBy("comp", "data_year"))
+    return p.select("comp", "period", "data_year", "data_qrt", yearly.alias("yearly"))
 
 
 ANNUAL_SQL = """
