@@ -1,9 +1,12 @@
 """What must not grow with the input: sides that are broadcast, work that one task holds."""
 
+import numpy as np
 import pytest
 from conftest import SF
 
 import __spark_entry__ as entry
+from panelweave.operators.orders import order_search, stack_forecasts
+from panelweave.plans.views import SPEC
 
 QUERIES = entry.queries()
 
@@ -26,3 +29,26 @@ def test_the_customer_grid_is_never_broadcast(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" in plan
     assert not [x for x in under(plan, "BroadcastExchange") if "Generate explode" in x]
+
+
+def test_order_search_fits_every_series_once(spark):
+    rows = [(c, t, float((c * 7 + t * t * 3) % 11 + t)) for c in range(5) for t in range(12 + c)]
+    df = spark.createDataFrame(rows, "comp long, period long, v double")
+    found = order_search(df, SPEC, "v", [(0, 0), (1, 0), (1, 1, 1)], {"val": (9, 10), "test": (10, 11)})
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 6
+
+
+def test_a_stack_of_series_is_fitted_as_each_alone():
+    rng = np.random.default_rng(5)
+    y = np.cumsum(rng.normal(size=(7, 30)), axis=1)
+    y[2, 4:6], y[3, 12:], y[4] = np.nan, np.nan, 2.0
+    train = np.arange(30) < np.array([25, 20, 25, 10, 25, 1, 7])[:, None]
+    now = train.sum(axis=1)
+    orders = [(p, d, s) for p in range(3) for d in range(2) for s in range(3)]
+    together = stack_forecasts(y, train, now, orders)
+    for i in range(7):
+        n = int(now[i]) + 1
+        alone = stack_forecasts(y[i : i + 1, :n], train[i : i + 1, :n], now[i : i + 1], orders)
+        for a, b in zip(alone, together, strict=True):
+            np.testing.assert_allclose(a[0], b[i], rtol=1e-7, atol=1e-9)
