@@ -1,6 +1,8 @@
 """Boosted trees of many blocks and settings at once, by histograms.
 
-Signals are binned once per block, at quantiles of its train rows. A tree grows level by level: one pass over all rows adds up
+Signals are binned once per block, at quantiles of its train rows. Rows of a block with equal bins go the same way in every tree,
+so they are added up once into a cell: their number, the sum of y, and both of the rows that each tree draws. Passes read cells,
+of which a block has no more than combinations of bins, however many rows. A tree grows level by level: one pass over all cells adds up
 residuals and counts by (block, setting, node, signal, bin), the best split of every node follows from these sums alone, and
 all trees of all blocks and settings grow in the same pass. A model is a few small arrays, so a pass ships all of them to the
 tasks, and rows are never stored again with their predictions. Which rows a block trains on, is judged by and is scored on
@@ -97,6 +99,7 @@ class Forest:
     seed: int
     k: int
     bins: int
+    rounds: int
     signal: np.ndarray = field(init=False)
     at: np.ndarray = field(init=False)
     value: np.ndarray = field(init=False)
@@ -114,6 +117,11 @@ class Forest:
     def trees(self) -> int:
         return self.signal.shape[2]
 
+    @property
+    def shares(self) -> list[float]:
+        """The shares of rows below one that settings draw."""
+        return sorted({s.rows for s in self.settings if s.rows < 1})
+
     def plant(self) -> None:
         """A new tree without splits for every block and setting."""
         grow = lambda x, fill: np.concatenate([x, np.full((*x.shape[:2], 1, x.shape[3]), fill, dtype=x.dtype)], axis=2)
@@ -122,7 +130,7 @@ class Forest:
     def walk(self, bins: np.ndarray, block: int, setting: int, tree: int, levels: int) -> np.ndarray:
         """The place within its level of the node that each row reaches after some levels; rows of unsplit nodes go left."""
         signal, at = self.signal[block, setting, tree], self.at[block, setting, tree]
-        place = np.zeros(bins.shape[1], dtype=np.int64)
+        place = np.zeros(bins.shape[1], dtype=np.uint8 if levels < 8 else np.int64)
         for level in range(levels):
             right = np.zeros(bins.shape[1], dtype=bool)
             for node in range(1 << level):
@@ -130,7 +138,7 @@ class Forest:
                 if signal[heap] >= 0:
                     over = bins[signal[heap]] > at[heap]
                     right |= over & (place == node) if level else over
-            place = 2 * place + right
+            place = (place << 1) + right
         return place
 
     def predict(self, bins: np.ndarray, block: int, setting: int, trees: int) -> np.ndarray:
@@ -153,35 +161,69 @@ def _batches(rows: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int, np.n
             yield int(code[a]), np.ascontiguousarray(bins), part
 
 
+def _cells(rows: DataFrame, forest: Forest) -> DataFrame:
+    """Train rows by (block, bins): their number and sum of y, of all and of those drawn by each share and tree; val rows by (block, bins, y)."""
+    k, shares, rounds, seed = forest.k, forest.shares, max(forest.rounds, 1), forest.seed
+    sums = ["__n", "__y", *[f"__{c}{i}_{t}" for i in range(len(shares)) for t in range(rounds) for c in "ny"]]
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, bins, part in _batches(batches, k):
+            split, y, h = (part.column(c).to_numpy(zero_copy_only=False) for c in ("__part", "__y", "__h"))
+            train, val = split == 0, split == 1
+            text = np.ascontiguousarray(bins.T).view(f"V{k}").ravel()
+            seen, place = np.unique(text[train], return_inverse=True)
+            ty, th, n = y[train], h[train], len(seen)
+            columns = [np.bincount(place, minlength=n).astype(float), np.bincount(place, ty, n)]
+            for share in shares:
+                for t in range(rounds):
+                    drawn = row_draw(th, t, seed) < share
+                    columns += [np.bincount(place[drawn], minlength=n).astype(float), np.bincount(place[drawn], ty[drawn], n)]
+            columns = [np.r_[c, np.full(val.sum(), float(i == 0))] for i, c in enumerate(columns)]
+            keys = [x.tobytes() for x in np.r_[seen, text[val]]]
+            own = [pa.array(np.full(len(keys), block, np.int32)), pa.array(keys, pa.binary()), pa.array(np.arange(len(keys)) >= n), pa.array(np.r_[np.zeros(n), y[val]])]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, columns)], ["__b", "__bins", "__val", "__at", *sums])
+
+    schema = "__b int, __bins binary, __val boolean, __at double, " + ", ".join(f"{c} double" for c in sums)
+    parts = rows.filter("__part < 2").mapInArrow(added, schema)
+    cells = parts.groupBy("__b", "__bins", "__val", "__at").agg(*[F.sum(c).alias(c) for c in sums])
+    cells = cells.withColumn("__y", F.when(F.col("__val"), F.col("__at")).otherwise(F.col("__y"))).drop("__at")
+    return staged(cells.repartitionByRange(F.col("__b"), F.col("__bins")).sortWithinPartitions("__b"), "cells")
+
+
 def _grow(ready: DataFrame, forest: Forest, level: int) -> dict[tuple[int, int], list]:
     """The best splits of all nodes of a level of the newest tree, and the val errors before that tree (level 0)."""
     shared = ready.sparkSession.sparkContext.broadcast(forest)
     k, bins_n, nodes = forest.k, forest.bins, 1 << level
     cells = nodes * k * bins_n
 
+    t, shares = forest.trees - 1, forest.shares
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f: Forest = shared.value
-        t, held = f.trees - 1, {}
+        held = {}
         for block, bins, part in _batches(batches, k):
-            split, y = (part.column(c).to_numpy(zero_copy_only=False) for c in ("__part", "__y"))
-            h = part.column("__h").to_numpy(zero_copy_only=False)
-            train, val = split == 0, split == 1
-            own, ty, th, vb, vy = np.ascontiguousarray(bins[:, train]), y[train], h[train], np.ascontiguousarray(bins[:, val]), y[val]
-            draw = row_draw(th, t, f.seed)
+            column = lambda c: part.column(c).to_numpy(zero_copy_only=False)
+            val = column("__val")
+            vb, vy, vn = np.ascontiguousarray(bins[:, val]), column("__y")[val], column("__n")[val]
+            # Cells by the share of rows that a tree draws: only those with a row count.
+            own = {}
+            for i, share in enumerate([1.0, *shares]):
+                n, y = (column(c)[~val] for c in (("__n", "__y") if share == 1 else (f"__n{i - 1}", f"__y{i - 1}")))
+                own[share] = np.ascontiguousarray(bins[:, ~val][:, n > 0]), y[n > 0], n[n > 0]
             for number, s in enumerate(f.settings):
                 if not f.active[block, number] or level >= s.depth:
                     continue
                 out = held.setdefault((block, number), np.zeros(2 * cells + 2))
-                seen = draw < s.rows
-                b, r = (own[:, seen], ty[seen]) if s.rows < 1 else (own, ty)
-                r = r - f.predict(b, block, number, t)
-                place = f.walk(b, block, number, t, level) * (k * bins_n)
-                for j in range(k):
-                    cell = place + (j * bins_n) + b[j]
-                    out[:cells] += np.bincount(cell, r, cells)
-                    out[cells:-2] += np.bincount(cell, minlength=cells)
+                b, y, n = own[min(s.rows, 1.0)]
+                if len(n):
+                    r = y - n * f.predict(b, block, number, t)
+                    place = f.walk(b, block, number, t, level) * np.int64(k * bins_n)
+                    for j in range(k):
+                        cell = place + (b[j] + np.int64(j * bins_n))
+                        out[:cells] += np.bincount(cell, r, cells)
+                        out[cells:-2] += np.bincount(cell, n, cells)
                 if level == 0 and len(vy):
-                    out[-2:] += np.abs(vy - f.predict(vb, block, number, t)).sum(), len(vy)
+                    out[-2:] += (vn * np.abs(vy - f.predict(vb, block, number, t))).sum(), vn.sum()
         rows = [(b, n // CHUNK, n, x.tobytes()) for (b, n), x in held.items()]
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], ["b", "chunk", "s", "sums"])
@@ -201,7 +243,8 @@ def _grow(ready: DataFrame, forest: Forest, level: int) -> dict[tuple[int, int],
         kinds = [pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["b", "s", "splits", "loss", "n"])
 
-    got = ready.mapInArrow(sums, "b int, chunk int, s int, sums binary").groupBy("b", "chunk").applyInArrow(choose, "b int, s int, splits array<double>, loss double, n double")
+    drawn = [F.col(f"__{c}{i}_{min(t, max(forest.rounds, 1) - 1)}").alias(f"__{c}{i}") for i in range(len(shares)) for c in "ny"]
+    got = ready.select("__b", "__bins", "__val", "__n", "__y", *drawn).mapInArrow(sums, "b int, chunk int, s int, sums binary").groupBy("b", "chunk").applyInArrow(choose, "b int, s int, splits array<double>, loss double, n double")
     out = {(r["b"], r["s"]): [np.array(r["splits"]).reshape(nodes, 6), r["loss"], r["n"]] for r in got.collect()}  # the chosen splits alone
     shared.unpersist()
     return out
@@ -239,8 +282,8 @@ def boost_blocks(
     if not 3 <= bins <= 255:
         raise ValueError("bins must be between 3 and 255")
     ready, blocks, base = _binned(samples, block, split, y, xs, bins)
-    forest = Forest(list(settings), base, seed, len(xs), bins)
-    narrow = ready.select("__b", "__bins", F.coalesce(q(y).cast("double"), F.lit(0.0)).alias("__y"), "__part", "__h")
+    forest = Forest(list(settings), base, seed, len(xs), bins, rounds)
+    narrow = _cells(ready.select("__b", "__bins", F.coalesce(q(y).cast("double"), F.lit(0.0)).alias("__y"), "__part", "__h"), forest)
     shape = len(blocks), len(settings)
     errors = np.full((*shape, 0), np.nan)
     deepest = max(s.depth for s in settings)

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from panelweave.operators.orders import order_search, stack_forecasts
@@ -52,3 +53,21 @@ def test_a_stack_of_series_is_fitted_as_each_alone():
         alone = stack_forecasts(y[i : i + 1, :n], train[i : i + 1, :n], now[i : i + 1], orders)
         for a, b in zip(alone, together, strict=True):
             np.testing.assert_allclose(a[0], b[i], rtol=1e-7, atol=1e-9)
+
+
+def test_boosting_passes_read_cells_not_rows(spark):
+    """Rows of equal bins are one cell, whatever their number; trials are those of every row on its own."""
+    from panelweave.operators.boosting import Boost, Forest, _binned, _cells
+
+    rng = np.random.default_rng(3)
+    rows = [(b, "train" if i % 4 else "val", float(i % 3), float(i % 2), float(rng.normal() + i % 3)) for b in ("a", "b") for i in range(600)]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "block string, split string, u double, v double, y double, id long")
+    ready, _, base = _binned(df, "block", "split", "y", ["u", "v"], 8)
+    forest = Forest([Boost(rows=0.6), Boost()], base, 7, 2, 8, 3)
+    cells = _cells(ready.select("__b", "__bins", F.col("y").alias("__y"), "__part", "__h"), forest)
+    train = cells.filter("NOT __val").collect()
+    assert len(train) == 12 and sum(r["__n"] for r in train) == 900
+    assert sum(r["__y"] for r in train) == pytest.approx(sum(r[4] for r in rows if r[1] == "train"))
+    assert cells.filter("__val").agg(F.sum("__n")).first()[0] == 300
+    for t in range(3):
+        assert 0 < sum(r[f"__n0_{t}"] for r in train) < 900
