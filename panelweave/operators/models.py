@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelweave.functions.metrics import error_table
 from panelweave.operators.leastsq import fit_least_squares, group_moments, predict, solve_coefficients
@@ -81,21 +84,57 @@ def numbered(df: DataFrame, groups: Sequence[str], key: str, seed: int) -> DataF
     return dealt.join(runs, [*groups, "__range"]).withColumn("__pos", F.col("__at") + F.col("__base")).drop("__range", "__at", "__base")
 
 
+#: The constants of XXH64.
+PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
 #: Swap-or-not rounds of an index permutation.
 PERMUTE_ROUNDS = 24
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The last step of XXH64."""
+    h = (h ^ (h >> np.uint64(33))) * PRIMES[1]
+    h = (h ^ (h >> np.uint64(29))) * PRIMES[2]
+    return h ^ (h >> np.uint64(32))
+
+
+def _turned(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h << np.uint64(bits)) | (h >> np.uint64(64 - bits))
+
+
+def hashed_int(value: int, seed: np.ndarray) -> np.ndarray:
+    """``xxhash64`` of an int, after columns whose ``xxhash64`` is ``seed``; uint64."""
+    return _mixed(_turned((seed + (PRIMES[4] + np.uint64(4))) ^ (np.array([value], np.uint64) * PRIMES[0]), 23) * PRIMES[1] + PRIMES[2])
+
+
+def hashed_long(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """``xxhash64`` of longs, after columns whose ``xxhash64`` is ``seed``; uint64."""
+    own = _turned(value.astype(np.uint64) * PRIMES[1], 31) * PRIMES[0]
+    return _mixed(_turned((seed + (PRIMES[4] + np.uint64(8))) ^ own, 27) * PRIMES[0] + PRIMES[3])
+
+
+def swapped(pos: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """``permuted_index`` of a batch; ``key`` is the hash of the key's columns."""
+    x, seed = pos.astype(np.int64), key.astype(np.int64).view(np.uint64)
+    for r in range(1, PERMUTE_ROUNDS + 1):
+        drawn = hashed_int(r, seed)
+        mirror = (drawn.view(np.int64) % n - x) % n
+        x = np.where(hashed_long(np.maximum(x, mirror), drawn) & np.uint64(1), mirror, x)
+    return x
+
+
+@F.pandas_udf(T.LongType())
+def _permuted(pos: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
+    return pd.Series(swapped(pos.to_numpy(), n.to_numpy(), key.to_numpy()))
+
+
 def permuted_index(pos: Column, n: Column, *key: Column) -> Column:
     """The place of ``pos`` in a pseudorandom permutation of 0 ... n-1 that the key draws: a bijection, computed row by row.
 
-    In every round a number and its mirror image around a drawn point change places or not, by a hash of the larger one.
+    In every round a number and its mirror image around a drawn point change places or not, by a hash of the larger one. The
+    rounds run on whole batches; a fold of columns is interpreted round by round and took most of the time of an importance.
     """
-
-    def swap(x: Column, r: Column) -> Column:
-        mirror = F.pmod(F.pmod(F.xxhash64(*key, r), n) - x, n)
-        return F.when(F.xxhash64(*key, r, F.greatest(x, mirror)).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(x)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(PERMUTE_ROUNDS)), pos.cast("long"), swap)
+    return _permuted(pos.cast("long"), n.cast("long"), F.xxhash64(*key))
 
 
 def permuted(df: DataFrame, key: str, col: str, seed: int) -> DataFrame:

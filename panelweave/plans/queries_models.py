@@ -323,6 +323,7 @@ def q_perm_importance(spark, sf_dir):
     s = signal_samples(spark, sf_dir)
     fits = fit_least_squares(s.filter("split = 'train'"), ["block"], "target_p_eps", SIGNALS).select("block", "coef")
     rows = s.filter("split IN ('train', 'val')").join(fits, "block").withColumn("row_id", F.concat_ws("/", "block", "split", "comp", "start"))
+    rows = rows.select("row_id", "split", *SIGNALS, "target_p_eps", "coef")
     return m.permutation_importance(rows, "row_id", "target_p_eps", SIGNALS, lambda d: d.withColumn("y_pred", predict(F.col("coef"), SIGNALS)), ["split"])
 
 

@@ -71,3 +71,23 @@ def test_boosting_passes_read_cells_not_rows(spark):
     assert cells.filter("__val").agg(F.sum("__n")).first()[0] == 300
     for t in range(3):
         assert 0 < sum(r[f"__n0_{t}"] for r in train) < 900
+
+
+def test_index_permutation_equals_the_fold_of_columns(spark):
+    """Batches give the permutation that Spark's own hash draws row by row."""
+    from panelweave.operators.models import PERMUTE_ROUNDS, permuted_index
+
+    rows = spark.createDataFrame([(p, n) for n in (1, 2, 97, 5_000_000_000) for p in range(min(n, 97))], "pos long, n long")
+    rows = rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    key, n, pos = [F.lit(7), F.col("again")], F.col("n"), F.col("pos")
+
+    def swap(x, r):
+        mirror = F.pmod(F.pmod(F.xxhash64(*key, r), n) - x, n)
+        return F.when(F.xxhash64(*key, r, F.greatest(x, mirror)).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(x)
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(PERMUTE_ROUNDS)), pos, swap)
+    out = rows.select("n", "again", "pos", permuted_index(pos, n, *key).alias("got"), folded.alias("fold"))
+    assert "aggregate(" not in out.drop("fold")._jdf.queryExecution().optimizedPlan().toString()
+    found = out.collect()
+    assert all(r["got"] == r["fold"] for r in found)
+    assert sorted(r["got"] for r in found if r["n"] == 97 and r["again"] == 2) == list(range(97))
