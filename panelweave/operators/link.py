@@ -45,10 +45,12 @@ def best_match(
     group. Repeated links collapse before they meet the entities. Both joins are plain equi-joins: both sides are whole
     tables, so copying one for salts would cost more than the splits that Spark makes of skewed partitions; the best candidate is an aggregate (``max_by`` over score and record key)
     that combines map-side. Ties go to the highest record key. ``include_company`` is false for entities without
-    any record.
+    any record. Distinct links are dealt over all shuffle partitions: links merged by their size as they were shuffled take
+    many times as much with the names in the sort before the aggregate.
     """
     known = entities.select(entity, entity_name, link_key).distinct()
-    pairs = links.select(link_key, record_key).distinct().join(known, link_key)
+    n = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = links.select(link_key, record_key).distinct().repartition(n, link_key).join(known, link_key)
     scored = pairs.drop(link_key).join(records.select(record_key, record_name), record_key)
     score = name_similarity(q(entity_name), q(record_name))
     rank = F.struct(score.alias("score"), q(record_key).alias("record"))

@@ -91,3 +91,8 @@ def test_index_permutation_equals_the_fold_of_columns(spark):
     found = out.collect()
     assert all(r["got"] == r["fold"] for r in found)
     assert sorted(r["got"] for r in found if r["n"] == 97 and r["again"] == 2) == list(range(97))
+
+
+def test_fuzzy_match_deals_links_over_all_partitions(spark):
+    plan = QUERIES["q_fuzzy_match"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
