@@ -409,3 +409,37 @@ def test_pipeline_against_its_stages_rules(spark):
     assert Counter(r["doc_id"] for r in done) == counts
     ids = {i: [*x, 2] for i, x in zip(counts, encoded([texts[i] for i in counts]), strict=True)}
     assert all(r["ids_crc32"] == zlib.crc32(np.array(ids[r["doc_id"]], dtype="<u4").tobytes()) for r in done)
+
+
+def test_pipeline_reads_and_sends_texts_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    arrow, reader = corpus_pipeline.TEXT_BATCHES
+    default = {key: spark.conf.get(key) for key in corpus_pipeline.TEXT_BATCHES}
+    small = spark.read.parquet(f"{SF}/documents.parquet")
+    long = spark.range(0, 1000, 1, 1).select(F.concat(F.col("id"), F.repeat(F.lit(" word"), 4000)).alias("text"))
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            for key, value in default.items():
+                spark.conf.set(key, value)
+            stage(spark, small, SF)
+            assert spark.conf.get(reader) == "512", name
+            got = [r["n"] for r in long.mapInArrow(sizes, "n long").collect()]
+            assert sum(got) > 20_000_000 and max(got) < 5_000_000, name
+        # Smaller settings stay, and the whole pipeline gives the session back as it was.
+        spark.conf.set(arrow, "64k")
+        spark.conf.set(reader, "100")
+        corpus_pipeline.STAGES[1][1](spark, small, SF)
+        assert (spark.conf.get(arrow).removesuffix("b"), spark.conf.get(reader)) in {("65536", "100"), ("64k", "100")}
+        monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[:1])
+        for key, value in default.items():
+            spark.conf.set(key, value)
+        assert corpus_pipeline.run(spark, SF).count() == small.count()
+        assert {key: spark.conf.get(key) for key in default} == default
+    finally:
+        for key, value in default.items():
+            spark.conf.set(key, value)
