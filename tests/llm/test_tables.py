@@ -419,7 +419,9 @@ def test_pipeline_reads_and_sends_texts_in_small_batches(spark, monkeypatch):
             yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
 
     arrow, reader = corpus_pipeline.TEXT_BATCHES
-    default = {key: spark.conf.get(key) for key in corpus_pipeline.TEXT_BATCHES}
+    for key in (arrow, reader):
+        spark.conf.unset(key)
+    default = {key: spark.conf.get(key) for key in (arrow, reader)}
     small = spark.read.parquet(f"{SF}/documents.parquet")
     long = spark.range(0, 1000, 1, 1).select(F.concat(F.col("id"), F.repeat(F.lit(" word"), 4000)).alias("text"))
     try:
@@ -441,5 +443,5 @@ def test_pipeline_reads_and_sends_texts_in_small_batches(spark, monkeypatch):
         assert corpus_pipeline.run(spark, SF).count() == small.count()
         assert {key: spark.conf.get(key) for key in default} == default
     finally:
-        for key, value in default.items():
-            spark.conf.set(key, value)
+        for key in (arrow, reader):
+            spark.conf.unset(key)
