@@ -46,6 +46,69 @@ def test_pieces_give_the_ids_of_whole_texts():
             assert got == want[rows]
 
 
+def encoded_by_slices(encoder, texts):
+    import pyarrow as pa
+
+    out = []
+    for _, raw, off in token_planes.text_slices(pa.array(texts)):
+        ids, size = encoder.encode(raw, off)
+        out += [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+    return out
+
+
+def test_letters_of_two_bytes_give_the_ids_of_whole_texts(monkeypatch):
+    r = random.Random(2)
+    letters = [chr(k) for k in range(0x80, 0x800)]
+    parts = [*"ab ZZ 1.,'\n\t ", *"éüßñÀªºµ×÷²\x85\xa0ƻǅӐяשب", "e\u0301", "中", "\u2003", "’", "'s", " é", ". ", "ﬁ"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(2000)]
+    texts += ["".join(r.choice([*"a. '\n", r.choice(letters), r.choice(letters)]) for _ in range(20)) for _ in range(2000)]
+    texts += [a + x + b for x in letters for a, b in (("", "."), (" ", "a"), ("'", " "), (".", ""))]
+    want = encoded(texts)
+    # Also with words encoded few at a time, and a memory that forgets in every slice.
+    for size, kept in ((1 << 16, 400_000), (40, 1000)):
+        monkeypatch.setattr(token_planes, "WORDS_BYTES", size)
+        monkeypatch.setattr(token_planes, "CACHE_PIECES", kept)
+        encoder = token_planes.Encoder(TOKENIZER)
+        for _ in range(2):
+            for at in range(0, len(texts), 5000):
+                assert encoded_by_slices(encoder, texts[at : at + 5000]) == want[at : at + 5000]
+
+
+def test_new_words_need_no_split(monkeypatch):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdeéüßñж") for _ in range(9)) for _ in range(3000)]
+    text = " ".join(w + r.choice(["", ".", ",", "!"]) for w in words)
+    encoder = token_planes.Encoder(TOKENIZER)
+    split, whole = [], encoder.whole
+    monkeypatch.setattr(encoder, "whole", lambda texts: split.extend(texts) or whole(texts))
+    assert encoded_by_slices(encoder, [text]) == encoded([text])
+    # Only the marks go through the tokenizer's split; words are remembered without them.
+    assert sum(map(len, split)) < 100
+    split.clear()
+    assert encoded_by_slices(encoder, [" " + "! ".join(words[1:])]) == encoded([" " + "! ".join(words[1:])])
+    assert not split and encoder.count <= len(words) + 4
+
+
+def test_pieces_met_again_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(token_planes, "CACHE_PIECES", 500)
+    encoder = token_planes.Encoder(TOKENIZER)
+    often = [f" often{chr(97 + k)}" for k in range(20)]
+    fresh, seen = encoder._fresh, []
+
+    def note(raw, *rest):
+        starts, ends = rest[-2:]
+        seen.extend(raw[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True))
+        return fresh(raw, *rest)
+
+    monkeypatch.setattr(encoder, "_fresh", note)
+    r = random.Random(4)
+    texts = ["".join(often + [" " + "".join(r.choice("abcdefgh") for _ in range(12)) for _ in range(200)]) for _ in range(20)]
+    for text, want in zip(texts, encoded(texts), strict=True):
+        assert encoded_by_slices(encoder, [text]) == [want]
+        assert encoder.count < 900
+    assert all(seen.count(w) == 1 for w in often)
+
+
 @pytest.mark.parametrize("mode", ["byte", "bit"])
 @pytest.mark.parametrize("n", [1, 7, 8, 1000])
 def test_planes_round_trip(mode, n):
